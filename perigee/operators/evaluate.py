@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
-from perigee.functions.numeric import as_column
+from perigee.functions.numeric import abs_z, as_column
 from perigee.operators.gate import Stats
-from perigee.functions.numeric import abs_z
 from perigee.operators.order import exact_percentiles
 
 
@@ -96,8 +95,8 @@ def percentile_threshold(
 ) -> float:
     """Interpolated percentile of the errors of Normal rows; exact at any size."""
     rows = calibration.where(F.col(label) == normal)
-    found = exact_percentiles(rows, error, share, label)
-    return found.get(normal, math.nan)
+    found = exact_percentiles(rows, error, [share], label)
+    return found[normal][0] if normal in found else math.nan
 
 
 def adaptive_threshold(

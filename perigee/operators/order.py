@@ -78,9 +78,19 @@ def metric_history(
     """One point per step, the last ``points`` steps; absent metrics are left out.
 
     A step seen twice keeps one point, the least by value, so re-reads change nothing.
+    Only rows from the earliest step that counts are grouped.
     """
     kept = [name for name in metrics if name in df.columns]
-    one_per_step = df.groupBy(step).agg(F.min(F.struct(*kept)).alias("p")).select(step, "p.*")
+    steps = df.select(step).where(F.col(step).isNotNull())
+    recent = last_rows(steps, points, step).agg(
+        F.min(step).alias("first"), F.count(step).alias("rows"), F.count_distinct(step).alias("steps")
+    ).first()
+    first = recent["first"]
+    if recent["rows"] == points and recent["steps"] < points:
+        # Repeated steps crowd out earlier ones: take the steps themselves first.
+        first = last_rows(steps.groupBy(step).agg(F.lit(1)).select(step), points, step).agg(F.min(step)).first()[0]
+    recent_rows = df.where(F.col(step) >= F.lit(first))
+    one_per_step = recent_rows.groupBy(step).agg(F.min(F.struct(*kept)).alias("p")).select(step, "p.*")
     return last_rows(one_per_step, points, step)
 
 
@@ -193,21 +203,25 @@ def _without_ends(rows: DataFrame, target: DataFrame, by: str, value: str, brack
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, share: float, by: str, rank_limit: int = RANK_LIMIT
-) -> dict[object, float]:
-    """Linearly interpolated percentile of each group; NaN where the group holds a NaN."""
-    present = df.select(by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sizes = present.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.isnan("_v")).alias("broken")
-    ).where(F.col(by).isNotNull()).collect()
-    result: dict[object, float] = {r[by]: math.nan for r in sizes if r["broken"]}
-    whole = {r[by]: r["n"] for r in sizes if not r["broken"]}
-    at = {group: share * (n - 1) for group, n in whole.items()}
-    ranks = {group: sorted({math.floor(h), math.ceil(h)}) for group, h in at.items()}
+    df: DataFrame, value: str, shares: Sequence[float], by: str, rank_limit: int = RANK_LIMIT
+) -> dict[object, list[float]]:
+    """Linearly interpolated percentiles of each group; NaN where the group holds a NaN."""
+    present = df.select(by, F.col(value).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull() & F.col(by).isNotNull()
+    )
+    sizes = present.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max(F.isnan("_v")).alias("broken")).collect()
+    result: dict[object, list[float]] = {r[by]: [math.nan] * len(shares) for r in sizes if r["broken"]}
+    places = {r[by]: [share * (r["n"] - 1) for share in shares] for r in sizes if not r["broken"]}
+    ranks = {
+        group: sorted({edge for at in group_places for edge in (math.floor(at), math.ceil(at))})
+        for group, group_places in places.items()
+    }
     values = order_statistics(present, "_v", ranks, by, rank_limit)
-    for group, h in at.items():
-        low, high = values[(group, math.floor(h))], values[(group, math.ceil(h))]
-        result[group] = low + (high - low) * (h - math.floor(h))
+    for group, group_places in places.items():
+        result[group] = []
+        for at in group_places:
+            low, high = values[(group, math.floor(at))], values[(group, math.ceil(at))]
+            result[group].append(low + (high - low) * (at - math.floor(at)))
     return result
 
 

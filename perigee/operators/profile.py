@@ -73,28 +73,31 @@ def correlation(df: DataFrame, features: Sequence[str], pairs_per_pass: int = PA
     return long.select("f1", "f2", (F.col("sxy") / F.nullif(spread, F.lit(0.0))).alias("r"))
 
 
-def correlation_matrix(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The full matrix in long form: both directions and the diagonal."""
-    mirrored = pairs.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "r")
-    # A feature correlates with itself unless it is constant, when every r of it is NULL.
-    own = (
-        pairs.unionByName(mirrored).groupBy("f1").agg(F.max("r").alias("any"))
-        .where(F.col("f1").isin(list(features)))
-        .select("f1", F.col("f1").alias("f2"), F.when(F.col("any").isNotNull(), 1.0).alias("r"))
-    )
-    return pairs.unionByName(mirrored).unionByName(own)
+def correlation_matrix(pairs: DataFrame) -> DataFrame:
+    """The full matrix in long form: both directions and the diagonal, from one reading of the pairs.
+
+    A feature correlates fully with itself unless it is constant, when all its r are NULL.
+    """
+    whole = F.when(F.col("r").isNotNull(), F.lit(1.0))
+    cells = pairs.select(F.inline(F.array(*[
+        F.struct(F.col(x).alias("f1"), F.col(y).alias("f2"), value.alias("r"))
+        for x, y, value in [
+            ("f1", "f2", F.col("r")), ("f2", "f1", F.col("r")), ("f1", "f1", whole), ("f2", "f2", whole),
+        ]
+    ])))
+    return cells.groupBy("f1", "f2").agg(F.max("r").alias("r"))
 
 
 def class_diversity(
     df: DataFrame, value: str, code: str, label: str = "Label", shares: Sequence[float] = (0.25, 0.5, 0.75)
 ) -> DataFrame:
     """Quantiles of ``value`` and number of different ``code`` values per class."""
-    spark = df.sparkSession
     columns = [f"p{round(100 * share)}" for share in shares]
-    quantiles = [exact_percentiles(df, value, share, label) for share in shares]
-    rows = [(group, *[q[group] for q in quantiles]) for group in quantiles[0]]
+    quantiles = exact_percentiles(df, value, shares, label)
     table = local_table(
-        spark, {"_label": pa.int64(), **{name: pa.float64() for name in columns}}, rows
+        df.sparkSession,
+        {"_label": pa.int64(), **{name: pa.float64() for name in columns}},
+        [(group, *values) for group, values in quantiles.items()],
     )
     # Distinct codes first, so a class with most of the rows is merged before it is counted.
     codes = (

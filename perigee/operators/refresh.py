@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
@@ -23,12 +23,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None =
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def _failed(status: str) -> Column:
+    return F.col(status).eqNullSafe(fv.STATUS_ERROR)
+
+
 def to_recompute(
     wanted: DataFrame, done: DataFrame, keys: Sequence[str] = ("class_name",), status: str = "status"
 ) -> DataFrame:
     """Wanted keys without a good stored result: missing ones and those that ended in ERROR."""
-    good = done.where(~F.col(status).eqNullSafe(fv.STATUS_ERROR)).select(*keys)
-    return wanted.join(good, list(keys), "left_anti")
+    return wanted.join(done.where(~_failed(status)).select(*keys), list(keys), "left_anti")
 
 
 def refresh_results(
@@ -36,12 +39,16 @@ def refresh_results(
     done: DataFrame,
     compute: Callable[[DataFrame], DataFrame],
     keys: Sequence[str] = ("class_name",),
+    status: str = "status",
 ) -> DataFrame:
-    """Stored results with every missing or failed key computed again."""
-    todo = to_recompute(wanted, done, keys)
-    fresh = compute(todo)
-    kept = done.join(todo.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    """Stored results with every wanted key that is missing or failed computed again."""
+    fresh = compute(to_recompute(wanted, done, keys, status))
+    unwanted = done.where(_failed(status)).join(wanted.select(*keys), list(keys), "left_anti")
+    return (
+        done.where(~_failed(status))
+        .unionByName(unwanted)
+        .unionByName(fresh, allowMissingColumns=True)
+    )
 
 
 def save_by_key(fresh: DataFrame, path: str, keys: Sequence[str] = ("class_name",)) -> None:
