@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,6 +121,11 @@ def _by_broadcast(asked, base, query_id, query_vector, base_id, base_vector, k,
     return asked.mapInPandas(nearest, schema)
 
 
+def _each(count: int) -> Column:
+    """One row per number below ``count``."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+
 def _by_blocks(
     asked, base, query_id, query_vector, base_id, base_vector, k, metric, block_rows, base_size
 ) -> DataFrame:
@@ -131,7 +136,7 @@ def _by_blocks(
     packed_base = (
         base.groupBy(F.pmod(F.xxhash64(base_id), F.lit(blocks)).alias("block"))
         .agg(F.collect_list(F.struct(F.col(base_id).alias("id"), F.col(base_vector).alias("v"))).alias("documents"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("long"))
+        .withColumn("copy", _each(copies))
     )
     packed_queries = (
         asked.groupBy(F.pmod(F.xxhash64(query_id), F.lit(query_blocks)).alias("query_block"))
@@ -139,7 +144,7 @@ def _by_blocks(
         .select(
             "asked",
             F.pmod("query_block", F.lit(copies)).cast("long").alias("copy"),
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+            _each(blocks).alias("block"),
         )
     )
     schema = _result_schema(asked, query_id, base, base_id)
