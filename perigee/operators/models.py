@@ -17,6 +17,7 @@ from perigee.functions.numeric import argmax, round_exact, sum_balanced
 from perigee.operators.features import fit_scaler, scaled_columns
 from perigee.operators.gate import column_stats
 from perigee.operators.lookup import with_class_name
+from perigee.session import spread
 from perigee.sources.artifacts import stats_map
 from perigee.sources.dims import local_table
 
@@ -40,7 +41,7 @@ def train_classifier(
     rows = raw.where(F.col(label).isNotNull()).select(
         *[F.col(name).cast("double").alias(name) for name in features], F.col(label).cast("double").alias("_label")
     )
-    return Pipeline(stages=stages).fit(rows)
+    return Pipeline(stages=stages).fit(spread(rows))
 
 
 def score(df: DataFrame, model: PipelineModel, classes: DataFrame | None = None) -> DataFrame:

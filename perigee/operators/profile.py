@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +16,8 @@ from perigee.functions.numeric import present
 from perigee.operators.order import exact_percentiles
 from perigee.sources.dims import local_table
 
-import pyarrow as pa
-
-PAIRS_PER_PASS = 48
+PAIRS_PER_PASS = 8
+SMALL_SHARE = 1e-6
 
 
 def label_mix(df: DataFrame, label: str = "Label") -> DataFrame:
@@ -43,34 +45,85 @@ def dataset_profile(df: DataFrame, label: str = "Label") -> DataFrame:
     )
 
 
-def correlation(df: DataFrame, features: Sequence[str], pairs_per_pass: int = PAIRS_PER_PASS) -> DataFrame:
-    """Pairwise-complete Pearson correlation, ``(f1, f2, r)`` for each unordered pair.
-
-    Sums of products come from ``regr_*`` aggregates, which skip a row unless both
-    values are there; a constant column gives NULL.  A pass carries a bounded number of
-    aggregates, and passes over many columns read only the columns of their pairs.
-    """
-    pairs = list(combinations(features, 2))
-    passes = [pairs[i:i + pairs_per_pass] for i in range(0, len(pairs), pairs_per_pass)]
-    parts = []
-    for chunk in passes:
+def _moments(means: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per task: for each pair of columns, sums over the rows where both have a value."""
+    centre = np.array(means)[:, None]
+    upper = np.triu_indices(len(means), 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.stack([column.to_numpy(zero_copy_only=False) for column in batch.columns]) - centre
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            mask = there.astype(np.float64)
+            with np.errstate(invalid="ignore", over="ignore"):
+                part = np.stack([mask @ mask.T, x @ mask.T, (x * x) @ mask.T, x @ x.T])
+                total = part if total is None else total + part
+        if total is not None:
+            n, one, square, product = total
+            columns = [n, one, one.T, square, square.T, product]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(upper[0]), pa.array(upper[1]), *[pa.array(c[upper]) for c in columns]],
+                names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
+            )
+
+    return sums
+
+
+def _own_means(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
+    """(f1, f2, r) with the means of each pair's own rows: slow per pair, exact on any data."""
+    found = []
+    for chunk in [pairs[i:i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]:
         aggregates = []
         for i, (left, right) in enumerate(chunk):
             x, y = present(F.col(left).cast("double")), present(F.col(right).cast("double"))
-            aggregates.append(F.struct(
-                F.lit(left).alias("f1"),
-                F.lit(right).alias("f2"),
-                F.regr_sxy(y, x).alias("sxy"),
-                F.regr_sxx(y, x).alias("sxx"),
-                F.regr_syy(y, x).alias("syy"),
-            ).alias(f"p{i}"))
-        wide = df.agg(*aggregates)
-        parts.append(wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(chunk))]))))
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    spread = F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy"))
-    return long.select("f1", "f2", (F.col("sxy") / F.nullif(spread, F.lit(0.0))).alias("r"))
+            spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+            aggregates.append((F.regr_sxy(y, x) / F.nullif(spread, F.lit(0.0))).alias(f"r{i}"))
+        row = df.agg(*aggregates).first()
+        found += [(*pair, row[f"r{i}"]) for i, pair in enumerate(chunk)]
+    return found
+
+
+def correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson correlation, ``(f1, f2, r)`` for each unordered pair.
+
+    One pass finds the means, a second one the sums of products about them: a matrix
+    product per Arrow batch, so tasks send on one row per pair.  Where a pair's own rows
+    hardly vary about their own mean, or a value is infinite, those sums say too little
+    and the pair is computed apart.  A constant column gives NULL.
+    """
+    features = list(features)
+    facts = df.agg(*[
+        F.struct(
+            F.min(present(F.col(name).cast("double"))).alias("low"),
+            F.max(present(F.col(name).cast("double"))).alias("high"),
+            F.avg(present(F.col(name).cast("double"))).alias("mean"),
+        ).alias(f"f{i}")
+        for i, name in enumerate(features)
+    ]).first()
+    flat = {i for i in range(len(features)) if facts[f"f{i}"]["low"] == facts[f"f{i}"]["high"]}
+    means = [facts[f"f{i}"]["mean"] or 0.0 for i in range(len(features))]
+    numbers = df.select(*[F.col(name).cast("double").alias(name) for name in features])
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    parts = numbers.mapInArrow(
+        _moments(means), "i long, j long, " + ", ".join(f"{name} double" for name in names)
+    )
+    sums = {(r["i"], r["j"]): r for r in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).collect()}
+    rows, apart = [], []
+    for i, j in combinations(range(len(features)), 2):
+        s = sums.get((i, j))
+        if i in flat or j in flat or s is None or s["n"] == 0:
+            rows.append((features[i], features[j], None))
+            continue
+        var_x, var_y = s["sxx"] - s["sx"] ** 2 / s["n"], s["syy"] - s["sy"] ** 2 / s["n"]
+        if var_x > SMALL_SHARE * s["sxx"] and var_y > SMALL_SHARE * s["syy"] and math.isfinite(s["sxy"]):
+            covered = s["sxy"] - s["sx"] * s["sy"] / s["n"]
+            rows.append((features[i], features[j], covered / (math.sqrt(var_x) * math.sqrt(var_y))))
+        else:
+            apart.append((features[i], features[j]))
+    rows += _own_means(df, apart)
+    return local_table(df.sparkSession, {"f1": pa.string(), "f2": pa.string(), "r": pa.float64()}, rows)
 
 
 def correlation_matrix(pairs: DataFrame) -> DataFrame:

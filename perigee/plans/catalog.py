@@ -17,7 +17,7 @@ from perigee.operators import gate as gt
 from perigee.operators import lookup, models, order, profile, refresh, sequences, similarity
 from perigee.plans import training
 from perigee.plans.triage import assemble, flatten_incidents, incidents_as_json, parse_incidents, triage
-from perigee.session import scratch_path
+from perigee.session import scratch_path, spread
 from perigee.sources import dims, proxy
 from perigee.sources.artifacts import stats_map
 from perigee.streaming import live
@@ -150,7 +150,7 @@ def incident_record(spark, sf_dir):
 
 def incident_json(spark, sf_dir):
     """Records of all rows written as JSON text and read back."""
-    rows = _classified(spark, sf_dir)
+    rows = spread(_classified(spark, sf_dir))
     incidents = assemble(rows, _stats(proxy.telemetry(spark, sf_dir)), FEATURES, "seq", "ts",
                          dims.knowledge(spark), dims.policy_bands(spark))
     back = parse_incidents(incidents_as_json(incidents), incidents)
@@ -474,7 +474,7 @@ def train_score(spark, sf_dir):
     """Trained on raw, scored on noised; the share of hits is left to ``cross_domain_metrics``."""
     raw, noised = proxy.splits(spark, sf_dir)
     model = models.train_classifier(raw, FEATURES)
-    return models.score(noised, model, dims.classes(spark)).select(
+    return models.score(spread(noised), model, dims.classes(spark)).select(
         "seq", "Label", "predicted_label", "class_name", "confidence"
     )
 

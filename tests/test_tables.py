@@ -59,23 +59,40 @@ def test_label_mix_range_and_profile(table):
     assert profile.dataset_profile(df).first().asDict() == {"rows": 4, "columns": 2, "classes": 2}
 
 
-@pytest.mark.parametrize("pairs_per_pass", [3, 48])
-def test_correlation_is_pairwise_complete(spark, pairs_per_pass):
+def test_correlation_is_pairwise_complete(spark):
     rng = np.random.default_rng(5)
-    frame = pd.DataFrame(rng.normal(size=(300, 4)), columns=list("abcd")) + 1e6
+    frame = pd.DataFrame(rng.normal(size=(300, 5)), columns=list("abcde")) + 1e6
     frame["b"] += frame["a"] * 2
     frame.loc[::7, "c"] = np.nan
     frame.loc[::5, "d"] = np.nan
     frame["flat"] = 0.1
-    expected = frame.corr()
-    pairs = profile.correlation(spark.createDataFrame(frame), list(frame.columns), pairs_per_pass)
-    got = {(r.f1, r.f2): r.r for r in profile.correlation_matrix(pairs).collect()}
-    assert len(got) == 25
+    # Present only where "d" is one value far from its mean, and where it is not.
+    frame["split"] = np.where(frame.index < 20, rng.normal(size=300), np.nan)
+    frame.loc[frame.index < 20, "d"] = 1e9
+    frame["near"] = np.where(frame.index < 20, 1e9 + frame.index % 3, 0.0)
+
+    def expected(x, y):
+        both = frame[[x, y]].dropna().to_numpy().astype(np.longdouble)
+        both -= both.mean(axis=0)
+        return float((both[:, 0] * both[:, 1]).sum() / np.sqrt((both ** 2).sum(axis=0).prod())) if x != y else 1.0
+
+    df = spark.createDataFrame(frame).repartition(3)
+    got = {(r.f1, r.f2): r.r for r in profile.correlation_matrix(profile.correlation(df, list(frame.columns))).collect()}
+    assert len(got) == 64
     for (x, y), r in got.items():
-        if "flat" in (x, y):
+        if "flat" in (x, y) or {x, y} == {"d", "split"}:
             assert r is None
         else:
-            assert r == pytest.approx(expected.loc[x, y], abs=1e-9)
+            # At 1e9 a double keeps about seven digits behind the point.
+            assert r == pytest.approx(expected(x, y), abs=1e-7 if "near" in (x, y) else 1e-9), (x, y)
+
+
+def test_correlation_with_infinite_values(table):
+    df = table("x double, y double, z double",
+               [(1.0, 2.0, 1.0), (2.0, 3.0, 5.0), (3.0, 5.0, 2.0), (math.inf, None, 4.0), (4.0, 1.0, None)])
+    got = {(r.f1, r.f2): r.r for r in profile.correlation(df, ["x", "y", "z"]).collect()}
+    assert got[("x", "y")] == pytest.approx(np.corrcoef([1, 2, 3, 4], [2, 3, 5, 1])[0, 1])
+    assert math.isnan(got[("x", "z")])
 
 
 def test_class_diversity(table):
