@@ -26,7 +26,12 @@ def register(
     z_threshold: float = fv.Z_THRESHOLD,
     min_features: int = fv.MIN_FEATURES,
 ) -> list[str]:
-    """Creates ``check_escalation``, ``incident_severity``, ``fp_risk_score``; returns their names."""
+    """Creates the functions and returns their names.
+
+    ``check_escalation(features...)``, ``decide_mitigation(class_name, confidence)``,
+    ``class_mapping(class_name)``, ``incident_severity(class_name, action)`` and
+    ``fp_risk_score(class_name, confidence)``.
+    """
     terms = [
         f"CAST(coalesce(NOT isnan({name}) AND abs({name} - {stats[name][0]!r}D) / {stats[name][1]!r}D"
         f" > {z_threshold!r}D, false) AS INT)"
@@ -53,4 +58,30 @@ def register(
         f"WHEN class_name IN ({confused}) AND confidence < {fv.CAUTION_CONFIDENCE}D THEN {score['confused']} "
         f"WHEN class_name = {_text(fv.FALSE_ALARM_CLASS)} THEN {score['false_alarm']} ELSE {score['other']} END"
     )
-    return ["check_escalation", "incident_severity", "fp_risk_score"]
+    bands = " ".join(
+        f"WHEN class_name = {_text(name)} AND NOT isnan(confidence) AND confidence >= {low!r}D THEN "
+        f"named_struct('action', {_text(action)}, 'tool_function', {_text(tool)}, 'guardrail_note', {_text(note)}, "
+        f"'autonomous', {str(action != fv.MANUAL_ACTION).lower()}, 'error', CAST(NULL AS STRING))"
+        for name, low, action, tool, note in sorted(fv.POLICY, key=lambda band: -band[1])
+    )
+    known = ", ".join(_text(name) for name in dict.fromkeys(band[0] for band in fv.POLICY))
+    nothing = "CAST(NULL AS STRING)"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION decide_mitigation(class_name STRING, confidence DOUBLE) "
+        "RETURNS STRUCT<action: STRING, tool_function: STRING, guardrail_note: STRING, autonomous: BOOLEAN, error: STRING> "
+        f"RETURN CASE {bands} ELSE named_struct('action', {nothing}, 'tool_function', {nothing}, "
+        f"'guardrail_note', {nothing}, 'autonomous', CAST(NULL AS BOOLEAN), 'error', "
+        f"CASE WHEN class_name IN ({known}) THEN {_text(fv.UNREACHABLE)} "
+        "ELSE concat('No policy defined for class \\'', class_name, '\\'') END) END"
+    )
+    mappings = " ".join(
+        f"WHEN {_text(name)} THEN named_struct('tactic_id', {_text(tactic)}, 'tactic_name', {_text(tactic_name)}, "
+        f"'technique_id', {_text(technique)}, 'technique_name', {_text(technique_name)})"
+        for _, _, name, tactic, tactic_name, technique, technique_name in fv.CLASS_MAPPINGS
+    )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION class_mapping(class_name STRING) "
+        "RETURNS STRUCT<tactic_id: STRING, tactic_name: STRING, technique_id: STRING, technique_name: STRING> "
+        f"RETURN CASE class_name {mappings} END"
+    )
+    return ["check_escalation", "incident_severity", "fp_risk_score", "decide_mitigation", "class_mapping"]

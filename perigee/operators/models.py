@@ -21,6 +21,9 @@ from perigee.session import spread
 from perigee.sources.artifacts import stats_map
 from perigee.sources.dims import local_table
 
+# Room for the statistics of the tree nodes split in one pass: more room, fewer passes over the data.
+NODE_STATS_MB = 512
+
 
 def train_classifier(
     raw: DataFrame,
@@ -36,7 +39,9 @@ def train_classifier(
     """
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"),
-        RandomForestClassifier(labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed),
+        RandomForestClassifier(
+            labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=NODE_STATS_MB
+        ),
     ]
     rows = raw.where(F.col(label).isNotNull()).select(
         *[F.col(name).cast("double").alias(name) for name in features], F.col(label).cast("double").alias("_label")

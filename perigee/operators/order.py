@@ -16,6 +16,8 @@ from perigee.sources.dims import local_table
 # Rows one task may sort to read off a rank; larger brackets are narrowed first.
 RANK_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
+# Up to this many rows are picked by a filter that reaches the scan.
+LITERAL_PICKS = 50
 
 
 def with_dense_index(
@@ -99,7 +101,7 @@ def _bracket_rows(df: DataFrame, targets: DataFrame, by: str, value: str) -> Dat
     inside = (F.col("lo").isNull() | (F.col(value) >= F.col("lo"))) & (
         F.col("hi").isNull() | (F.col(value) <= F.col("hi"))
     )
-    return df.join(F.broadcast(targets), (df[by] == F.col("_by")) & inside)
+    return df.join(targets, (df[by] == F.col("_by")) & inside)
 
 
 def order_statistics(
@@ -161,7 +163,7 @@ def order_statistics(
             spark, {"_t": pa.int32(), "g_lo": kind, "g_hi": kind}, [(t, *g) for t, g in guesses.items()]
         )
         counted = {r["_t"]: r for r in (
-            _bracket_rows(rows, table(narrowed), by, value).join(F.broadcast(guess_table), "_t").groupBy("_t").agg(
+            _bracket_rows(rows, table(narrowed), by, value).join(guess_table, "_t").groupBy("_t").agg(
                 F.count_if(F.col(value) < F.col("g_lo")).alias("under"),
                 F.count_if(F.col(value) <= F.col("g_hi")).alias("upto"),
                 F.max(F.when(F.col(value) < F.col("g_lo"), F.col(value))).alias("below"),
@@ -235,6 +237,12 @@ def representative_rows(
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(seq).alias("n")).collect()
     ranks = {r[group]: [r["n"] // 3] for r in sizes if r["n"] > 0}
     picks = order_statistics(df, seq, ranks, group, rank_limit)
+    if len(picks) > LITERAL_PICKS:
+        kinds = [pa.string() if dict(df.dtypes)[group] == "string" else pa.int64(), pa.int64()]
+        chosen = local_table(
+            df.sparkSession, dict(zip(("_group", "_seq"), kinds)), [(value, at) for (value, _), at in picks.items()]
+        )
+        return df.join(chosen, (df[group] == chosen["_group"]) & (df[seq] == chosen["_seq"]), "left_semi")
     condition = F.lit(False)
     for (value, _), at in picks.items():
         condition = condition | ((F.col(group) == F.lit(value)) & (F.col(seq) == F.lit(at)))

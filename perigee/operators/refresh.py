@@ -64,3 +64,15 @@ def save_by_key(fresh: DataFrame, path: str, keys: Sequence[str] = ("class_name"
 def load_results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
+
+
+def save_version(df: DataFrame, root: str, version: int) -> None:
+    """A whole new version beside the old ones: readers never meet a half-written table."""
+    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+
+
+def load_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The given version, or the greatest one."""
+    if version is None:
+        version = spark.read.parquet(root).agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root}/version={version}")

@@ -77,6 +77,18 @@ def escalation_sql(spark, sf_dir):
     )
 
 
+def mitigation_sql(spark, sf_dir):
+    """Policy, taxonomy and severity of all rows by SQL functions."""
+    rows = _classified(spark, sf_dir)
+    sql_functions.register(spark, _stats(proxy.telemetry(spark, sf_dir)), FEATURES)
+    rows.createOrReplaceTempView("perigee_classified")
+    return spark.sql(
+        "SELECT seq, d.action, d.tool_function, d.guardrail_note, d.autonomous, m.tactic_id, m.technique_id, "
+        "incident_severity(class_name, d.action) AS severity FROM (SELECT seq, class_name, "
+        "decide_mitigation(class_name, confidence) AS d, class_mapping(class_name) AS m FROM perigee_classified)"
+    )
+
+
 def feature_z(spark, sf_dir):
     rows = proxy.telemetry(spark, sf_dir)
     return rounded(gt.feature_z(rows, gt.baseline_stats(rows, FEATURES), FEATURES, ["seq"]), "value", "z")
@@ -576,7 +588,7 @@ def stream_metric_history(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        baseline_stats, escalation_gate, escalation_gate_two_features, escalation_rate, escalation_sql, feature_z,
+        baseline_stats, escalation_gate, escalation_gate_two_features, escalation_rate, escalation_sql, mitigation_sql, feature_z,
         top_drivers, class_mapping, policy_bands, policy_errors, severity_fp_risk, triage_status, incident_record,
         incident_json, report_text, rounded_confidence, similar_incidents, result_refresh, cached_lookup, kb_upsert,
         label_mix, range_audit, dataset_profile, correlation, class_diversity, class_sizes, confusion,

@@ -175,6 +175,10 @@ ORACLE: dict[str, str] = {
 FROM (SELECT Label, CASE WHEN ({_tripped(5.0)}) >= 1 THEN 1 ELSE 0 END AS e FROM proxy, base) g GROUP BY Label""",
     "escalation_sql": _with(PROXY, BASE)
     + f"SELECT seq, ({_tripped(Z)}) >= 1 AS escalate, {_risk(0, _text('Data Injection'))} AS risk FROM proxy, base",
+    "mitigation_sql": _with(PROXY, CLASSES, POLICY, MAPPING, CLASSIFIED, DECIDED)
+    + f"""SELECT seq, action, tool_function, guardrail_note, action <> 'Escalate Alert' AS autonomous, tactic_id, technique_id,
+  {SEVERITY.replace("class_name", "d.class_name")} AS severity
+FROM decided d JOIN mapping m ON m.class_name = d.class_name""",
     "feature_z": _with(PROXY, BASE) + " UNION ALL ".join(
         f"SELECT seq, '{f}' AS feature, round({f}, 6) AS value, round({_z(f)}, 6) AS z FROM proxy, base"
         for f in FEATURES

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 FEATURES = ["MsgId", "CmdCode", "TimeRadians", "MsgLength"]
 EVENT_LABELS = {"view": 0, "click": 1, "purchase": 2, "signup": 3, "error": 4}
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-DAY_MICROS = 86_400_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,13 +26,14 @@ def as_telemetry(events: DataFrame) -> DataFrame:
     label = F.lit(None).cast("int")
     for name, value in EVENT_LABELS.items():
         label = F.when(F.col("event_type") == name, F.lit(value)).otherwise(label)
-    day_micros = F.unix_micros(F.col("ts").cast("timestamp")) % DAY_MICROS
+    # Clock fields of the wall-clock time: the same in every session time zone.
+    seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.date_part(F.lit("SECOND"), "ts")
     return events.select(
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("double").alias("MsgId"),
         k.cast("double").alias("CmdCode"),
-        (F.lit(2 * math.pi) * (day_micros / F.lit(1e6)) / F.lit(86400.0)).alias("TimeRadians"),
+        (F.lit(2 * math.pi) * seconds.cast("double") / F.lit(86400.0)).alias("TimeRadians"),
         F.col("value").alias("MsgLength"),
         label.alias("Label"),
         (k % 5).alias("pred"),

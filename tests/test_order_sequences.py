@@ -74,6 +74,13 @@ def test_representative_row_at_a_third(table):
     assert {r.Label: r.seq for r in order.representative_rows(df, rank_limit=2).collect()} == got
 
 
+def test_representative_rows_of_many_groups(spark):
+    df = spark.range(1000).select(F.col("id").alias("seq"), (F.col("id") % 70).cast("string").alias("Label"))
+    got = {r.Label: r.seq for r in order.representative_rows(df).collect()}
+    expected = {str(g): list(range(g, 1000, 70)) for g in range(70)}
+    assert got == {g: rows[len(rows) // 3] for g, rows in expected.items()}
+
+
 def test_heads_and_tails(spark):
     df = spark.range(500).select(F.col("id").alias("seq"), (F.col("id") * 2.0).alias("MsgLength"))
     assert sorted(r.seq for r in order.last_rows(df, 200).collect()) == list(range(300, 500))

@@ -68,6 +68,21 @@ def test_bands_from_a_policy_table(spark, table):
     assert decide(spark, table, rows, dims.bands_from_policy(policy)) == decide(spark, table, rows)
 
 
+def test_sql_functions_agree_with_the_joins(spark, table):
+    from perigee.functions import sql as sql_functions
+
+    cases = [case[:2] for case in BOUNDARIES] + [("Unheard", 0.9), ("Normal", -0.1), ("Normal", math.nan)]
+    joined = decide(spark, table, cases)
+    sql_functions.register(spark, {"x": (0.0, 1.0)}, ["x"])
+    table(CASES, [(i, *case) for i, case in enumerate(cases)]).createOrReplaceTempView("cases")
+    called = spark.sql(
+        "SELECT i, d.*, m.tactic_id FROM (SELECT i, decide_mitigation(class_name, confidence) AS d, "
+        "class_mapping(class_name) AS m FROM cases) ORDER BY i").collect()
+    fields = ["action", "tool_function", "guardrail_note", "autonomous"]
+    assert [[r[f] for f in fields] + [r.policy_error] for r in joined] == [[r[f] for f in fields] + [r.error] for r in called]
+    assert called[0].tactic_id == "ST0009" and called[-3].tactic_id is None
+
+
 def test_low_confidence_logging_counts_as_autonomous(spark, table):
     decided = decide(spark, table, [("Data Injection", 0.1), ("Defence Impairment", 0.1)])
     assert [r.autonomous for r in decided] == [True, False]

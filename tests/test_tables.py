@@ -200,6 +200,15 @@ def test_upsert_last_write_wins(spark, table):
     assert {r.id: (r.text, r.year) for r in again.collect()} == got
 
 
+def test_versions_are_read_whole(spark, table, tmp_path):
+    root = str(tmp_path / "kb")
+    refresh.save_version(table("id string, text string", [("a", "1")]), root, 1)
+    latest = refresh.load_version(spark, root)
+    refresh.save_version(refresh.upsert(latest, table("id string, text string", [("a", "2"), ("b", "1")])), root, 2)
+    assert sorted(tuple(r) for r in refresh.load_version(spark, root).collect()) == [("a", "2"), ("b", "1")]
+    assert [tuple(r) for r in refresh.load_version(spark, root, 1).collect()] == [("a", "1")]
+
+
 def test_refresh_recomputes_missing_and_failed_only(spark, table, tmp_path):
     wanted = table("class_name string", [("Normal",), ("Data Injection",), ("Command Flooding",)])
     done = table("class_name string, status string, n int",
