@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
@@ -96,12 +96,59 @@ def metric_history(
     return last_rows(one_per_step, points, step)
 
 
-def _bracket_rows(df: DataFrame, targets: DataFrame, by: str, value: str) -> DataFrame:
-    """Rows of ``df`` that lie in the bracket of a target; a row may serve several."""
-    inside = (F.col("lo").isNull() | (F.col(value) >= F.col("lo"))) & (
-        F.col("hi").isNull() | (F.col(value) <= F.col("hi"))
-    )
-    return df.join(targets, (df[by] == F.col("_by")) & inside)
+class _Brackets:
+    """Rows of a table between two bounds, for several groups and bounds at once."""
+
+    def __init__(self, df: DataFrame, by: str, value: str) -> None:
+        self.rows = df.select(by, value).where(F.col(value).isNotNull() & F.col(by).isNotNull())
+        self.by, self.value = by, value
+        kinds = dict(self.rows.dtypes)
+        self.kind = pa.float64() if kinds[value] == "double" else pa.int64()
+        self.group_kind = pa.string() if kinds[by] == "string" else pa.int64()
+
+    def table(self, bounds: dict[int, tuple], **extra: pa.DataType) -> DataFrame:
+        """``(_t, _by, lo, hi, *extra)`` per entry; NULL bounds are open."""
+        columns = {"_t": pa.int32(), "_by": self.group_kind, "lo": self.kind, "hi": self.kind, **extra}
+        return local_table(self.rows.sparkSession, columns, [(t, *bound) for t, bound in bounds.items()])
+
+    def inside(self, bounds: dict[int, tuple], **extra: pa.DataType) -> DataFrame:
+        """Rows inside each entry's bounds; a row may serve several entries."""
+        value = F.col(self.value)
+        between = (F.col("lo").isNull() | (value >= F.col("lo"))) & (F.col("hi").isNull() | (value <= F.col("hi")))
+        return self.rows.join(self.table(bounds, **extra), (self.rows[self.by] == F.col("_by")) & between)
+
+    def sizes(self, bounds: dict[int, tuple]) -> dict[int, Row]:
+        found = self.inside(bounds).groupBy("_t").agg(
+            F.count(F.lit(1)).alias("n"), F.min(self.value).alias("lo"), F.max(self.value).alias("hi")
+        )
+        return {r["_t"]: r for r in found.collect()}
+
+    def sketches(self, bounds: dict[int, tuple], shares: list[float]) -> dict[int, list]:
+        found = self.inside(bounds).groupBy("_t").agg(
+            F.percentile_approx(self.value, shares, SKETCH_ACCURACY).alias("q")
+        )
+        return {r["_t"]: r["q"] for r in found.collect()}
+
+    def splits(self, guesses: dict[int, tuple]) -> dict[int, Row]:
+        """How the rows of each entry lie about its guess ``(g_lo, g_hi)``."""
+        value = F.col(self.value)
+        found = self.inside(guesses, g_lo=self.kind, g_hi=self.kind).groupBy("_t").agg(
+            F.count_if(value < F.col("g_lo")).alias("under"),
+            F.count_if(value <= F.col("g_hi")).alias("upto"),
+            F.max(F.when(value < F.col("g_lo"), value)).alias("below"),
+            F.min(F.when(value > F.col("g_hi"), value)).alias("above"),
+            F.count_if(value == F.col("lo")).alias("at_lo"),
+            F.count_if(value < F.col("hi")).alias("under_hi"),
+            F.min(F.when(value > F.col("lo"), value)).alias("after_lo"),
+            F.max(F.when(value < F.col("hi"), value)).alias("before_hi"),
+        )
+        return {r["_t"]: r for r in found.collect()}
+
+    def at_ranks(self, targets: dict[int, tuple]) -> dict[int, object]:
+        """The value at place ``k`` of each entry; meant for entries of few rows."""
+        place = F.row_number().over(Window.partitionBy("_t").orderBy(self.value)) - 1
+        found = self.inside(targets, k=pa.int64()).withColumn("_at", place).where("_at = k")
+        return {r["_t"]: r[self.value] for r in found.select("_t", self.value).collect()}
 
 
 def order_statistics(
@@ -114,96 +161,65 @@ def order_statistics(
     on), and the step repeats on the bracket until ``rank_limit`` rows are left.  Every
     pass is an aggregate with map-side parts; the driver keeps two bounds per rank.
     """
-    spark = df.sparkSession
-    rows = df.select(by, value).where(F.col(value).isNotNull() & F.col(by).isNotNull())
-    kind = pa.float64() if dict(rows.dtypes)[value] == "double" else pa.int64()
-    group_kind = pa.string() if dict(rows.dtypes)[by] == "string" else pa.int64()
-    columns = {"_t": pa.int32(), "_by": group_kind, "k": pa.int64(), "lo": kind, "hi": kind}
+    brackets = _Brackets(df, by, value)
     wanted = [(group, rank) for group, group_ranks in ranks.items() for rank in dict.fromkeys(group_ranks)]
-    open_targets = {t: (group, rank, None, None) for t, (group, rank) in enumerate(wanted)}
-    ready: dict[int, tuple] = {}
+    pending = {t: (group, rank, None, None) for t, (group, rank) in enumerate(wanted)}
+    small: dict[int, tuple] = {}
     found: dict[tuple[object, int], object] = {}
+    margin = 2.0 / SKETCH_ACCURACY
 
-    def table(targets: dict[int, tuple]) -> DataFrame:
-        return local_table(spark, columns, [(t, *target) for t, target in targets.items()])
-
-    while open_targets:
-        inside = _bracket_rows(rows, table(open_targets), by, value)
-        sizes = {r["_t"]: r for r in inside.groupBy("_t").agg(
-            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
-        ).collect()}
+    while pending:
+        # Ranks that still share their bounds are measured together.
+        shared = {bound: b for b, bound in enumerate(dict.fromkeys((g, lo, hi) for g, _, lo, hi in pending.values()))}
+        sizes = brackets.sizes({b: bound for bound, b in shared.items()})
         wide = {}
-        for t, (group, k, _, _) in open_targets.items():
-            size = sizes.get(t)
+        for t, (group, k, lo, hi) in pending.items():
+            size = sizes.get(shared[(group, lo, hi)])
             if size is None or not 0 <= k < size["n"]:
                 raise ValueError(f"group {group!r} has no row at rank {wanted[t][1]}")
             if size["lo"] == size["hi"]:
                 found[wanted[t]] = size["lo"]
             elif size["n"] <= rank_limit:
-                ready[t] = (group, k, size["lo"], size["hi"])
+                small[t] = (group, size["lo"], size["hi"], k)
             else:
                 wide[t] = (group, k, size)
         if not wide:
             break
-        margin = 2.0 / SKETCH_ACCURACY
-        shares = sorted({
-            min(1.0, max(0.0, k / size["n"] + side * margin)) for _, k, size in wide.values() for side in (-1, 1)
-        })
-        narrowed = {t: (group, k, size["lo"], size["hi"]) for t, (group, k, size) in wide.items()}
-        sketches = {r["_t"]: r["q"] for r in _bracket_rows(rows, table(narrowed), by, value).groupBy("_t").agg(
-            F.percentile_approx(value, shares, SKETCH_ACCURACY).alias("q")
-        ).collect()}
-        guesses = {}
-        for t, (group, k, size) in wide.items():
-            low, high = (
-                sketches[t][shares.index(min(1.0, max(0.0, k / size["n"] + side * margin)))] for side in (-1, 1)
-            )
-            guesses[t] = (low, high)
-        guess_table = local_table(
-            spark, {"_t": pa.int32(), "g_lo": kind, "g_hi": kind}, [(t, *g) for t, g in guesses.items()]
+        edges = {
+            t: [min(1.0, max(0.0, k / size["n"] + side * margin)) for side in (-1, 1)]
+            for t, (_, k, size) in wide.items()
+        }
+        shares = sorted({share for pair in edges.values() for share in pair})
+        sketches = brackets.sketches(
+            {size["_t"]: (group, size["lo"], size["hi"]) for group, _, size in wide.values()}, shares
         )
-        counted = {r["_t"]: r for r in (
-            _bracket_rows(rows, table(narrowed), by, value).join(guess_table, "_t").groupBy("_t").agg(
-                F.count_if(F.col(value) < F.col("g_lo")).alias("under"),
-                F.count_if(F.col(value) <= F.col("g_hi")).alias("upto"),
-                F.max(F.when(F.col(value) < F.col("g_lo"), F.col(value))).alias("below"),
-                F.min(F.when(F.col(value) > F.col("g_hi"), F.col(value))).alias("above"),
-            )
-        ).collect()}
-        open_targets = {}
+        guesses = {
+            t: (group, size["lo"], size["hi"], *[sketches[size["_t"]][shares.index(share)] for share in edges[t]])
+            for t, (group, _, size) in wide.items()
+        }
+        split = brackets.splits(guesses)
+        pending = {}
         for t, (group, k, size) in wide.items():
-            (low, high), seen = guesses[t], counted[t]
+            _, lo, hi, low, high = guesses[t]
+            seen = split[t]
             if k < seen["under"]:
-                open_targets[t] = (group, k, size["lo"], seen["below"])
+                pending[t] = (group, k, lo, seen["below"])
             elif k >= seen["upto"]:
-                open_targets[t] = (group, k - seen["upto"], seen["above"], size["hi"])
-            elif (low, high) != (size["lo"], size["hi"]):
-                open_targets[t] = (group, k - seen["under"], low, high)
+                pending[t] = (group, k - seen["upto"], seen["above"], hi)
+            elif (low, high) != (lo, hi):
+                pending[t] = (group, k - seen["under"], low, high)
+            # The guess is the bracket itself: most rows sit on its ends, so take those off.
+            elif k < seen["at_lo"]:
+                found[wanted[t]] = lo
+            elif k >= seen["under_hi"]:
+                found[wanted[t]] = hi
             else:
-                # One value dominates both ends: take the ends off and go on with the middle.
-                open_targets[t] = _without_ends(rows, table({t: narrowed[t]}), by, value, narrowed[t])
-    if ready:
-        place = F.row_number().over(Window.partitionBy("_t").orderBy(value)) - 1
-        picked = _bracket_rows(rows, table(ready), by, value).withColumn("_at", place).where("_at = k")
-        found.update({wanted[r["_t"]]: r[value] for r in picked.select("_t", value).collect()})
+                pending[t] = (group, k - seen["at_lo"], seen["after_lo"], seen["before_hi"])
+    if small:
+        found.update({wanted[t]: at for t, at in brackets.at_ranks(small).items()})
     return found
 
 
-def _without_ends(rows: DataFrame, target: DataFrame, by: str, value: str, bracket: tuple) -> tuple:
-    group, k, low, high = bracket
-    seen = _bracket_rows(rows, target, by, value).agg(
-        F.count_if(F.col(value) == low).alias("at_low"),
-        F.count_if(F.col(value) < high).alias("under_high"),
-        F.min(F.when(F.col(value) > low, F.col(value))).alias("next"),
-        F.max(F.when(F.col(value) < high, F.col(value))).alias("last"),
-    ).first()
-    if k < seen["at_low"]:
-        return group, k, low, low
-    if k >= seen["under_high"]:
-        return group, k - seen["under_high"], high, high
-    return group, k - seen["at_low"], seen["next"], seen["last"]
-
-
 def exact_percentiles(
     df: DataFrame, value: str, shares: Sequence[float], by: str, rank_limit: int = RANK_LIMIT
 ) -> dict[object, list[float]]:
