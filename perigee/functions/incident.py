@@ -116,7 +116,11 @@ def incident_record(
     drivers: Column | str,
     satellite_id: str = fv.SATELLITE_ID,
 ) -> Column:
-    """The nested record over the columns a triaged row carries."""
+    """The nested record over the columns a triaged row carries.
+
+    Field names follow the documented record; the drivers hold baseline deviations
+    (``z_score``), not attributions of a model.
+    """
     risk = false_positive_risk("class_name", "confidence")
     return F.struct(
         incident_id(key).alias("incident_id"),
@@ -128,8 +132,8 @@ def incident_record(
             F.col("confidence"),
             severity("class_name", "action").alias("severity"),
         ).alias("classification"),
-        as_column(drivers).alias("drivers"),
-        F.struct("tactic_id", "tactic_name", "technique_id", "technique_name").alias("taxonomy_context"),
+        as_column(drivers).alias("shap_drivers"),
+        F.struct("tactic_id", "tactic_name", "technique_id", "technique_name").alias("sparta_context"),
         F.struct(
             F.col("action").alias("recommended_action"),
             F.col("tool_function").alias("executed_tool_call"),
@@ -149,14 +153,14 @@ def incident_record(
 def report_text(record: Column | str) -> Column:
     """Deterministic six-section text of one record, in place of written narration."""
     r = as_column(record)
-    cls, mit, ctx, risk = r["classification"], r["mitigation"], r["taxonomy_context"], r["false_positive_risk"]
+    cls, mit, ctx, risk = r["classification"], r["mitigation"], r["sparta_context"], r["false_positive_risk"]
 
     def shown(value: Column) -> Column:
         return F.coalesce(value.cast("string"), F.lit("n/a"))
 
     drivers = F.array_join(
         F.transform(
-            r["drivers"],
+            r["shap_drivers"],
             lambda d: F.format_string("%s=%.2f (z %.2f)", d["feature_name"], d["measured_value"], d["z_score"]),
         ),
         ", ",
@@ -169,7 +173,7 @@ def report_text(record: Column | str) -> Column:
             F.lit("), confidence "), F.coalesce(F.format_string("%.4f", cls["confidence"]), F.lit("n/a")),
             F.lit(", severity "), cls["severity"],
         ),
-        F.concat(F.lit("2. Feature drivers: "), F.when(F.size(r["drivers"]) > 0, drivers).otherwise(F.lit("none"))),
+        F.concat(F.lit("2. Feature drivers: "), F.when(F.size(r["shap_drivers"]) > 0, drivers).otherwise(F.lit("none"))),
         F.concat(
             F.lit("3. Taxonomy: tactic "), shown(ctx["tactic_id"]), F.lit(", technique "), shown(ctx["technique_id"])
         ),

@@ -16,6 +16,10 @@ from perigee.operators.models import score
 from perigee.sources import dims
 
 
+# How records are written as JSON: moments as UTC text, absent values as nulls.
+JSON_OPTIONS = {"timestampFormat": fv.UTC_FORMAT, "ignoreNullFields": "false"}
+
+
 def triage(
     df: DataFrame,
     stats: Stats,
@@ -83,8 +87,8 @@ def flatten_incidents(incidents: DataFrame, key: str = "seq") -> DataFrame:
         F.col("record.classification.class_name"),
         F.col("record.classification.confidence"),
         F.col("record.classification.severity"),
-        F.col("record.taxonomy_context.tactic_id"),
-        F.col("record.taxonomy_context.technique_id"),
+        F.col("record.sparta_context.tactic_id"),
+        F.col("record.sparta_context.technique_id"),
         F.col("record.mitigation.recommended_action"),
         F.col("record.mitigation.executed_tool_call"),
         F.col("record.mitigation.autonomous_execution"),
@@ -93,15 +97,14 @@ def flatten_incidents(incidents: DataFrame, key: str = "seq") -> DataFrame:
         F.col("record.false_positive_risk.fp_risk_score"),
         F.col("record.false_positive_risk.risk_note"),
         F.col("record.human_review.status").alias("review_status"),
-        F.element_at("record.drivers", 1)["feature_name"].alias("top_feature"),
+        F.element_at("record.shap_drivers", 1)["feature_name"].alias("top_feature"),
         F.col("status"),
     )
 
 
 def incidents_as_json(incidents: DataFrame, key: str = "seq") -> DataFrame:
     """One JSON text per record; absent values are written as nulls."""
-    options = {"timestampFormat": fv.UTC_FORMAT, "ignoreNullFields": "false"}
-    return incidents.select(key, F.to_json("record", options).alias("json"), "status")
+    return incidents.select(key, F.to_json("record", JSON_OPTIONS).alias("json"), "status")
 
 
 def parse_incidents(rows: DataFrame, like: DataFrame, column: str = "json") -> DataFrame:
@@ -112,4 +115,4 @@ def parse_incidents(rows: DataFrame, like: DataFrame, column: str = "json") -> D
 
 def write_incidents(incidents: DataFrame, path: str) -> None:
     """JSON-lines files of the records with report and status beside them."""
-    incidents.write.mode("append").option("timestampFormat", fv.UTC_FORMAT).option("ignoreNullFields", False).json(path)
+    incidents.write.mode("append").options(**JSON_OPTIONS).json(path)

@@ -22,7 +22,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def as_telemetry(events: DataFrame) -> DataFrame:
     """Works on a batch and on a stream of ``events`` rows alike."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    # Parsed in a step of its own, so the three columns made of it share one parse.
+    events = events.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("_k")
     label = F.lit(None).cast("int")
     for name, value in EVENT_LABELS.items():
         label = F.when(F.col("event_type") == name, F.lit(value)).otherwise(label)

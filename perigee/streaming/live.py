@@ -26,14 +26,15 @@ def read_stream(
 
 
 def write_stream(
-    rows: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", once: bool = True, interval: str = "10 seconds"
+    rows: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", once: bool = True, interval: str = "10 seconds",
+    **options: str,
 ) -> StreamingQuery:
     """Appends rows to files, each input row once: the file sink commits whole batches.
 
     ``once`` works off what is there in ordered batches and stops; otherwise the query
     keeps running.
     """
-    writer = rows.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.format(fmt).options(**options).option("path", path).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
     return writer.outputMode("append").start()
 

@@ -160,18 +160,18 @@ def test_triage_keeps_escalated_rows_only_and_never_drops_a_bad_one(incidents):
     assert set(got) == {1, 2, 4}
     assert (got[1].status, got[2].status, got[4].status) == ("AUTONOMOUS", "FLAGGED_FOR_REVIEW", "ERROR")
     record = got[1].record
-    assert [d.feature_name for d in record.drivers] == ["x", "y", "w"]
+    assert [d.feature_name for d in record.shap_drivers] == ["x", "y", "w"]
     assert record.mitigation.executed_tool_call == "tool_rate_limit_uplink"
     assert record.human_review.asDict() == {"status": "PENDING_REVIEW", "reviewer_id": None, "review_timestamp": None}
-    assert [d.feature_name for d in got[2].record.drivers] == ["x", "w"]
+    assert [d.feature_name for d in got[2].record.shap_drivers] == ["x", "w"]
     assert "Command Flooding" in got[1].report and got[1].report.count("\n") == 6
 
 
 def test_records_survive_json(incidents, spark, tmp_path):
     text = incidents_as_json(incidents)
     first = json.loads(text.where("seq = 1").first().json)
-    assert list(first) == ["incident_id", "timestamp_utc", "satellite_id", "classification", "drivers",
-                           "taxonomy_context", "mitigation", "false_positive_risk", "human_review"]
+    assert list(first) == ["incident_id", "timestamp_utc", "satellite_id", "classification", "shap_drivers",
+                           "sparta_context", "mitigation", "false_positive_risk", "human_review"]
     assert first["timestamp_utc"] == "2026-07-25T22:45:12Z" and first["human_review"]["reviewer_id"] is None
     back = parse_incidents(text, incidents)
     assert sorted(back.select("seq", "record").collect()) == sorted(incidents.select("seq", "record").collect())

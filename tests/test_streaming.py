@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from perigee.operators import gate as gt
 from perigee.operators import order, profile
-from perigee.plans.triage import flatten_incidents, triage
+from perigee.plans.triage import JSON_OPTIONS, flatten_incidents, triage
 from perigee.streaming import live
 
 NAMES = ["MsgLength", "CmdCode"]
@@ -69,7 +69,8 @@ def test_restarted_triage_gives_each_incident_once(feed, spark):
 def test_incidents_stream_to_json(feed, spark):
     feed.add(0, 60)
     incidents = triage(feed.stream(), STATS, NAMES)
-    live.write_stream(incidents, feed.out, feed.checkpoint, fmt="json").awaitTermination()
+    live.write_stream(incidents, feed.out, feed.checkpoint, fmt="json", **JSON_OPTIONS).awaitTermination()
+    assert '"reviewer_id":null' in spark.read.text(feed.out).first().value
     assert spark.read.schema(incidents.schema).json(feed.out).count() == triage(feed.batch(), STATS, NAMES).count()
 
 
