@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
@@ -16,10 +17,12 @@ from perigee.operators import features as fx
 from perigee.operators import gate as gt
 from perigee.operators import lookup, models, order, profile, refresh, sequences, similarity
 from perigee.plans import training
-from perigee.plans.triage import assemble, flatten_incidents, incidents_as_json, parse_incidents, triage
-from perigee.session import scratch_path, spread
-from perigee.sources import dims, proxy
-from perigee.sources.artifacts import stats_map
+from perigee.plans.triage import (
+    JSON_OPTIONS, assemble, flatten_incidents, incidents_as_json, parse_incidents, triage, write_incidents,
+)
+from perigee.session import materialize, scratch_path, spread
+from perigee.sources import dims, proxy, telemetry
+from perigee.sources.artifacts import load_stats, save_table, stats_map
 from perigee.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +106,29 @@ def top_drivers(spark, sf_dir):
     )
 
 
+def gate_counts(spark, sf_dir):
+    """Rows seen and escalated, observed while the escalated rows are written."""
+    rows = proxy.telemetry(spark, sf_dir)
+    seen = Observation("gate_counts")
+    materialize(gt.escalated_rows(rows, _stats(rows), FEATURES, PROXY_Z, observation=seen), "escalated")
+    return dims.local_table(spark, {"seen": pa.int64(), "escalated": pa.int64()}, [(seen.get["seen"], seen.get["escalated"])])
+
+
+def stats_files(spark, sf_dir):
+    """Baseline statistics saved and loaded again."""
+    path = scratch_path(spark, "stats")
+    save_table(gt.baseline_stats(proxy.telemetry(spark, sf_dir), FEATURES), path, "json")
+    return rounded(load_stats(spark, path, "json"), "mean", "std")
+
+
+def csv_ingest(spark, sf_dir):
+    """Rows written as CSV files and read again with a declared schema and their position."""
+    path = scratch_path(spark, "csv")
+    rows = proxy.telemetry(spark, sf_dir).orderBy("seq").select(*FEATURES, "Label")
+    rows.write.option("header", True).csv(path)
+    return rounded(telemetry.read_ordered_csv(spark, path, telemetry.telemetry_schema(FEATURES)), "TimeRadians")
+
+
 # --- triage -------------------------------------------------------------------
 
 
@@ -172,6 +198,15 @@ def incident_json(spark, sf_dir):
     )
 
 
+def incident_files(spark, sf_dir):
+    """Incident records written as JSON lines and read again."""
+    rows = proxy.telemetry(spark, sf_dir).withColumnRenamed("pred", "predicted_label")
+    incidents = triage(rows, _stats(rows), FEATURES, z_threshold=PROXY_Z)
+    path = scratch_path(spark, "incidents")
+    write_incidents(incidents, path)
+    return flatten_incidents(spark.read.schema(incidents.schema).options(**JSON_OPTIONS).json(path))
+
+
 def report_text(spark, sf_dir):
     rows = proxy.telemetry(spark, sf_dir)
     incidents = triage(
@@ -199,7 +234,7 @@ def rounded_confidence(spark, sf_dir):
 def similar_incidents(spark, sf_dir):
     """Each vector's two nearest among those whose label marks them as incidents."""
     vectors = proxy.read(spark, sf_dir, "embeddings").select(
-        "vec_id", "embedding", F.when(F.col("label") % 2 == 0, "incident").otherwise("class_mapping").alias("type")
+        "vec_id", "embedding", F.when(F.col("label") >= 5, "incident").otherwise("class_mapping").alias("type")
     )
     found = similarity.similar_incidents(vectors, vectors, query_id="vec_id", base_id="vec_id")
     return rounded(found, "distance")
@@ -396,7 +431,7 @@ def contract_split(spark, sf_dir):
     rows = proxy.read(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         F.get_json_object("props", "$.k").alias("CmdCode"),
-        F.when(F.col("user_id") % 10 == 3, F.col("event_type")).otherwise(F.col("value").cast("string"))
+        F.when(F.col("event_type") == "purchase", F.col("event_type")).otherwise(F.col("value").cast("string"))
         .alias("MsgLength"),
         F.when(F.col("event_type") == "error", F.lit("Normal")).when(F.col("event_type") == "view",
                                                                      F.lit("Data Injection"))
@@ -442,7 +477,8 @@ def straddling_sequences(spark, sf_dir):
     rows = proxy.telemetry(spark, sf_dir).select("seq", "Label", "pred")
     marked = sequences.straddling(order.with_dense_index(rows, ["seq"]), "idx", carry=["pred"], length=3)
     return marked.groupBy("straddles").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("Label") != F.col("pred")).cast("double")), 6).alias("error_rate")
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg((F.col("Label") != F.col("pred")).cast("double")), 6).alias("error_rate"),
     )
 
 
@@ -589,6 +625,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
         baseline_stats, escalation_gate, escalation_gate_two_features, escalation_rate, escalation_sql, mitigation_sql, feature_z,
+        gate_counts, stats_files, csv_ingest, incident_files,
         top_drivers, class_mapping, policy_bands, policy_errors, severity_fp_risk, triage_status, incident_record,
         incident_json, report_text, rounded_confidence, similar_incidents, result_refresh, cached_lookup, kb_upsert,
         label_mix, range_audit, dataset_profile, correlation, class_diversity, class_sizes, confusion,

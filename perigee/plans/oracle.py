@@ -226,7 +226,7 @@ FROM s""",
     pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2) AS distance,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY
       list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS place
-  FROM embeddings q, embeddings b WHERE b.label % 2 = 0) r WHERE place <= 2""",
+  FROM embeddings q, embeddings b WHERE b.label >= 5) r WHERE place <= 2""",
     "result_refresh": _with(
         PROXY,
         """done AS (SELECT Label, MsgId, max(confidence) AS confidence,
@@ -300,7 +300,7 @@ SELECT vec_id, round(avg(pow(CAST(v AS DOUBLE) - mean, 2)), 6) AS error FROM x J
     ) + " FROM lineitem",
     "cyclic_time": _with(PROXY)
     + "SELECT seq, round(sin(TimeRadians), 6) AS Time_Sin, round(cos(TimeRadians), 6) AS Time_Cos FROM proxy",
-    "contract_split": """SELECT event_id AS seq, CASE WHEN user_id % 10 = 3 THEN 'not numeric: MsgLength'
+    "contract_split": """SELECT event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'not numeric: MsgLength'
   WHEN event_type NOT IN ('error', 'view') THEN 'unknown class: ' || event_type END AS contract_error FROM events""",
     "shared_features": _with(PROXY, _SPLITS) + "SELECT seq, " + ", ".join(
         f"round({f}, 6) AS {f}" for f in FEATURES
@@ -341,3 +341,7 @@ UNION ALL SELECT seq, 'noised', CAST(Label AS VARCHAR), round(CmdCode, 6), NULL
     "stream_metric_history": _HISTORY,
 }
 ORACLE["stream_gate"] = ORACLE["escalation_gate"]
+ORACLE["gate_counts"] = ORACLE["stream_counters"]
+ORACLE["stats_files"] = ORACLE["baseline_stats"]
+ORACLE["incident_files"] = INCIDENT
+ORACLE["csv_ingest"] = _with(PROXY) + "SELECT seq, MsgId, CmdCode, round(TimeRadians, 6) AS TimeRadians, MsgLength, Label FROM proxy"
