@@ -12,6 +12,13 @@ from perigee import fixed_values as fv
 BUCKET_ROWS = 4096
 
 
+def require_dense(df: DataFrame, idx: str) -> None:
+    """Fails unless ``idx`` runs from 0 to the number of rows less one."""
+    seen = df.agg(F.min(idx).alias("first"), F.max(idx).alias("last"), F.count(F.lit(1)).alias("rows")).first()
+    if seen["rows"] and (seen["first"], seen["last"]) != (0, seen["rows"] - 1):
+        raise ValueError(f"{idx} is not dense from 0; see with_dense_index")
+
+
 def _bucketed(df: DataFrame, idx: str, length: int, bucket_rows: int) -> DataFrame:
     """Each row in its bucket, and the last ``length`` rows of a bucket in the next one too.
 

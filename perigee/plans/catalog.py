@@ -442,13 +442,13 @@ def contract_split(spark, sf_dir):
 
 def shared_features(spark, sf_dir):
     """Ordered projection of the noised rows onto what both splits have."""
-    raw, noised = proxy.splits(spark, sf_dir)
+    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
     names = fx.shared_features(raw, noised, drop=("Label", "seq"))
     return rounded(fx.project(noised, names, ["seq"]), *names)
 
 
 def split_union(spark, sf_dir):
-    raw, noised = proxy.splits(spark, sf_dir)
+    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
     stacked = fx.as_label(fx.stack_splits(raw, noised), "Label", text=True)
     return rounded(stacked.select("seq", "split", "Label", "CmdCode", "CommandErrorCounter"), "CmdCode")
 
@@ -520,7 +520,7 @@ def replay_sequential(spark, sf_dir):
 
 def train_score(spark, sf_dir):
     """Trained on raw, scored on noised; the share of hits is left to ``cross_domain_metrics``."""
-    raw, noised = proxy.splits(spark, sf_dir)
+    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
     model = models.train_classifier(raw, FEATURES)
     return models.score(spread(noised), model, dims.classes(spark)).select(
         "seq", "Label", "predicted_label", "class_name", "confidence"
@@ -533,24 +533,31 @@ def cross_domain_metrics(spark, sf_dir):
 
 
 def importance(spark, sf_dir):
-    raw, _ = proxy.splits(spark, sf_dir)
+    raw, _ = proxy.splits(proxy.telemetry(spark, sf_dir))
     return models.feature_importance(spark, models.train_classifier(raw, FEATURES), FEATURES)
 
 
 def anomaly_score(spark, sf_dir):
-    raw, noised = proxy.splits(spark, sf_dir)
+    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
     return models.train_anomaly(raw, FEATURES, components=2).error(noised).select("seq", "Label", "error")
 
 
+def _ordered_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both splits with ``seq`` made dense, as sequences need it."""
+    rows = proxy.telemetry(spark, sf_dir).select("seq", *FEATURES, "Label")
+    dense = order.with_dense_index(rows, ["seq"]).drop("seq").withColumnRenamed("idx", "seq")
+    return proxy.splits(dense)
+
+
 def sequence_model(spark, sf_dir):
-    raw, noised = proxy.splits(spark, sf_dir)
+    raw, noised = _ordered_splits(spark, sf_dir)
     built = training.scaled_sequences(raw, raw, FEATURES)
     network = models.train_sequence_classifier(built, fv.SEQUENCE_LENGTH, len(FEATURES), len(fv.CLASS_NAMES))
     return models.score_sequences(training.scaled_sequences(raw, noised, FEATURES), network)
 
 
 def offline_evaluation(spark, sf_dir):
-    raw, noised = proxy.splits(spark, sf_dir)
+    raw, noised = _ordered_splits(spark, sf_dir)
     return training.evaluate(raw, noised, FEATURES, components=2).comparison
 
 

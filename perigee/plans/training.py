@@ -17,7 +17,7 @@ from perigee.operators.features import fit_scaler, scale
 from perigee.operators.models import (
     AnomalyModel, score, score_sequences, train_anomaly, train_classifier, train_sequence_classifier,
 )
-from perigee.operators.sequences import labelled_sequences
+from perigee.operators.sequences import labelled_sequences, require_dense
 from perigee.session import materialize
 
 
@@ -35,7 +35,8 @@ def scaled_sequences(
     fit_on: DataFrame, df: DataFrame, features: Sequence[str], idx: str = "seq", label: str = "Label",
     length: int = fv.SEQUENCE_LENGTH,
 ) -> DataFrame:
-    """Labelled sequences of ``df`` scaled by the statistics of ``fit_on``."""
+    """Labelled sequences of ``df`` scaled by the statistics of ``fit_on``; ``idx`` must be dense."""
+    require_dense(df, idx)
     scaled = scale(df, fit_scaler(fit_on, features), features, keep=[idx, label])
     return labelled_sequences(scaled, features, idx, label, length)
 

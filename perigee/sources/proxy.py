@@ -47,14 +47,12 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_telemetry(read(spark, sf_dir, "events"))
 
 
-def splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def splits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(raw, noised)``: all rows, and the same rows with a reproducible disturbance.
 
     Raw carries one column the noised split lacks, as the real files do.
     """
-    raw = telemetry(spark, sf_dir).select(
-        "seq", *FEATURES, (F.col("CmdCode") % 7).alias("CommandErrorCounter"), "Label"
-    )
+    raw = rows.select("seq", *FEATURES, (F.col("CmdCode") % 7).alias("CommandErrorCounter"), "Label")
     wobble = F.sin(F.col("seq").cast("double"))
     noised = raw.select(
         "seq",

@@ -25,11 +25,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
     Pass a schema at scale: one pass, pruned columns, and a file whose header differs
     fails instead of shifting columns.  Without one Spark infers it in a second pass.
+    A label may be written ``3`` or ``3.0``; text that is no number becomes NULL, which
+    ``contract_split`` sets apart.
     """
     reader = spark.read.option("header", True)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).option("enforceSchema", False).csv(path)
+    as_read = T.StructType([
+        T.StructField(f.name, T.DoubleType()) if f.name == "Label" else f for f in schema.fields
+    ])
+    rows = reader.schema(as_read).option("enforceSchema", False).csv(path)
+    if "Label" in schema.names:
+        rows = rows.withColumn("Label", F.col("Label").cast(schema["Label"].dataType))
+    return rows
 
 
 def file_role(name: Column | str) -> Column:

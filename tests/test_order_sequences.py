@@ -130,6 +130,13 @@ def test_bucket_smaller_than_a_sequence_is_refused(spark):
         sequences.sequences(rows(spark, 5), ["a"], "idx", bucket_rows=5)
 
 
+def test_gaps_in_the_index_are_noticed(spark):
+    sequences.require_dense(rows(spark, 5), "idx")
+    sequences.require_dense(rows(spark, 0), "idx")
+    with pytest.raises(ValueError):
+        sequences.require_dense(rows(spark, 9).where("idx <> 4"), "idx")
+
+
 def test_straddling_marks_label_changes(spark):
     df = spark.range(60).select(F.col("id").alias("idx"), F.floor(F.col("id") / 20).cast("int").alias("Label"))
     got = {r.idx: r.straddles for r in sequences.straddling(df, "idx", bucket_rows=16).collect()}

@@ -22,6 +22,12 @@ def test_csv_with_declared_schema(spark, tmp_path):
     assert telemetry.read_csv(spark, path).where("Label = 0").count() == 2
 
 
+def test_labels_written_as_decimals_and_broken_numbers(spark, tmp_path):
+    path = write_csv(tmp_path / "n.csv", ["a", "Label"], [[1.5, "3.0"], ["x", 2], ["", ""]])
+    got = telemetry.read_csv(spark, path, telemetry.telemetry_schema(["a"])).collect()
+    assert [tuple(r) for r in got] == [(1.5, 3), (None, 2), (None, None)]
+
+
 def test_csv_with_another_header_fails(spark, tmp_path):
     path = write_csv(tmp_path / "x.csv", ["b", "a", "Label"], [[1.0, 2.0, 0]])
     with pytest.raises(Exception):
