@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,27 @@ def build_session(app_name: str = "perigee", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Functions of the package are pickled by name, so a worker must be able to import it wherever
+    the driver was started from.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_perigee_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="perigee-"), "perigee.zip")
+    with zipfile.ZipFile(path, "w") as packed:
+        for folder, _, files in os.walk(top):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    packed.write(whole, os.path.relpath(whole, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._perigee_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -35,7 +58,8 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="perigee-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
