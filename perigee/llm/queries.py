@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import decontaminate, mixing, quality, sharding, simhash, toxicity
+from perigee.llm import cover_dedup, decontaminate, mixing, quality, sharding, simhash, suffix_levels, toxicity
 from perigee.session import materialize
 
 
@@ -29,6 +29,18 @@ def op2_histogram_shards(spark, sf_dir):
     )
 
 
+def op3_suffix_levels(spark, sf_dir):
+    found = suffix_levels.removed_bytes(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
+def op4_cover_anchors(spark, sf_dir):
+    found = cover_dedup.removed_words(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_source_mix(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     rows = materialize(docs.select(
@@ -76,6 +88,6 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        op2_histogram_shards, op5_source_mix, op6_decontaminate, op7_toxicity, op8_quality, op10_simhash,
+        op2_histogram_shards, op3_suffix_levels, op4_cover_anchors, op5_source_mix, op6_decontaminate, op7_toxicity, op8_quality, op10_simhash,
     )
 }
