@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import cover_dedup, decontaminate, mixing, quality, sharding, simhash, suffix_levels, toxicity
+from perigee.llm import (
+    cover_dedup, decontaminate, html_text, learned_partitions, mixing, quality, sharding, simhash, suffix_levels, toxicity,
+)
 from perigee.session import materialize
 
 
@@ -17,6 +19,10 @@ def _remainder(doc_id: str, by: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(by))
 
 
+def op1_learned_partitions(spark, sf_dir):
+    return learned_partitions.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_histogram_shards(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     h, d = sharding.sort_key(F.col("text"), F.col("doc_id"))
@@ -81,6 +87,11 @@ def op8_quality(spark, sf_dir):
     )
 
 
+def op9_visible_text(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return pages.select("page_id", html_text.visible_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text"))
+
+
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
@@ -88,6 +99,7 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        op2_histogram_shards, op3_suffix_levels, op4_cover_anchors, op5_source_mix, op6_decontaminate, op7_toxicity, op8_quality, op10_simhash,
+        op1_learned_partitions, op2_histogram_shards, op3_suffix_levels, op4_cover_anchors, op5_source_mix, op6_decontaminate, op7_toxicity, op8_quality,
+        op9_visible_text, op10_simhash,
     )
 }
