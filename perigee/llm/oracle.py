@@ -1,3 +1,93 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The others have none: trained models (op1, op7, op8), XXH64 (op2, op10), windows of 400 bytes from every byte
+(op3, too slow on whole tables) and rendering (op9).  Tests compare them with brute force.
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_cover_anchors": r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS s, w FROM d WHERE len(w) >= 20
+), later AS (
+    SELECT doc_id, s FROM (
+        SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s : s + 19], ' ') ORDER BY doc_id, s) AS n FROM windows
+    ) WHERE n > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS pos FROM later
+), lists AS (
+    SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id
+), words AS (
+    SELECT d.doc_id, w, unnest(generate_series(1, len(w))) AS pos FROM d JOIN lists USING (doc_id)
+), kept AS (
+    SELECT words.doc_id, string_agg(w[words.pos], ' ' ORDER BY words.pos) AS text
+    FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos WHERE gone.pos IS NULL GROUP BY words.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lists.gone), 0) AS BIGINT) AS n_removed,
+    sha256(CASE WHEN lists.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op5_source_mix": r"""
+WITH d AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+        (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
+), levels AS (
+    SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS clamps_at,
+        CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS DOUBLE)
+            / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS level
+    FROM s WINDOW before AS (
+        ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+    )
+), final AS (
+    SELECT arg_min(level, clamps_at) AS level FROM levels WHERE level <= clamps_at
+), targets AS (
+    SELECT source, source_size, CASE WHEN clamps_at < final.level THEN CAST(3 * source_size AS DOUBLE)
+        ELSE least(weight * final.level, CAST(3 * source_size AS DOUBLE)) END AS target FROM levels, final
+), parts AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
+), keys AS (
+    SELECT source, key, sum(size) AS size FROM d GROUP BY source, key
+), cuts AS (
+    SELECT source, key, CAST(sum(size) OVER (PARTITION BY source ORDER BY key) AS DOUBLE) - CAST(size AS DOUBLE) / 2 AS middle FROM keys
+)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+    CAST(d.size * (p.whole + CASE WHEN c.middle <= p.target - p.whole * p.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+    JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source AND d.key = c.key
+""",
+    "op6_decontaminate": r"""
+WITH lowered AS (
+    SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+    UNION ALL
+    SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), words AS (
+    SELECT kind, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered
+), items AS (
+    SELECT DISTINCT id AS item_id, n, array_to_string(w[s : s + n - 1], ' ') AS win FROM (
+        SELECT id, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s
+        FROM words WHERE kind = 'b' AND len(w) > 0
+    )
+), widths AS (
+    SELECT DISTINCT n FROM items
+), windows AS (
+    SELECT id AS doc_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS s FROM words, widths WHERE kind = 'd' AND len(w) >= n
+), hits AS (
+    SELECT doc_id, s, items.n, item_id FROM windows JOIN items
+        ON items.n = windows.n AND items.win = array_to_string(windows.w[s : s + windows.n - 1], ' ')
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS pos FROM hits) GROUP BY doc_id
+), hit_items AS (
+    SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit_words.n, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(hit_items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    hit_words.n IS NOT NULL AS contaminated
+FROM words LEFT JOIN hit_words ON hit_words.doc_id = id LEFT JOIN hit_items ON hit_items.doc_id = id WHERE kind = 'd'
+""",
+}
