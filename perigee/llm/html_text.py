@@ -120,7 +120,7 @@ class _Builder:
             self.start("br", "")
             return
         # Cells and rows end at their table; others do not reach out of a cell.
-        barrier = {"table"} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else SCOPE - {tag}
+        barrier = {"table"} - {tag} if tag in ("table", "td", "th", "tr", "tbody", "thead", "tfoot", "caption") else SCOPE - {tag}
         at = self._find({tag}, barrier)
         if at:
             self._end_up_to(at)
@@ -258,6 +258,11 @@ class _Table:
             for at, span, cell in row:
                 if span == 1:
                     widths[at] = max(widths.get(at, 0), max(map(len, cell)))
+        for row in self.rows:
+            for at, span, cell in row:
+                if span > 1:
+                    room = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
+                    widths[at + span - 1] = widths.get(at + span - 1, 0) + max(0, max(map(len, cell)) - room)
         out = []
         for row in self.rows:
             height = max((len(cell) for _, _, cell in row), default=0)

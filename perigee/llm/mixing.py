@@ -67,7 +67,7 @@ def plan(rows: DataFrame, weights=cyclic_weights, max_epochs: int = MAX_EPOCHS)
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(water_fill(weights(sizes), max_epochs), "mix-targets").withColumn(
-        "whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+        "whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     cell = F.substring("key", 1, CELL_DIGITS)
     cells = rows.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("cell_size"))
@@ -93,9 +93,9 @@ def plan(rows: DataFrame, weights=cyclic_weights, max_epochs: int = MAX_EPOCHS)
     return materialize(planned.select("t.source", "source_size", "weight", "target", "whole", "cut"), "mix-plan")
 
 
-def epochs(key: Column) -> Column:
-    """How often a document with this key is taken, over the columns of ``plan``."""
-    return F.col("whole") + F.coalesce(key < F.col("cut"), F.lit(False)).cast("int")
+def epochs(key: Column, whole: Column, cut: Column) -> Column:
+    """How often a document with this key is taken, from the plan of its source."""
+    return whole + F.coalesce(key < cut, F.lit(False)).cast("int")
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     rows = materialize(
         docs.select("source", word_count(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("key")), "mix-rows"
     )
-    planned = plan(rows)
-    times = F.array_repeat(F.lit(0), epochs(seeded_key(F.col("d.doc_id"), seed)).cast("int"))
-    taken = docs.alias("d").join(planned.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    return taken.withColumn("__copies", times).select("d.*", "__copies")
+    taken = docs.alias("d").join(plan(rows).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    times = epochs(seeded_key(F.col("d.doc_id"), seed), F.col("p.whole"), F.col("p.cut")).cast("int")
+    copy = max(docs.columns, key=len, default="") + "_copy"
+    return taken.select("d.*", F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)

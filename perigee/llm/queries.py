@@ -54,7 +54,7 @@ def op5_source_mix(spark, sf_dir):
     ), "mix-docs")
     planned = mixing.plan(rows.select("source", "size", "key"))
     joined = rows.alias("r").join(planned.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * mixing.epochs(F.col("key"))).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * mixing.epochs(F.col("key"), F.col("whole"), F.col("cut"))).alias("taken"))
 
 
 def op6_decontaminate(spark, sf_dir):
