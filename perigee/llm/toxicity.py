@@ -3,7 +3,8 @@
 A text is the set of its byte n-grams (lower-cased, hashed).  The log ratio of a gram's share among
 toxic and among clean texts scales it; a logistic regression over the scaled grams is fitted on
 at most ``max_per_class`` labelled texts of each class, those first in a seeded order, and its
-intercept is moved to the label shares of all labelled rows.  The fitted weights are one table of
+intercept is moved to the label shares of all labelled rows.  The sample's gram sets are written once
+and counted by Spark; the driver gets counts of at most ``1 << TABLE_BITS`` grams and, of each text, the grams kept.  The fitted weights are one table of
 ``1 << TABLE_BITS`` numbers, which goes to the tasks; texts are scored where they are read.
 
 Defined results: NULL and empty texts get the score of no grams.  Labels without a text, texts without
@@ -21,15 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import arrays as ar
+from perigee.session import materialize
 
-GRAMS = (3, 4, 5)
-TABLE_BITS = 18
+GRAMS = (4, 5, 6, 7, 8)
+TABLE_BITS = 20
 MAX_PER_CLASS = 2000
 THRESHOLD = 0.3
-KEPT_FEATURES = 1 << 15
+KEPT_FEATURES = 1 << 13
 SMOOTHING = 1.0
-PENALTY = 1e-3
-STEPS = 200
+PENALTY = 1e-6
+STEPS = 600
 
 
 def _gram_ids(data: np.ndarray) -> np.ndarray:
@@ -68,56 +70,74 @@ def _gram_sets(column: pa.Array) -> pa.Array:
 
 @dataclass
 class Model:
+    """Weight and squared scale of each gram, and the intercept.
+
+    A text is the sum of the weights of its grams over the length of its scaled set (1 added, so that
+    next to no evidence stays next to none).
+    """
+
     weights: np.ndarray
+    squares: np.ndarray
     intercept: float
 
     def score(self, spark, text: Column) -> Column:
-        sent = spark.sparkContext.broadcast((self.weights, self.intercept))
+        sent = spark.sparkContext.broadcast((self.weights, self.squares, self.intercept))
 
         @F.arrow_udf("double")
         def of(column: pa.Array) -> pa.Array:
-            weights, intercept = sent.value
+            weights, squares, intercept = sent.value
             mark = np.zeros(len(weights), np.int32)
-            logits = np.fromiter(
-                (weights[_distinct(_gram_ids(t), mark)].sum(dtype=np.float64) for t in _texts(column)), np.float64, len(column)
-            )
+            logits = np.empty(len(column))
+            for i, text_ in enumerate(_texts(column)):
+                ids = _distinct(_gram_ids(text_), mark)
+                logits[i] = weights[ids].sum(dtype=np.float64) / np.sqrt(1 + squares[ids].sum(dtype=np.float64))
             return pa.array(1 / (1 + np.exp(-np.clip(logits + intercept, -30, 30))))
 
         return of(text)
 
 
-def _fit(flat: np.ndarray, counts: np.ndarray, toxic: np.ndarray, share: float) -> Model:
-    size = 1 << TABLE_BITS
-    row = np.repeat(np.arange(len(counts)), counts)
-    seen = [np.bincount(flat[toxic[row] == c], minlength=size) for c in (0, 1)]
-    smooth = [(s + SMOOTHING) / (np.sum(toxic == c) + 2 * SMOOTHING) for c, s in enumerate(seen)]
-    ratio = np.log(smooth[1] / smooth[0])
-    # Grams whose ratio is well supported carry the decision; the rest is noise.
-    strength = np.abs(ratio) * np.sqrt(seen[0] + seen[1])
-    kept = np.argsort(-strength, kind="stable")[:KEPT_FEATURES]
-    place = np.full(size, -1)
-    place[kept] = np.arange(len(kept))
-    col = place[flat]
-    row, col = row[col >= 0], col[col >= 0]
-    scale = ratio[kept]
+def _strongest(counts: pa.Table, n: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams whose log-count ratio is best supported, and their ratios; the rest is noise."""
+    gram, toxic, clean = (counts[name].to_numpy() for name in ("gram", "toxic", "clean"))
+    ratio = np.log((toxic + SMOOTHING) / (n[1] + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n[0] + 2 * SMOOTHING))
+    strength = np.abs(ratio) * np.sqrt(toxic + clean)
+    order = np.lexsort((gram, -strength))[:KEPT_FEATURES]
+    return gram[order], ratio[order]
+
+
+def _only(kept: np.ndarray):
+    """UDF: the places in ``kept`` of the grams of a text that are there."""
+    place = np.full(1 << TABLE_BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+
+    def of(column: pa.Array) -> pa.Array:
+        found = place[column.flatten().to_numpy(zero_copy_only=False)]
+        row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+        return ar.list_array(found[found >= 0], np.bincount(row[found >= 0], minlength=len(column)), pa.int32())
+
+    return F.arrow_udf(of, "array<int>")
+
+
+def _regress(col: np.ndarray, counts: np.ndarray, toxic: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression in which both classes weigh the same, by accelerated gradient steps."""
+    n, width = len(toxic), len(scale)
+    row = np.repeat(np.arange(n), counts)
     value = scale[col]
-    y, n = toxic.astype(float), len(toxic)
-    w, b = np.zeros(len(kept)), 0.0
-    # Accelerated gradient steps on the balanced logistic loss; the step follows the largest row.
-    weight = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, n - toxic.sum()))
-    bound = 0.25 * float(np.max(np.bincount(row, value * value, minlength=n) + 1, initial=1.0)) + PENALTY
-    vw, vb, t = w.copy(), b, 1.0
+    value /= np.sqrt(1 + np.bincount(row, value * value, minlength=n))[row]
+    weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (n - toxic.sum()))
+    # Rows are shorter than 1, so half bounds the curvature, intercept included.
+    bound = 0.5 + PENALTY
+    w, b = np.zeros(width), 0.0
+    vw, vb, t = w, b, 1.0
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * vw[col], minlength=n) + vb, -30, 30)))
-        g = weight * (p - y)
-        nw = vw - (np.bincount(col, value * g[row], minlength=len(kept)) + PENALTY * vw) / bound
+        g = weight * (p - toxic)
+        nw = vw - (np.bincount(col, value * g[row], minlength=width) + PENALTY * vw) / bound
         nb = vb - g.sum() / bound
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    weights = np.zeros(size, np.float32)
-    weights[kept] = w * scale
-    return Model(weights, b + np.log(share / (1 - share)))
+    return w * scale, b
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, seed: str = "toxicity-1") -> Model:
@@ -127,16 +147,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     n = sum(counts.values())
     if len(counts) < 2:
         share = counts.get(1, 0) / n if n else 0.5
-        return Model(np.zeros(1 << TABLE_BITS, np.float32), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -30, 30)))
+        return Model(*np.zeros((2, 1 << TABLE_BITS), np.float32), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -30, 30)))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
     chosen = labels.where("toxic = 0").orderBy(order, "doc_id").limit(max_per_class).unionAll(
         labels.where("toxic = 1").orderBy(order, "doc_id").limit(max_per_class)
     ).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most 2 * max_per_class rows of two numbers: the bound that allows the broadcast.
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    rows = sample.select("doc_id", "toxic", F.arrow_udf(_gram_sets, "array<int>")("text").alias("grams")).toArrow().sort_by("doc_id")
-    grams = rows["grams"].combine_chunks()
-    toxic = rows["toxic"].to_numpy()
-    if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(1 << TABLE_BITS, np.float32), float(np.log(counts[1] / counts[0])))
-    return _fit(grams.flatten().to_numpy(), grams.value_lengths().to_numpy(), toxic, counts[1] / n)
+    sample = materialize(
+        docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "toxic", F.arrow_udf(_gram_sets, "array<int>")("text").alias("grams")), "toxicity-sample",
+    )
+    size = dict(sample.groupBy("toxic").count().collect())
+    if len(size) < 2:
+        return Model(*np.zeros((2, 1 << TABLE_BITS), np.float32), float(np.log(counts[1] / counts[0])))
+    # One row per gram that occurs, never more than the table has places.
+    found = sample.select("toxic", F.explode("grams").alias("gram")).groupBy("gram").agg(
+        F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")
+    ).toArrow()
+    kept, ratio = _strongest(found, (size[0], size[1]))
+    rows = sample.select("doc_id", "toxic", _only(kept)("grams").alias("places")).toArrow().sort_by([("doc_id", "ascending")])
+    places = rows["places"].combine_chunks()
+    fitted, intercept = _regress(
+        places.flatten().to_numpy(), places.value_lengths().to_numpy(), rows["toxic"].to_numpy().astype(float), ratio
+    )
+    weights, squares = np.zeros((2, 1 << TABLE_BITS), np.float32)
+    weights[kept], squares[kept] = fitted, ratio * ratio
+    return Model(weights, squares, float(intercept + np.log(counts[1] / counts[0])))
