@@ -2,11 +2,16 @@
 
 The distinct fingerprints form a binary trie.  Pairs of its nodes are walked together from
 (root, root): their children are paired, differing bits add up, and a pair is dropped once it
-exceeds the budget.  The upper part of the walk is a join per ``STEP`` bits over counted nodes;
-a pair whose nodes hold at most ``leaf_rows`` fingerprints is finished in one task, where the
-walk goes on over sorted arrays.  Fingerprints are distinct, so any crowded node splits further
-down and no task gets more than two bounded nodes.  A task reports a forest of its links, not
-the pairs; components of the forests are those of all links.
+exceeds the budget.  There are ``budget + 1`` tries, each over the fingerprints turned by another
+share of their bits: of so many shares one is free of errors in any link, so a trie allows none in
+its first ``exact`` bits.  Up there a node meets itself only, and a fingerprint is copied once per trie however
+deep the walk goes.
+
+The upper part of the walk is a join per ``STEP`` bits over counted nodes; a pair whose nodes hold
+at most ``leaf_rows`` fingerprints is finished in one task, where the walk goes on over sorted
+arrays.  Fingerprints are distinct, so any crowded node splits further down and no task gets
+more than two bounded nodes.  A task reports a forest of its links, not the pairs; components of
+the forests are those of all links.
 
 Defined results: texts without words have fingerprint 0, fewer words than a shingle are one
 shingle.  Rows without id take part but name no component; a component of such rows alone is
@@ -72,28 +77,46 @@ def _prefix(value: Column, depth: int) -> Column:
     return F.shiftrightunsigned(value, BITS - depth) if depth else F.lit(0).cast("long")
 
 
-def _pairs_to_walk(prints: DataFrame, leaf_rows: int, budget: int) -> list[tuple[int, DataFrame]]:
-    """(depth, pairs of nodes (x, y, spent)) small enough for one task each."""
-    n = prints.count()
-    front = prints.sparkSession.sql(f"SELECT 0L AS x, 0L AS y, {n}L AS nx, {n}L AS ny, 0 AS spent")
+def _exact_bits(budget: int) -> int:
+    """Bits of a turned fingerprint in which a link has no error: a share of them, in whole steps."""
+    return BITS // (budget + 1) // STEP * STEP
+
+
+def _turned(prints: DataFrame, budget: int) -> DataFrame:
+    """(turn, f): each fingerprint turned left by ``turn`` bits, once for each share."""
+    turns = [BITS * i // (budget + 1) for i in range(budget + 1)]
+    shifted = [
+        F.struct(F.lit(t).alias("turn"), (
+            F.shiftleft("f", t).bitwiseOR(F.shiftrightunsigned("f", BITS - t)) if t else F.col("f")).alias("f"))
+        for t in turns
+    ]
+    return prints.select(F.inline(F.array(*shifted)))
+
+
+def _pairs_to_walk(turned: DataFrame, leaf_rows: int, budget: int) -> list[tuple[int, DataFrame]]:
+    """(depth, pairs of nodes (turn, x, y, spent)) small enough for one task each."""
+    root = turned.groupBy("turn").agg(F.count("*").alias("nx"))
+    zero = F.lit(0).cast("long")
+    front = materialize(root.select("turn", zero.alias("x"), zero.alias("y"), "nx", F.col("nx").alias("ny"), F.lit(0).alias("spent")), "trie-pairs")
     done, depth = [], 0
     while depth < BITS and not front.isEmpty():
         crowded = F.col("nx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("ny")) > leaf_rows
-        done.append((depth, front.where(~crowded).select("x", "y", "spent")))
+        done.append((depth, front.where(~crowded).select("turn", "x", "y", "spent")))
         open_ = front.where(crowded)
         depth += STEP
-        nodes = prints.groupBy(_prefix(F.col("f"), depth).alias("c")).agg(F.count("*").alias("n"))
+        nodes = turned.groupBy("turn", _prefix(F.col("f"), depth).alias("c")).agg(F.count("*").alias("n"))
         nodes = materialize(nodes.withColumn("p", F.shiftrightunsigned("c", STEP)), "trie-nodes")
-        left = nodes.select(F.col("p").alias("x"), F.col("c").alias("cx"), F.col("n").alias("kx"))
-        right = nodes.select(F.col("p").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ky"))
+        left = nodes.select("turn", F.col("p").alias("x"), F.col("c").alias("cx"), F.col("n").alias("kx"))
+        right = nodes.select("turn", F.col("p").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ky"))
         spent = F.col("spent") + F.bit_count(F.col("cx").bitwiseXOR(F.col("cy")).bitwiseAND(F.lit((1 << STEP) - 1)))
-        children = open_.join(left, "x").join(right, "y").withColumn("spent", spent)
-        children = children.where((F.col("spent") <= budget) & ((F.col("x") != F.col("y")) | (F.col("cx") <= F.col("cy"))))
+        children = open_.join(left, ["turn", "x"]).join(right, ["turn", "y"]).withColumn("spent", spent)
+        allowed = budget if depth > _exact_bits(budget) else 0
+        children = children.where((F.col("spent") <= allowed) & ((F.col("x") != F.col("y")) | (F.col("cx") <= F.col("cy"))))
         front = materialize(children.select(
-            F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("kx").alias("nx"), F.col("ky").alias("ny"), "spent"
+            "turn", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("kx").alias("nx"), F.col("ky").alias("ny"), "spent"
         ), "trie-pairs")
     # At full depth a node is one fingerprint.
-    return [*done, (depth, front.select("x", "y", "spent"))]
+    return [*done, (depth, front.select("turn", "x", "y", "spent"))]
 
 
 def _walk(a: np.ndarray, b: np.ndarray, same: bool, depth: int, spent: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -120,9 +143,10 @@ def _walk(a: np.ndarray, b: np.ndarray, same: bool, depth: int, spent: int, budg
             continue
         bit = np.uint64(1 << (BITS - 1 - depth))
         am, bm = _split(a, a0, a1, bit), _split(b, b0, b1, bit)
+        allowed = budget if depth >= _exact_bits(budget) else 0
         parts = []
         for x0, x1, y0, y1, more in ((a0, am, b0, bm, 0), (am, a1, bm, b1, 0), (a0, am, bm, b1, 1), (am, a1, b0, bm, 1)):
-            keep = (x0 < x1) & (y0 < y1) & (e + more <= budget)
+            keep = (x0 < x1) & (y0 < y1) & (e + more <= allowed)
             if same:
                 keep &= x0 < y1
             parts.append((x0[keep], x1[keep], y0[keep], y1[keep], e[keep] + more))
@@ -160,10 +184,10 @@ class _Forest:
 
 
 def _link_nodes(table: pa.Table, budget: int) -> pa.Table:
-    """Forest of the links between two nodes: rows (f, second, depth, spent, same) of one pair."""
+    """Forest of the links between two nodes: rows (turn, f, second, depth, spent, same) of one pair."""
     f = table["f"].to_numpy().view(np.uint64)
     second = table["second"].to_numpy(zero_copy_only=False).astype(bool)
-    depth, spent, same = (table[name][0].as_py() for name in ("depth", "spent", "same"))
+    turn, depth, spent, same = (table[name][0].as_py() for name in ("turn", "depth", "spent", "same"))
     a, b = np.sort(f[~second]), np.sort(f[second])
     if same:
         b, shift = a, 0
@@ -174,24 +198,27 @@ def _link_nodes(table: pa.Table, budget: int) -> pa.Table:
         forest.link(i, j + shift)
     members = a if same else np.concatenate([a, b])
     root = forest.star()
+    if turn:
+        members = (members >> np.uint64(turn)) | (members << np.uint64(BITS - turn))
     moved = root != np.arange(len(root))
     return pa.table({"a": members[moved].view(np.int64), "b": members[root[moved]].view(np.int64)})
 
 
 def links(prints: DataFrame, leaf_rows: int = LEAF_ROWS, budget: int = BUDGET) -> DataFrame:
     """Forest (a, b) that joins all distinct fingerprints ``f`` within ``budget`` differing bits."""
+    turned = materialize(_turned(prints, budget), "simhash-turned")
     sides = []
-    for depth, pairs in _pairs_to_walk(prints, leaf_rows, budget):
+    for depth, pairs in _pairs_to_walk(turned, leaf_rows, budget):
         pairs = pairs.withColumns({"depth": F.lit(depth), "same": F.col("x") == F.col("y")})
-        held = prints.withColumn("node", _prefix(F.col("f"), depth))
+        held = turned.withColumn("node", _prefix(F.col("f"), depth))
         for second, side in ((False, pairs), (True, pairs.where("NOT same"))):
             own = F.col("y" if second else "x")
-            sides.append(side.withColumn("node", own).join(held, "node").select(
-                "x", "y", "depth", "spent", "same", F.lit(second).alias("second"), "f"))
+            sides.append(side.withColumn("node", own).join(held, ["turn", "node"]).select(
+                "turn", "x", "y", "depth", "spent", "same", F.lit(second).alias("second"), "f"))
     rows = sides[0]
     for more in sides[1:]:
         rows = rows.unionAll(more)
-    return rows.groupBy("depth", "x", "y").applyInArrow(lambda t: _link_nodes(t, budget), "a long, b long")
+    return rows.groupBy("turn", "depth", "x", "y").applyInArrow(lambda t: _link_nodes(t, budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, leaf_rows: int = LEAF_ROWS) -> DataFrame:
