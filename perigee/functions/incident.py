@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
-from perigee.functions.numeric import abs_z, as_column
+from perigee.functions.numeric import abs_z, as_column, round_exact
 
 
 def severity(class_name: Column | str, action: Column | str) -> Column:
@@ -64,18 +64,25 @@ def autonomous(action: Column | str) -> Column:
     return as_column(action) != fv.MANUAL_ACTION
 
 
-def incident_id(key: Column | str, random: bool = False) -> Column:
+def incident_id(
+    key: Column | str, moment: Column | str | None = None, satellite_id: str = fv.SATELLITE_ID, random: bool = False
+) -> Column:
     """``INC-`` and 12 upper-case hex digits.
 
-    By default they come from a hash of the row key, so a re-run task writes the same
-    id; ``random=True`` draws a fresh uuid.  48 bits collide at scale: keep the key.
+    By default they come from a hash of satellite, moment (UTC) and row key, so a re-run task
+    writes the same id and row 7 of another ingest gets another one; ``random=True`` draws a
+    fresh uuid.  48 bits collide at scale: keep the key.
     """
-    digits = F.replace(F.uuid(), F.lit("-"), F.lit("")) if random else F.sha2(as_column(key).cast("string"), 256)
+    when = F.lit("") if moment is None else F.coalesce(utc_text(moment), F.lit(""))
+    named = F.concat_ws("|", F.lit(satellite_id), when, as_column(key).cast("string"))
+    digits = F.replace(F.uuid(), F.lit("-"), F.lit("")) if random else F.sha2(named, 256)
     return F.concat(F.lit(fv.INCIDENT_PREFIX), F.upper(F.substring(digits, 1, fv.INCIDENT_HEX_DIGITS)))
 
 
 def utc_text(moment: Column | str) -> Column:
-    return F.date_format(as_column(moment), fv.UTC_FORMAT)
+    """ISO text in UTC, whatever the time zone of the session."""
+    utc = F.to_utc_timestamp(as_column(moment).cast("timestamp"), F.current_timezone())
+    return F.date_format(utc, fv.UTC_FORMAT)
 
 
 def top_drivers(stats: Mapping[str, tuple[float, float]], features: Sequence[str], k: int = fv.TOP_DRIVERS) -> Column:
@@ -123,7 +130,7 @@ def incident_record(
     """
     risk = false_positive_risk("class_name", "confidence")
     return F.struct(
-        incident_id(key).alias("incident_id"),
+        incident_id(key, moment, satellite_id).alias("incident_id"),
         as_column(moment).cast("timestamp").alias("timestamp_utc"),
         F.lit(satellite_id).alias("satellite_id"),
         F.struct(
@@ -161,7 +168,9 @@ def report_text(record: Column | str) -> Column:
     drivers = F.array_join(
         F.transform(
             r["shap_drivers"],
-            lambda d: F.format_string("%s=%.2f (z %.2f)", d["feature_name"], d["measured_value"], d["z_score"]),
+            lambda d: F.format_string(
+                "%s=%.2f (z %.2f)", d["feature_name"], round_exact(d["measured_value"], 2), round_exact(d["z_score"], 2)
+            ),
         ),
         ", ",
     )
@@ -170,7 +179,7 @@ def report_text(record: Column | str) -> Column:
         F.concat(F.lit("INCIDENT REPORT "), r["incident_id"], F.lit(" for "), r["satellite_id"]),
         F.concat(
             F.lit("1. Detection: "), shown(cls["class_name"]), F.lit(" (label "), shown(cls["predicted_label"]),
-            F.lit("), confidence "), F.coalesce(F.format_string("%.4f", cls["confidence"]), F.lit("n/a")),
+            F.lit("), confidence "), F.coalesce(F.format_string("%.4f", round_exact(cls["confidence"], 4)), F.lit("n/a")),
             F.lit(", severity "), cls["severity"],
         ),
         F.concat(F.lit("2. Feature drivers: "), F.when(F.size(r["shap_drivers"]) > 0, drivers).otherwise(F.lit("none"))),

@@ -86,7 +86,7 @@ def cyclic(radians: Column | str) -> tuple[Column, Column]:
 
 
 def percent_text(ratio: Column | str, places: int = 1) -> Column:
-    return F.format_string(f"%.{places}f%%", as_column(ratio) * 100.0)
+    return F.format_string(f"%.{places}f%%", round_exact(as_column(ratio) * 100.0, places))
 
 
 def thousands_text(value: Column | str) -> Column:

@@ -72,16 +72,18 @@ def register(
         f"RETURN CASE {bands} ELSE named_struct('action', {nothing}, 'tool_function', {nothing}, "
         f"'guardrail_note', {nothing}, 'autonomous', CAST(NULL AS BOOLEAN), 'error', "
         f"CASE WHEN class_name IN ({known}) THEN {_text(fv.UNREACHABLE)} "
-        "ELSE concat('No policy defined for class \\'', class_name, '\\'') END) END"
+        "ELSE concat('No policy defined for class \\'', coalesce(class_name, 'null'), '\\'') END) END"
     )
     mappings = " ".join(
         f"WHEN {_text(name)} THEN named_struct('tactic_id', {_text(tactic)}, 'tactic_name', {_text(tactic_name)}, "
-        f"'technique_id', {_text(technique)}, 'technique_name', {_text(technique_name)})"
+        f"'technique_id', {_text(technique)}, 'technique_name', {_text(technique_name)}, 'error', {nothing})"
         for _, _, name, tactic, tactic_name, technique, technique_name in fv.CLASS_MAPPINGS
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION class_mapping(class_name STRING) "
-        "RETURNS STRUCT<tactic_id: STRING, tactic_name: STRING, technique_id: STRING, technique_name: STRING> "
-        f"RETURN CASE class_name {mappings} END"
+        "RETURNS STRUCT<tactic_id: STRING, tactic_name: STRING, technique_id: STRING, technique_name: STRING, error: STRING> "
+        f"RETURN CASE class_name {mappings} ELSE named_struct('tactic_id', {nothing}, 'tactic_name', {nothing}, "
+        f"'technique_id', {nothing}, 'technique_name', {nothing}, 'error', "
+        "concat('No class mapping found for \\'', coalesce(class_name, 'null'), '\\'')) END"
     )
     return ["check_escalation", "incident_severity", "fp_risk_score", "decide_mitigation", "class_mapping"]

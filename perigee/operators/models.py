@@ -17,12 +17,14 @@ from perigee.functions.numeric import argmax, round_exact, sum_balanced
 from perigee.operators.features import fit_scaler, scaled_columns
 from perigee.operators.gate import column_stats
 from perigee.operators.lookup import with_class_name
-from perigee.session import spread
+from perigee.session import fixed_partitions
 from perigee.sources.artifacts import stats_map
 from perigee.sources.dims import local_table
 
 # Room for the statistics of the tree nodes split in one pass: more room, fewer passes over the data.
 NODE_STATS_MB = 512
+# Part of what a model is: bagging and sums follow it, so it does not depend on the cluster.
+TRAIN_PARTITIONS = 16
 
 
 def train_classifier(
@@ -32,10 +34,13 @@ def train_classifier(
     trees: int = fv.TREES,
     depth: int = fv.TREE_DEPTH,
     seed: int = fv.SEED,
+    partitions: int = TRAIN_PARTITIONS,
 ) -> PipelineModel:
     """A forest over the ordered features: Spark ML has no boosted trees for many classes.
 
-    The features are assembled once and only they and the label reach training.
+    The features are assembled once and only they and the label reach training.  Rows are dealt
+    by their values into ``partitions`` pieces (more for larger tables): the same rows and
+    the same number give the same model however the input was cut.
     """
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"),
@@ -46,7 +51,7 @@ def train_classifier(
     rows = raw.where(F.col(label).isNotNull()).select(
         *[F.col(name).cast("double").alias(name) for name in features], F.col(label).cast("double").alias("_label")
     )
-    return Pipeline(stages=stages).fit(spread(rows))
+    return Pipeline(stages=stages).fit(fixed_partitions(rows, partitions, *features, "_label"))
 
 
 def score(df: DataFrame, model: PipelineModel, classes: DataFrame | None = None) -> DataFrame:
@@ -108,17 +113,21 @@ class AnomalyModel:
 
 def train_anomaly(
     raw: DataFrame, features: Sequence[str], label: str = "Label", components: int = 8,
-    normal: int = fv.NORMAL_LABEL,
+    normal: int = fv.NORMAL_LABEL, scaler: Mapping[str, tuple[float, float]] | None = None,
 ) -> AnomalyModel:
     """Scaler over all raw rows, principal axes over the Normal ones.
 
-    Aggregates only; the driver gets one row per feature and a features-by-axes matrix.
+    Aggregates only; the driver gets one row per feature and a features-by-axes matrix.  A
+    missing feature of a Normal row counts as its mean, so the row stays in the fit.
     """
-    scaler = stats_map(fit_scaler(raw, features), features)
+    scaler = stats_map(fit_scaler(raw, features), features) if scaler is None else dict(scaler)
     scaled = raw.where(F.col(label) == normal).select(*scaled_columns(scaler, features))
     centre = {name: mean for name, (mean, _) in stats_map(column_stats(scaled, features), features).items()}
     k = min(components, len(features))
-    vectors = VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="skip").transform(scaled)
+    filled = scaled.select(*[
+        F.coalesce(F.when(~F.isnan(name), F.col(name)), F.lit(centre[name])).alias(name) for name in features
+    ])
+    vectors = VectorAssembler(inputCols=list(features), outputCol="v").transform(filled)
     axes = PCA(k=k, inputCol="v", outputCol="p").fit(vectors.select("v")).pc.toArray().T
     return AnomalyModel(features, scaler, centre, [[float(x) for x in axis] for axis in axes])
 
@@ -130,14 +139,14 @@ def sequence_vectors(sequences: DataFrame) -> DataFrame:
 
 def train_sequence_classifier(
     sequences: DataFrame, length: int, width: int, classes: int, label: str = "Label",
-    hidden: int = 64, iterations: int = 15, seed: int = fv.SEED,
+    hidden: int = 64, iterations: int = 15, seed: int = fv.SEED, idx: str = "seq", partitions: int = TRAIN_PARTITIONS,
 ) -> PipelineModel:
-    """A one-hidden-layer network over flattened sequences."""
+    """A one-hidden-layer network over flattened sequences, dealt by ``idx`` into ``partitions`` pieces."""
     network = MultilayerPerceptronClassifier(
         labelCol="_label", layers=[length * width, hidden, classes], maxIter=iterations, seed=seed
     )
-    rows = sequence_vectors(sequences).select("features", F.col(label).cast("double").alias("_label"))
-    return Pipeline(stages=[network]).fit(rows)
+    rows = sequence_vectors(sequences).select(idx, "features", F.col(label).cast("double").alias("_label"))
+    return Pipeline(stages=[network]).fit(fixed_partitions(rows, partitions, idx))
 
 
 def score_sequences(sequences: DataFrame, model: PipelineModel) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from perigee import fixed_values as fv
 from perigee.session import materialize
@@ -39,7 +41,7 @@ def with_dense_index(
         .select(F.col("_part"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return stored.join(F.broadcast(offsets), "_part").select(
+    return stored.join(offsets, "_part").select(
         *df.columns, (F.col("_offset") + place).alias(out)
     )
 
@@ -49,10 +51,15 @@ def permutation_key(column: str, seed: int = fv.SEED) -> Column:
     return F.md5(F.concat_ws(":", F.col(column).cast("string"), F.lit(str(seed))))
 
 
-def replay_order(df: DataFrame, mode: str = "sequential", seq: str = "seq", seed: int = fv.SEED) -> DataFrame:
-    """Adds ``position``: the place of each row when played back in ``mode`` order."""
+def replay_order(
+    df: DataFrame, mode: str = "sequential", seq: str | Sequence[str] = "seq", seed: int = fv.SEED
+) -> DataFrame:
+    """Adds ``position``: the place of each row when played back in ``mode`` order.
+
+    Sequential order may take several columns; shuffled order draws from one unique row id.
+    """
     if mode == "sequential":
-        return with_dense_index(df, [seq], "position")
+        return with_dense_index(df, [seq] if isinstance(seq, str) else list(seq), "position")
     if mode != "shuffled":
         raise ValueError(f"unknown order mode {mode!r}")
     keyed = df.withColumn("_key", permutation_key(seq, seed))
@@ -102,9 +109,8 @@ class _Brackets:
     def __init__(self, df: DataFrame, by: str, value: str) -> None:
         self.rows = df.select(by, value).where(F.col(value).isNotNull() & F.col(by).isNotNull())
         self.by, self.value = by, value
-        kinds = dict(self.rows.dtypes)
-        self.kind = pa.float64() if kinds[value] == "double" else pa.int64()
-        self.group_kind = pa.string() if kinds[by] == "string" else pa.int64()
+        self.kind = to_arrow_type(self.rows.schema[value].dataType)
+        self.group_kind = to_arrow_type(self.rows.schema[by].dataType)
 
     def table(self, bounds: dict[int, tuple], **extra: pa.DataType) -> DataFrame:
         """``(_t, _by, lo, hi, *extra)`` per entry; NULL bounds are open."""
@@ -248,18 +254,24 @@ def representative_rows(
 ) -> DataFrame:
     """The row a third into each group in ``seq`` order; a group without rows gives none.
 
-    Finds the ``seq`` of that row first, so no group is gathered or sorted as a whole.
+    Finds the ``seq`` of that row first, so no group is gathered or sorted as a whole.  Among rows of
+    one group with that ``seq`` the least by its other columns is taken.
     """
+    if not isinstance(df.schema[seq].dataType, T.NumericType):
+        raise ValueError(f"{seq!r} must be a number to rank by")
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(seq).alias("n")).collect()
     ranks = {r[group]: [r["n"] // 3] for r in sizes if r["n"] > 0}
     picks = order_statistics(df, seq, ranks, group, rank_limit)
     if len(picks) > LITERAL_PICKS:
-        kinds = [pa.string() if dict(df.dtypes)[group] == "string" else pa.int64(), pa.int64()]
+        kinds = [to_arrow_type(df.schema[name].dataType) for name in (group, seq)]
         chosen = local_table(
             df.sparkSession, dict(zip(("_group", "_seq"), kinds)), [(value, at) for (value, _), at in picks.items()]
         )
-        return df.join(chosen, (df[group] == chosen["_group"]) & (df[seq] == chosen["_seq"]), "left_semi")
-    condition = F.lit(False)
-    for (value, _), at in picks.items():
-        condition = condition | ((F.col(group) == F.lit(value)) & (F.col(seq) == F.lit(at)))
-    return df.where(condition)
+        found = df.join(chosen, (df[group] == chosen["_group"]) & (df[seq] == chosen["_seq"]), "left_semi")
+    else:
+        condition = F.lit(False)
+        for (value, _), at in picks.items():
+            condition = condition | ((F.col(group) == F.lit(value)) & (F.col(seq) == F.lit(at)))
+        found = df.where(condition)
+    one = found.groupBy(group).agg(F.min(F.struct(*df.columns)).alias("_row"))
+    return one.select("_row.*")

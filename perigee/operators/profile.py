@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from perigee import fixed_values as fv
 from perigee.functions.numeric import present
@@ -144,12 +145,12 @@ def correlation_matrix(pairs: DataFrame) -> DataFrame:
 def class_diversity(
     df: DataFrame, value: str, code: str, label: str = "Label", shares: Sequence[float] = (0.25, 0.5, 0.75)
 ) -> DataFrame:
-    """Quantiles of ``value`` and number of different ``code`` values per class."""
+    """Quantiles of ``value`` and number of different ``code`` values per class; NULL quantiles without values."""
     columns = [f"p{round(100 * share)}" for share in shares]
     quantiles = exact_percentiles(df, value, shares, label)
     table = local_table(
         df.sparkSession,
-        {"_label": pa.int64(), **{name: pa.float64() for name in columns}},
+        {"_label": to_arrow_type(df.schema[label].dataType), **{name: pa.float64() for name in columns}},
         [(group, *values) for group, values in quantiles.items()],
     )
     # Distinct codes first, so a class with most of the rows is merged before it is counted.
@@ -157,4 +158,4 @@ def class_diversity(
         df.where(F.col(label).isNotNull()).select(label, code).distinct()
         .groupBy(label).agg(F.count(code).alias("codes"))
     )
-    return codes.join(table, codes[label] == table["_label"]).select(label, *columns, "codes")
+    return codes.join(table, codes[label] == table["_label"], "left").select(label, *columns, "codes")

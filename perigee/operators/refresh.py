@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
+from perigee.session import materialize
+
+KEY_BUCKETS = 64
 
 
 def last_write(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -17,9 +21,14 @@ def last_write(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same key."""
+    """Rows of ``new`` replace those of ``old`` with the same key.
+
+    With ``order`` the last write of each key counts; without it a key written twice is refused.
+    """
     if order is not None:
         new = last_write(new, key, order).drop(order)
+    elif not new.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"several rows with one {key!r}: name the column that orders them")
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -51,19 +60,36 @@ def refresh_results(
     )
 
 
-def save_by_key(fresh: DataFrame, path: str, keys: Sequence[str] = ("class_name",)) -> None:
-    """Replaces only the partitions of the keys at hand, so finished keys stay as they are."""
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def save_by_key(fresh: DataFrame, path: str, keys: Sequence[str] = ("class_name",), buckets: int = KEY_BUCKETS) -> None:
+    """Replaces the rows of the keys at hand; rows of other keys stay as they are.
+
+    Keys share a fixed number of folders, so many keys are not as many folders.  Only the folders that
+    a fresh key falls into are read and written again, each from a copy written beforehand.
+    """
+    spark = fresh.sparkSession
+    fresh = fresh.withColumn("_bucket", _bucket(keys, buckets))
+    touched = fresh.select("_bucket").distinct()
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        kept = stored.join(touched, "_bucket", "left_semi").join(fresh.select(*keys), list(keys), "left_anti")
+        fresh = fresh.unionByName(kept, allowMissingColumns=True)
     (
-        fresh.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
-        .parquet(path)
+        materialize(fresh, "by-key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("_bucket").parquet(path)
     )
 
 
 def load_results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(path).drop("_bucket")
 
 
 def save_version(df: DataFrame, root: str, version: int) -> None:

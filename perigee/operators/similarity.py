@@ -1,10 +1,9 @@
 """Nearest incidents of many query vectors.
 
-The distance is squared L2 by default; inner product and cosine distances may be
-asked for.  A knowledge base below a checked size is sent to every task.  A larger
-one is cut into blocks of bounded size that meet blocks of queries through an
-equality join; each meeting yields k candidates per query, and those are merged.
-Both ways are exact.
+The distance is squared L2 by default; inner product and cosine distances may be asked for.  A
+knowledge base below a checked size is sent to every task.  A larger one meets the queries in a
+grid of blocks of bounded size, each searched by one task that hands on its k best.  Both ways
+rank by one kernel whose sums do not depend on how rows were cut, so they give equal results.
 """
 
 from __future__ import annotations
@@ -12,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,55 +20,64 @@ from perigee import fixed_values as fv
 
 BROADCAST_ROWS = 50_000
 BROADCAST_VALUES = 8_000_000
-BLOCK_ROWS = 20_000
-MAX_COPIES = 64
+# Values of one side of a block: 8 MB of doubles.
+BLOCK_VALUES = 1_000_000
 METRICS = ("l2sq", "ip", "cosine")
-CHUNK_VALUES = 4_000_000
+QUERIES_AT_ONCE = 256
 
 
-def _distances(queries: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
+def _exact(queries: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row pair, summed along the row in one fixed order."""
     if metric == "l2sq":
-        # Differences, not the expanded square: equal vectors come out as exactly 0.
-        step = max(1, CHUNK_VALUES // max(1, base.size))
-        parts = [
-            ((queries[i:i + step, None, :] - base[None, :, :]) ** 2).sum(axis=2)
-            for i in range(0, len(queries), step)
-        ]
-        return np.concatenate(parts) if parts else np.empty((0, len(base)))
-    products = queries @ base.T
+        return ((queries - base) ** 2).sum(axis=1)
+    products = (queries * base).sum(axis=1)
     if metric == "ip":
         return 1.0 - products
-    norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(base, axis=1)[None, :]
+    norms = np.sqrt((queries * queries).sum(axis=1)) * np.sqrt((base * base).sum(axis=1))
     return 1.0 - np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
 
 
-def _nearest(queries: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, metric: str):
-    """Row and column picks of the k nearest; ids break ties (``ids`` must ascend)."""
-    distances = _distances(queries, base, metric)
-    order = np.argsort(distances, axis=1, kind="stable")[:, :k]
-    return order, np.take_along_axis(distances, order, axis=1)
+def _rough(queries: np.ndarray, base: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distances by one matrix product, and how far each may be from the exact one."""
+    products = queries @ base.T
+    a, b = (queries * queries).sum(1)[:, None], (base * base).sum(1)[None, :]
+    if metric == "l2sq":
+        return a + b - 2 * products, 1e-9 * (a + b)
+    if metric == "ip":
+        return 1.0 - products, 1e-9 * (1.0 + np.sqrt(a * b))
+    norms = np.sqrt(a * b)
+    return 1.0 - np.divide(products, norms, out=np.zeros_like(products), where=norms > 0), np.full_like(products, 1e-9)
 
 
-def _matrix(vectors) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.empty((0, 0))
+def _nearest(queries: np.ndarray, base: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, base row, distance) of the k nearest of each query, nearest first; earlier base rows win ties.
 
+    A matrix product picks a few rows more than k, exact sums rank them.
+    """
+    found = [], [], []
+    k = min(k, len(base))
+    for at in range(0, len(queries) if k else 0, QUERIES_AT_ONCE):
+        part = queries[at : at + QUERIES_AT_ONCE]
+        rough, slack = _rough(part, base, metric)
+        bound = np.partition(rough + slack, k - 1, axis=1)[:, k - 1 : k]
+        q, b = np.nonzero(rough - slack <= bound)
+        exact = _exact(part[q], base[b], metric)
+        order = np.lexsort((b, exact, q))
+        q, b, exact = q[order], b[order], exact[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        for out, values in zip(found, (q[best] + at, b[best], exact[best])):
+            out.append(values)
+    kinds = (np.int64, np.int64, np.float64)
+    return tuple(np.concatenate(out) if out else np.zeros(0, kind) for out, kind in zip(found, kinds))
 
-def _result_schema(queries: DataFrame, query_id: str, base: DataFrame, base_id: str) -> T.StructType:
-    return T.StructType([
-        T.StructField(query_id, queries.schema[query_id].dataType),
-        T.StructField("match_id", base.schema[base_id].dataType),
-        T.StructField("distance", T.DoubleType()),
-    ])
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
-def _rank(candidates: DataFrame, query_id: str, k: int) -> DataFrame:
-    """Best k of the candidates of each query; a query has k per block, never more."""
-    best = candidates.groupBy(query_id).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "match_id"))), 1, k).alias("best")
-    )
-    return best.select(query_id, F.posexplode("best").alias("at", "m")).select(
-        query_id, (F.col("at") + 1).alias("rank"), "m.match_id", "m.distance"
-    )
+
+def _prepared(df: DataFrame, id_column: str, vector: str, name: str) -> DataFrame:
+    return df.select(F.col(id_column).alias(name), F.col(vector).cast("array<double>").alias("v"))
 
 
 def similar_incidents(
@@ -83,85 +91,85 @@ def similar_incidents(
     k: int = fv.SIMILAR_INCIDENTS,
     metric: str = "l2sq",
     broadcast_rows: int = BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_values: int = BLOCK_VALUES,
+    keep_unmatched: bool = True,
 ) -> DataFrame:
-    """``(query_id, rank, match_id, distance)``: the k nearest documents of each query."""
+    """``(query_id, rank, match_id, distance)``: the k nearest documents of each query.
+
+    A query without a vector comes out once with NULLs, unless ``keep_unmatched`` is off.
+    """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     base = knowledge.where(F.col("type") == doc_type) if doc_type is not None else knowledge
-    base = base.select(base_id, base_vector).where(F.col(base_vector).isNotNull())
-    asked = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
-    size = base.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(base_vector)).alias("width")).first()
-    fits = size["rows"] <= broadcast_rows and size["rows"] * (size["width"] or 0) <= BROADCAST_VALUES
+    base = _prepared(base, base_id, base_vector, "b").where("v IS NOT NULL")
+    asked = _prepared(queries, query_id, query_vector, "q")
+    size = base.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("v")).alias("width")).first()
+    width = size["width"] or 0
+    fits = size["rows"] <= broadcast_rows and size["rows"] * width <= BROADCAST_VALUES
+    with_vector = asked.where("v IS NOT NULL")
     if fits:
-        return _by_broadcast(asked, base, query_id, query_vector, base_id, base_vector, k, metric)
-    return _by_blocks(asked, base, query_id, query_vector, base_id, base_vector, k, metric, block_rows, size["rows"])
-
-
-def _by_broadcast(asked, base, query_id, query_vector, base_id, base_vector, k, metric) -> DataFrame:
-    schema = _result_schema(asked, query_id, base, base_id)
-    schema = T.StructType([schema[0], T.StructField("rank", T.IntegerType()), *schema.fields[1:]])
-    rows = base.orderBy(base_id).toPandas()
-    shared = asked.sparkSession.sparkContext.broadcast((rows[base_id].to_numpy(), _matrix(rows[base_vector])))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = _by_broadcast(with_vector, base, k, metric)
+    else:
+        found = _by_blocks(with_vector, base, k, metric, max(1, block_values // max(1, width)))
+    found = found.select(F.col("q").alias(query_id), "rank", F.col("b").alias("match_id"), "distance")
+    if not keep_unmatched:
+        return found
+    unmatched = asked.where("v IS NULL").select(F.col("q").alias(query_id))
+    return found.unionByName(unmatched, allowMissingColumns=True)
+
+
+def _by_broadcast(asked: DataFrame, base: DataFrame, k: int, metric: str) -> DataFrame:
+    """``base`` is below a checked size."""
+    rows = base.orderBy("b").toArrow()
+    shared = asked.sparkSession.sparkContext.broadcast((rows["b"].combine_chunks(), _matrix(rows["v"])))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
         for batch in batches:
-            if batch.empty or not len(ids):
-                continue
-            order, distances = _nearest(_matrix(batch[query_vector]), ids, vectors, k, metric)
-            width = order.shape[1]
-            yield pd.DataFrame({
-                query_id: np.repeat(batch[query_id].to_numpy(), width),
-                "rank": np.tile(np.arange(1, width + 1), len(batch)),
-                "match_id": ids[order.ravel()],
-                "distance": distances.ravel(),
-            })
-
-    return asked.mapInPandas(nearest, schema)
+            q, b, distance = _nearest(_matrix(batch.column("v")), vectors, k, metric)
+            rank = (np.arange(len(q)) - np.searchsorted(q, q) + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("q").take(pa.array(q)), pa.array(rank), ids.take(pa.array(b)), pa.array(distance)],
+                ["q", "rank", "b", "distance"],
+            )
+
+    schema = T.StructType([
+        T.StructField("q", asked.schema["q"].dataType), T.StructField("rank", T.IntegerType()),
+        T.StructField("b", base.schema["b"].dataType), T.StructField("distance", T.DoubleType()),
+    ])
+    return asked.mapInArrow(nearest, schema)
 
 
-def _each(count: int) -> Column:
+def _numbered(count: int) -> Column:
     """One row per number below ``count``."""
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
 
 
-def _by_blocks(
-    asked, base, query_id, query_vector, base_id, base_vector, k, metric, block_rows, base_size
-) -> DataFrame:
-    blocks = max(1, -(-base_size // block_rows))
-    query_blocks = max(1, -(-asked.count() // block_rows))
-    # Copies of a document block spread its many query blocks over as many join keys.
-    copies = min(query_blocks, MAX_COPIES)
-    packed_base = (
-        base.groupBy(F.pmod(F.xxhash64(base_id), F.lit(blocks)).alias("block"))
-        .agg(F.collect_list(F.struct(F.col(base_id).alias("id"), F.col(base_vector).alias("v"))).alias("documents"))
-        .withColumn("copy", _each(copies))
+def _by_blocks(asked: DataFrame, base: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
+    """Every block of queries meets every block of documents in a task of its own."""
+    rows = max(1, -(-base.count() // block_rows))
+    columns = max(1, -(-asked.count() // block_rows))
+    none = F.lit(None)
+    left = asked.select(
+        _numbered(rows).alias("i"), F.pmod(F.xxhash64("q"), F.lit(columns)).alias("j"), "q",
+        none.cast(base.schema["b"].dataType).alias("b"), "v", F.lit(True).alias("asked"),
     )
-    packed_queries = (
-        asked.groupBy(F.pmod(F.xxhash64(query_id), F.lit(query_blocks)).alias("query_block"))
-        .agg(F.collect_list(F.struct(F.col(query_id).alias("id"), F.col(query_vector).alias("v"))).alias("asked"))
-        .select(
-            "asked",
-            F.pmod("query_block", F.lit(copies)).cast("long").alias("copy"),
-            _each(blocks).alias("block"),
-        )
+    right = base.select(
+        F.pmod(F.xxhash64("b"), F.lit(rows)).alias("i"), _numbered(columns).alias("j"),
+        none.cast(asked.schema["q"].dataType).alias("q"), "b", "v", F.lit(False).alias("asked"),
     )
-    schema = _result_schema(asked, query_id, base, base_id)
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for documents, questions in zip(batch["documents"], batch["asked"]):
-                ordered = sorted(documents, key=lambda d: d["id"])
-                ids = np.array([d["id"] for d in ordered])
-                order, distances = _nearest(
-                    _matrix([q["v"] for q in questions]), ids, _matrix([d["v"] for d in ordered]), k, metric
-                )
-                yield pd.DataFrame({
-                    query_id: np.repeat([q["id"] for q in questions], order.shape[1]),
-                    "match_id": ids[order.ravel()],
-                    "distance": distances.ravel(),
-                })
-
-    meetings = packed_queries.join(packed_base, ["block", "copy"]).select("asked", "documents")
-    return _rank(meetings.mapInPandas(nearest, schema), query_id, k)
+    def search(table: pa.Table) -> pa.Table:
+        mine = table["asked"]
+        questions = table.filter(mine)
+        documents = table.filter(pa.compute.invert(mine)).sort_by("b")
+        q, b, distance = _nearest(_matrix(questions["v"]), _matrix(documents["v"]), k, metric)
+        return pa.table({"q": questions["q"].take(pa.array(q)), "b": documents["b"].take(pa.array(b)), "distance": pa.array(distance)})
+
+    schema = T.StructType([
+        T.StructField("q", asked.schema["q"].dataType), T.StructField("b", base.schema["b"].dataType),
+        T.StructField("distance", T.DoubleType()),
+    ])
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(search, schema)
+    place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "b"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("q", "rank", "b", "distance")

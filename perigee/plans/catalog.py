@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +19,19 @@ from perigee.operators import gate as gt
 from perigee.operators import lookup, models, order, profile, refresh, sequences, similarity
 from perigee.plans import training
 from perigee.plans.triage import (
-    JSON_OPTIONS, assemble, flatten_incidents, incidents_as_json, parse_incidents, triage, write_incidents,
+    JSON_OPTIONS, assemble, flatten_incidents, incidents_as_json, parse_incidents, triage, triage_or_quarantine, with_precedent,
+    write_incidents,
 )
-from perigee.session import materialize, scratch_path, spread
+from perigee.session import materialize, scratch_path
 from perigee.sources import dims, proxy, telemetry
-from perigee.sources.artifacts import load_stats, save_table, stats_map
+from perigee.sources.artifacts import load_manifest, load_model, load_stats, manifest, save_model, save_table, stats_map
 from perigee.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES = proxy.FEATURES
 # The proxy table has few columns far from their mean; a lower bar makes the gate work.
 PROXY_Z = 3.0
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -107,10 +110,11 @@ def top_drivers(spark, sf_dir):
 
 
 def gate_counts(spark, sf_dir):
-    """Rows seen and escalated, observed while the escalated rows are written."""
+    """Rows seen and escalated, observed while the escalated rows pass by."""
     rows = proxy.telemetry(spark, sf_dir)
     seen = Observation("gate_counts")
-    materialize(gt.escalated_rows(rows, _stats(rows), FEATURES, PROXY_Z, observation=seen), "escalated")
+    escalated = gt.escalated_rows(rows, _stats(rows), FEATURES, PROXY_Z, observation=seen)
+    escalated.write.format("noop").mode("overwrite").save()
     return dims.local_table(spark, {"seen": pa.int64(), "escalated": pa.int64()}, [(seen.get["seen"], seen.get["escalated"])])
 
 
@@ -188,8 +192,7 @@ def incident_record(spark, sf_dir):
 
 def incident_json(spark, sf_dir):
     """Records of all rows written as JSON text and read back."""
-    rows = spread(_classified(spark, sf_dir))
-    incidents = assemble(rows, _stats(proxy.telemetry(spark, sf_dir)), FEATURES, "seq", "ts",
+    incidents = assemble(_classified(spark, sf_dir), _stats(proxy.telemetry(spark, sf_dir)), FEATURES, "seq", "ts",
                          dims.knowledge(spark), dims.policy_bands(spark))
     back = parse_incidents(incidents_as_json(incidents), incidents)
     return flatten_incidents(back).select(
@@ -402,7 +405,8 @@ def reconstruction_error(spark, sf_dir):
         .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("m"))
         .select("label", F.transform("m", lambda s: s["mean"]).alias("rebuilt"))
     )
-    errors = vectors.join(means, "label").select("vec_id", mean_squared_error("embedding", "rebuilt").alias("error"))
+    # Written, the means have a known size: below Spark's bound they are sent to the vectors, which then stay where they are.
+    errors = vectors.join(materialize(means, "means"), "label").select("vec_id", mean_squared_error("embedding", "rebuilt").alias("error"))
     return rounded(errors, "error")
 
 
@@ -508,21 +512,32 @@ def replay_shuffled(spark, sf_dir):
 
 
 def replay_sequential(spark, sf_dir):
-    """Lines in the order of their keys; ties in the key are settled by the other columns."""
-    lines = proxy.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return order.with_dense_index(lines, ["l_orderkey", "l_linenumber"], "position")
+    """All lines in the order of their keys; ties in the key are settled by the other columns."""
+    lines = proxy.read(spark, sf_dir, "lineitem").select(LINE_ORDER)
+    return order.replay_order(lines, "sequential", LINE_ORDER)
 
 
 # --- models ---------------------------------------------------------------------
 
 
+_SAVED_MODELS: dict[tuple[str, str], str] = {}
+
+
+def _classifier(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    """The classifier of the raw split: trained and saved once per application, loaded by every user."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _SAVED_MODELS:
+        raw, _ = proxy.splits(proxy.telemetry(spark, sf_dir))
+        path = scratch_path(spark, "classifier")
+        save_model(models.train_classifier(raw, FEATURES), path)
+        _SAVED_MODELS[at] = path
+    return load_model(_SAVED_MODELS[at])
+
+
 def train_score(spark, sf_dir):
     """Trained on raw, scored on noised; the share of hits is left to ``cross_domain_metrics``."""
-    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
-    model = models.train_classifier(raw, FEATURES)
-    return models.score(spread(noised), model, dims.classes(spark)).select(
+    _, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    return models.score(noised, _classifier(spark, sf_dir), dims.classes(spark)).select(
         "seq", "Label", "predicted_label", "class_name", "confidence"
     )
 
@@ -533,8 +548,32 @@ def cross_domain_metrics(spark, sf_dir):
 
 
 def importance(spark, sf_dir):
-    raw, _ = proxy.splits(proxy.telemetry(spark, sf_dir))
-    return models.feature_importance(spark, models.train_classifier(raw, FEATURES), FEATURES)
+    return models.feature_importance(spark, _classifier(spark, sf_dir), FEATURES)
+
+
+def importance_sum(spark, sf_dir):
+    """What holds for the importances of any forest: one per feature, none negative, 1 in all."""
+    return importance(spark, sf_dir).agg(
+        F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+        F.min(F.col("importance") >= 0).alias("none_negative"),
+    )
+
+
+def model_predictions(spark, sf_dir):
+    """What holds for any trained model: each row scored once, with a known class and a possible confidence."""
+    scored = train_score(spark, sf_dir)
+    return scored.select(
+        "seq", "Label", F.col("predicted_label").between(0, 4).alias("known"),
+        F.col("confidence").between(0.2, 1.0).alias("possible"), F.col("class_name").isNotNull().alias("named"),
+    )
+
+
+def anomaly_two_features(spark, sf_dir):
+    """Reconstruction error over two features and one axis, which has a closed form."""
+    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    names = ["CmdCode", "MsgLength"]
+    errors = models.train_anomaly(raw, names, components=1).error(noised)
+    return rounded(errors.select("seq", "error"), "error")
 
 
 def anomaly_score(spark, sf_dir):
@@ -551,9 +590,10 @@ def _ordered_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 def sequence_model(spark, sf_dir):
     raw, noised = _ordered_splits(spark, sf_dir)
-    built = training.scaled_sequences(raw, raw, FEATURES)
+    scaler = training.fitted_scaler(raw, FEATURES)
+    built = training.scaled_sequences(scaler, raw, FEATURES)
     network = models.train_sequence_classifier(built, fv.SEQUENCE_LENGTH, len(FEATURES), len(fv.CLASS_NAMES))
-    return models.score_sequences(training.scaled_sequences(raw, noised, FEATURES), network)
+    return models.score_sequences(training.scaled_sequences(scaler, noised, FEATURES), network)
 
 
 def offline_evaluation(spark, sf_dir):
@@ -564,9 +604,8 @@ def offline_evaluation(spark, sf_dir):
 def model_triage(spark, sf_dir):
     """The triage plan with the trained model in place of a given prediction."""
     rows = proxy.telemetry(spark, sf_dir)
-    model = models.train_classifier(rows, FEATURES)
     windows = rows.select("seq", "ts", "Label", *FEATURES)
-    return flatten_incidents(triage(windows, _stats(rows), FEATURES, model, z_threshold=PROXY_Z))
+    return flatten_incidents(triage(windows, _stats(rows), FEATURES, _classifier(spark, sf_dir), z_threshold=PROXY_Z))
 
 
 # --- streams ----------------------------------------------------------------------
@@ -577,10 +616,9 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxy.as_telemetry(live.read_stream(spark, sf_dir, schema, "events.parquet"))
 
 
-def _finish(query) -> int:
-    """Waits for a query that works off what is there; gives its last batch number."""
+def _finish(query) -> None:
+    """Waits for a query that works off what is there."""
     query.awaitTermination()
-    return query.lastProgress["batchId"] if query.lastProgress else 0
 
 
 def stream_gate(spark, sf_dir):
@@ -606,14 +644,15 @@ def stream_counters(spark, sf_dir):
     _finish(live.start_counters(
         _event_stream(spark, sf_dir), stats, FEATURES, f"{path}/rows", f"{path}/checkpoint", PROXY_Z
     ))
-    return spark.read.parquet(f"{path}/rows")
+    return live.Versions(f"{path}/rows").read(spark, "counters")
 
 
 def _live(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir).select("seq", "Label", "CmdCode", "MsgLength")
     path = scratch_path(spark, "stream-live")
     view = live.LiveView(f"{path}/view", stream.schema, 200, ["MsgLength", "CmdCode"])
-    return view.read(spark, table, _finish(view.start(stream, f"{path}/checkpoint")))
+    _finish(view.start(stream, f"{path}/checkpoint"))
+    return view.read(spark, table)
 
 
 def stream_last_n(spark, sf_dir):
@@ -628,6 +667,137 @@ def stream_metric_history(spark, sf_dir):
     return _live(spark, sf_dir, "history")
 
 
+# --- quarantine, precedents, width -------------------------------------------------
+
+
+def _with_broken_rows(rows: DataFrame) -> DataFrame:
+    """Some windows lose a feature, some carry text in one."""
+    return rows.withColumns({
+        "MsgLength": F.when(F.col("seq") % 17 == 3, F.lit("n/a")).otherwise(F.col("MsgLength").cast("string")),
+        "CmdCode": F.when(F.col("seq") % 29 != 5, F.col("CmdCode")),
+    }).withColumnRenamed("pred", "predicted_label")
+
+
+def _quarantine_rows(checked: DataFrame) -> DataFrame:
+    return checked.select(
+        "seq", "status", "reason", F.col("record.incident_id").alias("incident_id"),
+        F.col("record.mitigation.recommended_action").alias("recommended_action"),
+    )
+
+
+def triage_quarantine(spark, sf_dir):
+    """Incidents, and the windows that break the input contract with their reason."""
+    rows = proxy.telemetry(spark, sf_dir)
+    return _quarantine_rows(triage_or_quarantine(_with_broken_rows(rows), _stats(rows), FEATURES, z_threshold=PROXY_Z))
+
+
+def quarantine_counts(spark, sf_dir):
+    """Rows seen are escalated, skipped or quarantined, none is lost."""
+    rows = proxy.telemetry(spark, sf_dir)
+    seen = Observation("quarantine_counts")
+    checked = triage_or_quarantine(_with_broken_rows(rows), _stats(rows), FEATURES, z_threshold=PROXY_Z, observation=seen)
+    checked.write.format("noop").mode("overwrite").save()
+    names = ("seen", "escalated", "skipped", "quarantined")
+    return dims.local_table(spark, dict.fromkeys(names, pa.int64()), [tuple(seen.get[name] for name in names)])
+
+
+def stream_quarantine(spark, sf_dir):
+    stats = _stats(proxy.telemetry(spark, sf_dir))
+    checked = triage_or_quarantine(_with_broken_rows(_event_stream(spark, sf_dir)), stats, FEATURES, z_threshold=PROXY_Z)
+    rows, path = _quarantine_rows(checked), scratch_path(spark, "stream-quarantine")
+    _finish(live.write_stream(rows, f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
+def incident_precedent(spark, sf_dir):
+    """Each incident with the nearest stored incident; incidents beyond the last vector have none."""
+    rows = proxy.telemetry(spark, sf_dir).withColumnRenamed("pred", "predicted_label")
+    vectors = proxy.read(spark, sf_dir, "embeddings")
+    stored = vectors.where("label >= 5").select(F.col("vec_id").alias("id"), F.lit("incident").alias("type"), "embedding")
+    found = with_precedent(
+        triage(rows, _stats(rows), FEATURES, z_threshold=PROXY_Z), vectors.select(F.col("vec_id").alias("seq"), "embedding"), stored
+    )
+    return found.select("seq", F.col("precedent.id").alias("precedent_id"), F.round("precedent.distance", 6).alias("distance"))
+
+
+def similar_by_blocks(spark, sf_dir):
+    """As ``similar_incidents``, in a grid of small blocks."""
+    vectors = proxy.read(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("label") >= 5, "incident").otherwise("class_mapping").alias("type")
+    )
+    found = similarity.similar_incidents(
+        vectors, vectors, query_id="vec_id", base_id="vec_id", broadcast_rows=0, block_values=64 * 200
+    )
+    return rounded(found, "distance")
+
+
+def wide_baseline(spark, sf_dir):
+    """Baseline of all 22 features over order lines."""
+    return rounded(gt.baseline_stats(proxy.wide(spark, sf_dir), fv.FEATURES), "mean", "std")
+
+
+def wide_gate(spark, sf_dir):
+    """Escalations per label with all 22 features, and the feature that deviates most."""
+    rows = proxy.wide(spark, sf_dir)
+    stats = stats_map(gt.baseline_stats(rows, fv.FEATURES), fv.FEATURES)
+    gated = gt.gate(rows, stats, fv.FEATURES, 2.0, 2)
+    return gated.groupBy("Label").agg(
+        F.count("*").alias("total"), F.sum(F.col("escalate").cast("long")).alias("escalated"), F.sum("tripped").alias("tripped")
+    )
+
+
+# --- files, manifests, projections -------------------------------------------------
+
+
+def discovered_files(spark, sf_dir):
+    """Both splits written under names as the data sets have, found again by role, and counted."""
+    root = scratch_path(spark, "files")
+    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    raw.write.option("header", True).csv(f"{root}/consolidated_dataset_raw.csv")
+    noised.write.option("header", True).csv(f"{root}/noised_dataset.csv")
+    found = {row["role"]: row["path"] for row in telemetry.discover(spark, root).collect()}
+    counts = [
+        spark.read.option("header", True).csv(found[role]).agg(F.lit(role).alias("role"), F.count("*").alias("rows"))
+        for role in ("raw", "noised")
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+def manifest_files(spark, sf_dir):
+    """The feature order saved, loaded, and used to project the rows strictly."""
+    path = scratch_path(spark, "manifest")
+    save_table(manifest(spark, FEATURES[::-1]), path)
+    names = load_manifest(spark, path)
+    return rounded(fx.project(proxy.telemetry(spark, sf_dir), names, ["seq"]), *names)
+
+
+def noised_features(spark, sf_dir):
+    """Columns that only the noised split offers, in manifest order: projection that tolerates absent ones."""
+    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    names = fx.noised_features(noised, drop=("Label", "seq"))
+    wanted = [*names, "CommandErrorCounter"]
+    return rounded(fx.project(noised, wanted, ["seq"], strict=False), *names)
+
+
+def table_versions(spark, sf_dir):
+    """A table saved twice as versions: the greatest one is read."""
+    path = scratch_path(spark, "versions")
+    mix = profile.label_mix(proxy.telemetry(spark, sf_dir))
+    refresh.save_version(mix, path, 1)
+    refresh.save_version(mix.where("Label <> 4"), path, 2)
+    return refresh.load_version(spark, path)
+
+
+def results_by_key(spark, sf_dir):
+    """Results stored by key; a second run replaces the keys it brings and keeps the others."""
+    path = scratch_path(spark, "results")
+    first = _stored_results(spark, sf_dir)
+    refresh.save_by_key(first, path, ["Label", "MsgId"], 8)
+    again = first.where("Label = 1").withColumn("status", F.lit(fv.STATUS_FLAGGED))
+    refresh.save_by_key(again, path, ["Label", "MsgId"], 8)
+    return refresh.load_results(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -643,5 +813,8 @@ QUERIES: dict[str, Query] = {
         metric_history, replay_shuffled, replay_sequential, train_score, cross_domain_metrics, importance,
         anomaly_score, sequence_model, offline_evaluation, model_triage, stream_gate, stream_triage,
         stream_counters, stream_last_n, stream_label_mix, stream_metric_history,
+        importance_sum, model_predictions, anomaly_two_features, triage_quarantine, quarantine_counts, stream_quarantine,
+        incident_precedent, similar_by_blocks, wide_baseline, wide_gate, discovered_files, manifest_files, noised_features,
+        table_versions, results_by_key,
     ]
 }

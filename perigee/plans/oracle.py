@@ -83,7 +83,9 @@ DRIVERS = "drivers AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY z
     f"SELECT seq, '{f}' AS feature, {f} AS value, {_z(f)} AS z, {i} AS pos FROM proxy, base"
     for i, f in enumerate(FEATURES)
 ) + ") d WHERE z IS NOT NULL)"
-INCIDENT_ID = "'INC-' || substr(upper(sha256(CAST(d.seq AS VARCHAR))), 1, 12)"
+INCIDENT_ID = (
+    f"'INC-' || substr(upper(sha256('{fv.SATELLITE_ID}|' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '|' || CAST(d.seq AS VARCHAR))), 1, 12)"
+)
 
 
 def _with(*parts: str) -> str:
@@ -331,8 +333,8 @@ UNION ALL SELECT seq, 'noised', CAST(Label AS VARCHAR), round(CmdCode, 6), NULL
     "metric_history": _HISTORY,
     "replay_shuffled": _with(PROXY)
     + "SELECT seq, Label, row_number() OVER (ORDER BY md5(CAST(seq AS VARCHAR) || ':42'), seq) - 1 AS position FROM proxy",
-    "replay_sequential": """SELECT l_orderkey, l_linenumber, count(*) AS n,
-  row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS position FROM lineitem GROUP BY 1, 2""",
+    "replay_sequential": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS position FROM lineitem""",
     "stream_triage": INCIDENT,
     "stream_counters": _with(PROXY, BASE)
     + f"SELECT count(*) AS seen, CAST(sum(CASE WHEN ({_tripped(Z)}) >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS escalated FROM proxy, base",
@@ -345,3 +347,48 @@ ORACLE["gate_counts"] = ORACLE["stream_counters"]
 ORACLE["stats_files"] = ORACLE["baseline_stats"]
 ORACLE["incident_files"] = INCIDENT
 ORACLE["csv_ingest"] = _with(PROXY) + "SELECT seq, MsgId, CmdCode, round(TimeRadians, 6) AS TimeRadians, MsgLength, Label FROM proxy"
+
+_BROKEN = """broken AS (SELECT seq, CASE WHEN seq % 29 = 5 AND seq % 17 = 3 THEN 'not numeric: CmdCode,MsgLength'
+  WHEN seq % 29 = 5 THEN 'not numeric: CmdCode' WHEN seq % 17 = 3 THEN 'not numeric: MsgLength' END AS reason FROM proxy)"""
+ORACLE["triage_quarantine"] = _with(PROXY, BASE, CLASSES, POLICY, CLASSIFIED, DECIDED, _BROKEN) + f"""SELECT d.seq,
+  CASE WHEN reason IS NOT NULL THEN 'ERROR' WHEN confidence < 0.7 THEN 'FLAGGED_FOR_REVIEW' ELSE 'AUTONOMOUS' END AS status,
+  reason, CASE WHEN reason IS NULL THEN {INCIDENT_ID} END AS incident_id, CASE WHEN reason IS NULL THEN action END AS recommended_action
+FROM decided d JOIN broken b ON b.seq = d.seq WHERE reason IS NOT NULL OR d.seq IN {ESCALATED}"""
+ORACLE["stream_quarantine"] = ORACLE["triage_quarantine"]
+ORACLE["quarantine_counts"] = _with(PROXY, BASE, _BROKEN) + f"""SELECT count(*) AS seen,
+  count(*) FILTER (WHERE reason IS NULL AND seq IN {ESCALATED}) AS escalated,
+  count(*) FILTER (WHERE reason IS NULL AND seq NOT IN {ESCALATED}) AS skipped,
+  count(*) FILTER (WHERE reason IS NOT NULL) AS quarantined FROM broken"""
+ORACLE["incident_precedent"] = _with(PROXY, BASE) + f"""SELECT e.seq, p.precedent_id, p.distance FROM {ESCALATED} e LEFT JOIN (
+  SELECT q.vec_id AS seq, b.vec_id AS precedent_id,
+    round(pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2), 6) AS distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY
+      list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS place
+  FROM embeddings q, embeddings b WHERE b.label >= 5) p ON p.seq = e.seq AND p.place = 1"""
+ORACLE["similar_by_blocks"] = ORACLE["similar_incidents"]
+ORACLE["importance_sum"] = f"SELECT CAST({len(FEATURES)} AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, true AS none_negative"
+ORACLE["model_predictions"] = _with(PROXY) + "SELECT seq, Label, true AS known, true AS possible, true AS named FROM proxy"
+ORACLE["anomaly_two_features"] = _with(
+    PROXY, _SPLITS,
+    "fit AS (SELECT avg(CmdCode) AS m1, stddev_pop(CmdCode) AS s1, avg(MsgLength) AS m2, stddev_pop(MsgLength) AS s2 FROM raw)",
+    "z AS (SELECT (CmdCode - m1) / s1 AS x, (MsgLength - m2) / s2 AS y FROM raw, fit WHERE Label = 0)",
+    "moments AS (SELECT avg(x) AS cx, avg(y) AS cy, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM z)",
+    # The axis of the smaller variance, as an angle: what is left of a row lies along it.
+    "axis AS (SELECT cx, cy, 0.5 * atan2(2 * b, a - c) + pi() / 2 AS t FROM moments)",
+) + """SELECT seq, round(pow(cos(t) * ((CmdCode - m1) / s1 - cx) + sin(t) * ((MsgLength - m2) / s2 - cy), 2) / 2, 6) AS error
+FROM noised, fit, axis"""
+_WIDE = "wide AS (SELECT " + ", ".join(f"{sql} AS {f}" for sql, f in zip(proxy.WIDE, fv.FEATURES)) + f", {proxy.WIDE_LABEL} AS Label FROM lineitem)"
+_WIDE_BASE = "wide_base AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in fv.FEATURES) + " FROM wide WHERE Label = 0)"
+_WIDE_TRIPPED = " + ".join(f"(CASE WHEN {_z(f)} > 2.0 THEN 1 ELSE 0 END)" for f in fv.FEATURES)
+ORACLE["wide_baseline"] = _with(_WIDE, _WIDE_BASE) + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(m_{f}, 6) AS mean, round(s_{f}, 6) AS std FROM wide_base" for f in fv.FEATURES
+)
+ORACLE["wide_gate"] = _with(_WIDE, _WIDE_BASE, f"gated AS (SELECT Label, {_WIDE_TRIPPED} AS tripped FROM wide, wide_base)") + """
+SELECT Label, count(*) AS total, count(*) FILTER (WHERE tripped >= 2) AS escalated, CAST(sum(tripped) AS BIGINT) AS tripped FROM gated GROUP BY Label"""
+ORACLE["discovered_files"] = "SELECT 'raw' AS role, count(*) AS rows FROM events UNION ALL SELECT 'noised', count(*) FROM events"
+ORACLE["manifest_files"] = _with(PROXY) + "SELECT seq, " + ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES) + " FROM proxy"
+ORACLE["noised_features"] = ORACLE["shared_features"]
+ORACLE["table_versions"] = _with(PROXY) + "SELECT Label, count(*) AS n FROM proxy WHERE Label <> 4 GROUP BY Label"
+ORACLE["results_by_key"] = _with(PROXY) + """SELECT Label, MsgId, max(confidence) AS confidence,
+  CASE WHEN Label = 1 THEN 'FLAGGED_FOR_REVIEW' WHEN max(confidence) > 0.9 THEN 'AUTONOMOUS' ELSE 'ERROR' END AS status
+FROM proxy WHERE Label <> 4 GROUP BY 1, 2"""

@@ -19,6 +19,7 @@ from perigee.operators.models import (
 )
 from perigee.operators.sequences import labelled_sequences, require_dense
 from perigee.session import materialize
+from perigee.sources.artifacts import stats_map
 
 
 @dataclass
@@ -31,13 +32,18 @@ class Evaluation:
     comparison: DataFrame
 
 
+def fitted_scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The scaler of ``df``, worked out once: one row per feature, held as a local table."""
+    return df.sparkSession.createDataFrame(fit_scaler(df, features).toArrow())
+
+
 def scaled_sequences(
-    fit_on: DataFrame, df: DataFrame, features: Sequence[str], idx: str = "seq", label: str = "Label",
+    scaler: DataFrame, df: DataFrame, features: Sequence[str], idx: str = "seq", label: str = "Label",
     length: int = fv.SEQUENCE_LENGTH,
 ) -> DataFrame:
-    """Labelled sequences of ``df`` scaled by the statistics of ``fit_on``; ``idx`` must be dense."""
+    """Labelled sequences of ``df`` scaled by ``scaler``; ``idx`` must be dense."""
     require_dense(df, idx)
-    scaled = scale(df, fit_scaler(fit_on, features), features, keep=[idx, label])
+    scaled = scale(df, scaler, features, keep=[idx, label])
     return labelled_sequences(scaled, features, idx, label, length)
 
 
@@ -58,12 +64,14 @@ def evaluate(
     themselves, which leaks their labels and reproduces the usual figures.
     """
     classifier = train_classifier(raw, features, label, trees)
-    anomaly = train_anomaly(raw, features, label, components)
+    scaler = fitted_scaler(raw, features)
+    anomaly = train_anomaly(raw, features, label, components, scaler=stats_map(scaler, features))
     scored = materialize(
         anomaly.error(score(noised, classifier)).select(idx, label, "predicted_label", "confidence", "error"),
         "scored",
     )
-    held_out = scored if calibration is None else anomaly.error(calibration).select(label, "error")
+    # Written before the thresholds go over them several times.
+    held_out = scored if calibration is None else materialize(anomaly.error(calibration).select(label, "error"), "held-out")
     percentile = percentile_threshold(held_out, "error", label)
     adaptive = float(adaptive_threshold(held_out, "error", label).first()["threshold"])
     predictions = scored.select(
@@ -76,9 +84,9 @@ def evaluate(
     if sequence_model:
         classes = raw.select(F.max(label)).first()[0] + 1
         network = train_sequence_classifier(
-            scaled_sequences(raw, raw, features, idx, label), fv.SEQUENCE_LENGTH, len(features), classes, label
+            scaled_sequences(scaler, raw, features, idx, label), fv.SEQUENCE_LENGTH, len(features), classes, label, idx=idx
         )
-        by_sequence = score_sequences(scaled_sequences(raw, noised, features, idx, label), network)
+        by_sequence = score_sequences(scaled_sequences(scaler, noised, features, idx, label), network)
         predictions = predictions.join(by_sequence.select(idx, "sequence_pred"), idx, "left")
         models.append("sequence_pred")
     return Evaluation(

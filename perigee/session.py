@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Scratch folders by application, until they are cleaned up.
+_HANDED_OUT: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "perigee", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,7 +70,38 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder; ``cleanup`` removes what was handed out."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes scratch folders: the given ones, or all that this application was handed.
+
+    Call it when the results built on them have been consumed.
+    """
+    known = _HANDED_OUT.setdefault(spark.sparkContext.applicationId, [])
+    for path in list(known if paths is None else paths):
+        remove_folder(spark, path)
+        if path in known:
+            known.remove(path)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written to the scratch folder inside."""
+    known = _HANDED_OUT.setdefault(spark.sparkContext.applicationId, [])
+    before = set(known)
+    try:
+        yield
+    finally:
+        cleanup(spark, [path for path in known if path not in before])
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -80,10 +115,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out to all cores when the input comes in fewer pieces than there are cores.
+def fixed_partitions(df: DataFrame, partitions: int, *order: str) -> DataFrame:
+    """Rows dealt by the hash of ``order`` into a fixed number of partitions and sorted inside.
 
-    For work that is heavy per row.  Large inputs have pieces enough and pass unchanged.
+    Seeded algorithms that draw per partition then give one result on any cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions, *order).sortWithinPartitions(*order)

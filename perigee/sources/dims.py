@@ -69,20 +69,21 @@ KNOWLEDGE_COLUMNS = {
     "id": pa.string(), "type": pa.string(), "class_id": pa.string(), "class_name": pa.string(),
     "tactic_id": pa.string(), "tactic_name": pa.string(), "technique_id": pa.string(),
     "technique_name": pa.string(), "year": pa.string(), "name": pa.string(), "text": pa.string(),
+    "embedding": pa.list_(pa.float64()),
 }
 
 
 def knowledge(spark: SparkSession) -> DataFrame:
     """Class mappings and incidents with a one-line text of our own.
 
-    Longer texts and embeddings are the user's data: upsert them by ``id``.
+    Longer texts and embeddings (NULL here) are the user's data: upsert them by ``id``.
     """
     rows = [
         (doc_id, "class_mapping", class_id, name, tactic, tactic_name, technique, technique_name, None, None,
-         f"{name}: tactic {tactic} ({tactic_name}), technique {technique} ({technique_name}).")
+         f"{name}: tactic {tactic} ({tactic_name}), technique {technique} ({technique_name}).", None)
         for doc_id, class_id, name, tactic, tactic_name, technique, technique_name in fv.CLASS_MAPPINGS
     ] + [
-        (doc_id, "incident", None, None, tactic, None, None, None, year, name, f"{name} ({year}): tactic {tactic}.")
+        (doc_id, "incident", None, None, tactic, None, None, None, year, name, f"{name} ({year}): tactic {tactic}.", None)
         for doc_id, year, name, tactic in fv.INCIDENTS
     ]
     return local_table(spark, KNOWLEDGE_COLUMNS, rows)

@@ -11,11 +11,32 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perigee import fixed_values as fv
+
 FEATURES = ["MsgId", "CmdCode", "TimeRadians", "MsgLength"]
 EVENT_LABELS = {"view": 0, "click": 1, "purchase": 2, "signup": 3, "error": 4}
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+# As many columns as the telemetry has, made of order lines; SQL that any engine reads.
+WIDE = [
+    "CAST(l_quantity AS DOUBLE)", "CAST(l_extendedprice AS DOUBLE)", "CAST(l_discount AS DOUBLE)", "CAST(l_tax AS DOUBLE)",
+    "CAST(l_linenumber AS DOUBLE)", "CAST(l_orderkey AS DOUBLE)", "CAST(l_partkey AS DOUBLE)", "CAST(l_suppkey AS DOUBLE)",
+    "CAST(year(l_shipdate) AS DOUBLE)", "CAST(month(l_shipdate) AS DOUBLE)", "CAST(day(l_shipdate) AS DOUBLE)",
+    "l_quantity * l_discount", "l_extendedprice * l_discount", "l_extendedprice * l_tax", "l_quantity * l_tax",
+    "l_extendedprice / l_quantity", "CAST(l_orderkey % 97 AS DOUBLE)", "CAST(l_partkey % 89 AS DOUBLE)",
+    "CAST(l_suppkey % 83 AS DOUBLE)", "l_extendedprice * (1 - l_discount)", "l_extendedprice * (1 - l_discount) * (1 + l_tax)",
+    "l_quantity * l_quantity",
+]
+WIDE_LABEL = "CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END"
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines under the names of all telemetry features, with a label."""
+    named = [f"{sql} AS {name}" for sql, name in zip(WIDE, fv.FEATURES, strict=True)]
+    return read(spark, sf_dir, "lineitem").selectExpr(*named, f"{WIDE_LABEL} AS Label")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -52,21 +52,26 @@ def file_role(name: Column | str) -> Column:
 def discover(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """Latest file of each role below ``root``: ``(role, path)``.
 
-    The file index lists the tree; contents are never read.  The last match in path
-    order wins, which makes the choice reproducible.
+    The role is in the name of the file, or in that of its folder, as for data sets written in parts:
+    then the path is the folder.  The file index lists the tree; contents are never read.  The last match in
+    path order wins, which makes the choice reproducible.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(root)
-        .select(F.col("path"), file_role(F.element_at(F.split("path", "/"), -1)).alias("role"))
+        .withColumn("_own", file_role(F.element_at(F.split("path", "/"), -1)))
+        .select(
+            F.when(F.col("_own").isNotNull(), F.col("path")).otherwise(F.regexp_replace("path", "/[^/]*$", "")).alias("path"),
+            F.coalesce("_own", file_role(F.element_at(F.split("path", "/"), -2))).alias("role"),
+        )
     )
     return files.where(F.col("role").isNotNull()).groupBy("role").agg(F.max("path").alias("path"))
 
 
 def read_ordered_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV rows with ``seq``, their position over files in path order.
+    """CSV rows with ``seq``, their position over files in path order; part files in order of their numbers.
 
     A scan cuts files into byte ranges and numbers rows inside a range, so path, range
     start and that number together give the order of the lines.
@@ -78,4 +83,8 @@ def read_ordered_csv(spark: SparkSession, path: str, schema: T.StructType) -> Da
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    return with_dense_index(located, ["_file", "_start", "_at"], "seq").select("seq", *rows.columns)
+    folder, name = F.regexp_extract("_file", "^(.*/)", 1), F.regexp_extract("_file", "([^/]*)$", 1)
+    number = F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("decimal(38,0)"), F.lit(0))
+    lettered = located.withColumns({"_folder": folder, "_stem": F.regexp_extract(name, r"^(\D*)", 1), "_number": number})
+    placed = with_dense_index(lettered, ["_folder", "_stem", "_number", "_file", "_start", "_at"], "seq")
+    return placed.select("seq", *rows.columns)

@@ -13,6 +13,7 @@ from perigee import fixed_values as fv
 from perigee.operators.gate import Stats, gate
 from perigee.operators.order import last_rows, metric_history
 from perigee.operators.profile import label_mix
+from perigee.session import remove_folder
 
 
 def read_stream(
@@ -45,12 +46,59 @@ def _each_batch(rows: DataFrame, handle, checkpoint: str, mode: str, once: bool,
     return writer.start()
 
 
+class Versions:
+    """Tables written as whole versions, with a pointer that names the last complete one.
+
+    A version is the number of a batch.  The pointer is written after all tables of its version, so a reader
+    always finds whole tables, also while the next version is written or after a crash.  A batch that is
+    run again overwrites its own version.  Only the last ``kept`` versions stay.
+    """
+
+    def __init__(self, path: str, kept: int = 2) -> None:
+        self.path, self.kept = path, kept
+
+    def folder(self, table: str, version: int) -> str:
+        return f"{self.path}/{table}/version={version}"
+
+    def last(self, spark: SparkSession, before: int | None = None) -> int | None:
+        """The last complete version, or the last one before the given number."""
+        done = self._pointers(spark)
+        done = [v for v in done if before is None or v < before]
+        return max(done, default=None)
+
+    def _pointers(self, spark: SparkSession) -> list[int]:
+        context = spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        return [int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()]
+
+    def save(self, tables: dict[str, DataFrame], version: int) -> None:
+        spark = next(iter(tables.values())).sparkSession
+        for name, rows in tables.items():
+            rows.coalesce(1).write.mode("overwrite").parquet(self.folder(name, version))
+        context = spark.sparkContext
+        pointer = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done/{version}")
+        pointer.getFileSystem(context._jsc.hadoopConfiguration()).create(pointer, True).close()
+        for old in [v for v in self._pointers(spark) if v <= version - self.kept]:
+            remove_folder(spark, f"{self.path}/done/{old}")
+            for name in tables:
+                remove_folder(spark, self.folder(name, old))
+
+    def read(self, spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
+        version = self.last(spark) if version is None else version
+        if version is None:
+            raise ValueError(f"nothing complete below {self.path} yet")
+        return spark.read.parquet(self.folder(table, version))
+
+
 def start_counters(
     stream: DataFrame, stats: Stats, features: Sequence[str], path: str, checkpoint: str,
     z_threshold: float = fv.Z_THRESHOLD, min_features: int = fv.MIN_FEATURES,
     once: bool = True, interval: str = "10 seconds",
 ) -> StreamingQuery:
-    """Running totals of rows seen and escalated, kept as a one-row table.
+    """Running totals of rows seen and escalated, as the one-row table ``counters`` of ``Versions(path)``.
 
     Each task counts its rows first; the state is a single row however long the stream.
     """
@@ -58,9 +106,10 @@ def start_counters(
         F.count(F.lit(1)).alias("seen"),
         F.coalesce(F.sum(F.col("escalate").cast("long")), F.lit(0)).alias("escalated"),
     )
+    versions = Versions(path)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+        versions.save({"counters": batch}, batch_id)
 
     return _each_batch(totals, save, checkpoint, "complete", once, interval)
 
@@ -68,9 +117,8 @@ def start_counters(
 class LiveView:
     """Latest rows of a stream, with the label mix and metric history they give.
 
-    Every batch merges the previous tables with its own rows and writes the result to
-    one of two slots in turn.  A batch that is run again after a failure reads the slot
-    of the batch before and overwrites its own, so repeating it changes nothing.
+    Every batch merges the last complete version before it with its own rows and writes a version of its
+    own (see ``Versions``), so a batch that is run again after a failure changes nothing.
     """
 
     def __init__(
@@ -78,39 +126,31 @@ class LiveView:
         metrics: Sequence[str] = tuple(fv.CHART_METRICS), history_points: int = fv.HISTORY_POINTS,
         seq: str = "seq", label: str = "Label",
     ) -> None:
-        self.path, self.schema, self.seq, self.label = path, schema, seq, label
+        self.versions, self.schema, self.seq, self.label = Versions(path), schema, seq, label
         self.buffer_rows, self.history_points = buffer_rows, history_points
         self.metrics = [name for name in metrics if name in schema.names]
 
-    def _slot(self, table: str, batch_id: int) -> str:
-        return f"{self.path}/{table}/slot={batch_id % 2}"
-
-    def _merged(self, batch: DataFrame, table: str, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return batch
-        return batch.sparkSession.read.schema(batch.schema).parquet(
-            self._slot(table, batch_id - 1)
-        ).unionByName(batch)
-
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*self.schema.names)
-        buffer = last_rows(self._merged(rows, "buffer", batch_id), self.buffer_rows, self.seq)
-        buffer.coalesce(1).write.mode("overwrite").parquet(self._slot("buffer", batch_id))
+        spark = batch.sparkSession
+        # One reading of the source serves the buffer and the history.
+        rows = batch.select(*self.schema.names).persist()
         points = rows.select(self.seq, *self.metrics)
-        history = metric_history(
-            self._merged(points, "history", batch_id), self.metrics, self.seq, self.history_points
-        )
-        history.coalesce(1).write.mode("overwrite").parquet(self._slot("history", batch_id))
-        stored = batch.sparkSession.read.schema(rows.schema).parquet(self._slot("buffer", batch_id))
-        label_mix(stored, self.label).coalesce(1).write.mode("overwrite").parquet(
-            self._slot("label_mix", batch_id)
-        )
+        newest = rows
+        before = self.versions.last(spark, batch_id)
+        if before is not None:
+            newest = spark.read.schema(rows.schema).parquet(self.versions.folder("buffer", before)).unionByName(rows)
+            points = spark.read.schema(points.schema).parquet(self.versions.folder("history", before)).unionByName(points)
+        buffer = last_rows(newest, self.buffer_rows, self.seq).persist()
+        history = metric_history(points, self.metrics, self.seq, self.history_points)
+        self.versions.save({"buffer": buffer, "history": history, "label_mix": label_mix(buffer, self.label)}, batch_id)
+        buffer.unpersist()
+        rows.unpersist()
 
     def start(
         self, stream: DataFrame, checkpoint: str, once: bool = True, interval: str = "10 seconds"
     ) -> StreamingQuery:
         return _each_batch(stream, self.update, checkpoint, "append", once, interval)
 
-    def read(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-        """A table as batch ``batch_id`` (the last finished one) left it."""
-        return spark.read.parquet(self._slot(table, batch_id))
+    def read(self, spark: SparkSession, table: str) -> DataFrame:
+        """A table as the last complete batch left it."""
+        return self.versions.read(spark, table)

@@ -74,7 +74,7 @@ def test_anomaly_score_equals_numpy(raw):
 
 
 def test_sequence_model_scores_each_sequence(raw):
-    built = training.scaled_sequences(raw, raw, NAMES)
+    built = training.scaled_sequences(training.fitted_scaler(raw, NAMES), raw, NAMES)
     assert built.count() == 590
     network = models.train_sequence_classifier(built, 10, 3, 5, hidden=8, iterations=40)
     scored = models.score_sequences(built, network)
@@ -103,3 +103,24 @@ def test_triage_scores_only_what_the_gate_lets_through(raw, forest):
     got = triage(windows, stats, NAMES, forest)
     assert got.count() == raw.where("abs(a) > 5 OR abs(b) > 5 OR abs(c) > 5").count()
     assert got.where("record.classification.class_name IS NULL").count() == 0
+
+
+def test_model_does_not_depend_on_how_rows_were_cut(raw):
+    found = {
+        tuple(models.train_classifier(raw.repartition(n), NAMES, trees=5).stages[-1].featureImportances.toArray())
+        for n in (2, 4, 8)
+    }
+    assert len(found) == 1
+
+
+def test_anomaly_fit_keeps_rows_with_a_missing_feature(raw):
+    holed = raw.withColumn("b", F.when(F.col("seq") % 5 != 0, F.col("b")))
+    model = models.train_anomaly(holed, NAMES, components=2)
+    x = np.array([[r.a, np.nan if r.b is None else r.b, r.c, r.Label] for r in holed.collect()])
+    mean, std = np.nanmean(x[:, :3], axis=0), np.nanstd(x[:, :3], axis=0)
+    normal = ((x[:, :3] - mean) / std)[x[:, 3] == 0]
+    centre = np.nanmean(normal, axis=0)
+    filled = np.where(np.isnan(normal), centre, normal) - centre
+    axes = np.linalg.svd(filled - filled.mean(axis=0), full_matrices=False)[2][:2]
+    got = np.array(model.components)
+    assert np.allclose(np.abs((got * axes).sum(axis=1)), 1.0, atol=1e-8)

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import math
 import re
@@ -7,8 +8,11 @@ from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
 from perigee.functions import incident as rec
+from perigee.functions import sql as sql_functions
+from perigee.functions.numeric import percent_text
 from perigee.operators import lookup
 from perigee.plans.triage import assemble, flatten_incidents, incidents_as_json, parse_incidents, triage, write_incidents
+from perigee.session import materialize, scratch_root, scratch_scope
 from perigee.sources import dims
 
 BOUNDARIES = [
@@ -177,3 +181,52 @@ def test_records_survive_json(incidents, spark, tmp_path):
     assert sorted(back.select("seq", "record").collect()) == sorted(incidents.select("seq", "record").collect())
     write_incidents(incidents, str(tmp_path / "out"))
     assert spark.read.schema(incidents.schema).json(str(tmp_path / "out")).count() == 3
+
+
+def test_ids_differ_between_satellites_and_moments(spark, table):
+    rows = table("seq long, ts timestamp", [(7, dt.datetime(2026, 1, 1)), (7, dt.datetime(2026, 1, 2))])
+    ids = {r[0] for name in ("A", "B") for r in rows.select(rec.incident_id("seq", "ts", name)).collect()}
+    assert len(ids) == 4
+
+
+def test_utc_text_in_any_session_zone(spark, table):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert spark.sql("SELECT timestamp_seconds(0) AS ts").select(rec.utc_text("ts")).first()[0] == "1970-01-01T00:00:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_text_is_rounded_half_to_even(table):
+    rows = table("v double", [(0.025,)])
+    assert rows.select(percent_text("v", 0)).first()[0] == "2%"
+
+
+def test_sql_and_joins_agree_on_null_and_unknown_classes(spark, table):
+    sql_functions.register(spark, {"a": (0.0, 1.0)}, ["a"])
+    rows = table("class_name string, confidence double", [(None, 0.9), ("nope", 0.9), ("Normal", None)])
+    joined = lookup.with_mitigation(rows, dims.policy_bands(spark)).select("class_name", "policy_error")
+    joined = lookup.with_class_mapping(joined, lookup.class_mappings(dims.knowledge(spark)))
+    by_join = {r.class_name: (r.policy_error, r.mapping_error) for r in joined.collect()}
+    rows.createOrReplaceTempView("null_classes")
+    by_sql = {r[0]: (r[1], r[2]) for r in spark.sql(
+        "SELECT class_name, decide_mitigation(class_name, confidence).error, class_mapping(class_name).error FROM null_classes").collect()}
+    assert by_join == by_sql and by_sql[None][0] == "No policy defined for class 'null'"
+
+
+def test_a_run_written_twice_is_there_once(spark, tmp_path, table):
+    rows = table("seq long, ts timestamp, a double, predicted_label int, confidence double", [(1, dt.datetime(2026, 1, 1), 9.0, 1, 0.9)])
+    incidents = triage(rows, {"a": (0.0, 1.0)}, ["a"])
+    for run in ("r1", "r1", "r2"):
+        write_incidents(incidents, str(tmp_path / "out"), run)
+    assert spark.read.json(str(tmp_path / "out")).groupBy("run").count().orderBy("run").collect() == [("r1", 1), ("r2", 1)]
+
+
+def test_scratch_is_empty_after_its_scope(spark):
+    import glob
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/*"))
+    with scratch_scope(spark):
+        assert materialize(spark.range(5), "x").count() == 5
+    assert set(glob.glob(f"{root}/*")) == before

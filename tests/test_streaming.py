@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from perigee.operators import gate as gt
 from perigee.operators import order, profile
-from perigee.plans.triage import JSON_OPTIONS, flatten_incidents, triage
+from perigee.plans.triage import JSON_OPTIONS, flatten_incidents, triage, triage_or_quarantine
 from perigee.streaming import live
 
 NAMES = ["MsgLength", "CmdCode"]
@@ -78,7 +78,7 @@ def test_counters_go_on_over_restarts(feed, spark):
     for first, last in [(0, 100), (100, 250)]:
         feed.add(first, last)
         live.start_counters(feed.stream(), STATS, NAMES, feed.out, feed.checkpoint).awaitTermination()
-    row = spark.read.parquet(feed.out).first()
+    row = live.Versions(feed.out).read(spark, "counters").first()
     assert row.seen == 250
     assert row.escalated == gt.gate(feed.batch(), STATS, NAMES).where("escalate").count()
 
@@ -90,9 +90,9 @@ def test_live_view_equals_batch_tail(feed, spark):
         query = view.start(feed.stream(), feed.checkpoint)
         query.awaitTermination()
     tail = order.last_rows(feed.batch(), 30)
-    assert sorted(view.read(spark, "buffer", 3).select("seq").collect()) == sorted(tail.select("seq").collect())
-    assert sorted(view.read(spark, "label_mix", 3).collect()) == sorted(profile.label_mix(tail).collect())
-    history = view.read(spark, "history", 3)
+    assert sorted(view.read(spark, "buffer").select("seq").collect()) == sorted(tail.select("seq").collect())
+    assert sorted(view.read(spark, "label_mix").collect()) == sorted(profile.label_mix(tail).collect())
+    history = view.read(spark, "history")
     assert history.columns == ["seq", "MsgLength"]
     assert sorted(r.seq for r in history.collect()) == list(range(75, 100))
 
@@ -101,6 +101,37 @@ def test_live_view_batch_run_twice_changes_nothing(feed, spark):
     view = live.LiveView(feed.out, rows(spark, 0, 1).schema, 10, ["MsgLength"], 10)
     view.update(rows(spark, 0, 8), 0)
     view.update(rows(spark, 8, 14), 1)
-    before = sorted(view.read(spark, "buffer", 1).collect())
+    before = sorted(view.read(spark, "buffer").collect())
     view.update(rows(spark, 8, 14), 1)
-    assert sorted(view.read(spark, "buffer", 1).collect()) == before and len(before) == 10
+    assert sorted(view.read(spark, "buffer").collect()) == before and len(before) == 10
+
+
+def test_restart_without_data_gives_the_last_state_and_old_versions_go(feed, spark):
+    view = live.LiveView(feed.out, rows(spark, 0, 1).schema, 5, ["MsgLength"], 5)
+    for first in range(0, 40, 10):
+        feed.add(first, first + 10)
+        view.start(feed.stream(), feed.checkpoint).awaitTermination()
+    view.start(feed.stream(), feed.checkpoint).awaitTermination()
+    assert sorted(r.seq for r in view.read(spark, "buffer").collect()) == list(range(35, 40))
+    assert view.versions._pointers(spark) and len(view.versions._pointers(spark)) <= 2
+
+
+def test_a_version_without_its_pointer_is_not_read(spark, tmp_path):
+    versions = live.Versions(str(tmp_path / "v"))
+    with pytest.raises(ValueError):
+        versions.read(spark, "t")
+    versions.save({"t": spark.range(3)}, 0)
+    spark.range(9).write.parquet(versions.folder("t", 1))  # as if stopped before the pointer
+    assert versions.read(spark, "t").count() == 3
+    versions.save({"t": spark.range(9)}, 1)
+    assert versions.read(spark, "t").count() == 9
+
+
+def test_quarantine_on_a_stream_equals_batch(feed, spark):
+    feed.add(0, 120)
+    def checked(df):
+        return triage_or_quarantine(df.withColumn(NAMES[0], F.when(F.col("seq") % 7 != 0, F.col(NAMES[0]))), STATS, NAMES).select("seq", "status", "reason")
+    live.write_stream(checked(feed.stream()), feed.out, feed.checkpoint).awaitTermination()
+    got, batch = spark.read.parquet(feed.out), checked(feed.batch())
+    assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0
+    assert got.where("status = 'ERROR'").count() == 18

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perigee.operators import evaluate as ev
 from perigee.operators import features as fx
-from perigee.operators import profile, refresh, similarity
+from perigee.operators import order, profile, refresh, similarity
 from perigee.sources import dims
 from perigee.sources.artifacts import stats_map
 
@@ -161,8 +161,8 @@ def brute(queries, base, k, metric):
 
 
 @pytest.mark.parametrize("metric", similarity.METRICS)
-@pytest.mark.parametrize("broadcast_rows,block_rows", [(1000, 1000), (0, 7)])
-def test_similarity_both_ways_equal_brute_force(table, metric, broadcast_rows, block_rows):
+@pytest.mark.parametrize("broadcast_rows,block_values", [(1000, 1000), (0, 21)])
+def test_similarity_both_ways_equal_brute_force(table, metric, broadcast_rows, block_values):
     rng = random.Random(11)
     vector = lambda: [float(rng.randrange(-3, 4)) for _ in range(3)]
     base = [(i, vector()) for i in range(60)]
@@ -171,7 +171,7 @@ def test_similarity_both_ways_equal_brute_force(table, metric, broadcast_rows, b
                       [(i, "incident", v) for i, v in base] + [(-1, "class_mapping", asked[0][1]), (99, "incident", None)])
     queries = table("id long, embedding array<float>", asked)
     got = similarity.similar_incidents(
-        queries, knowledge, k=3, metric=metric, broadcast_rows=broadcast_rows, block_rows=block_rows).collect()
+        queries, knowledge, k=3, metric=metric, broadcast_rows=broadcast_rows, block_values=block_values).collect()
     if metric == "cosine":
         # Equal directions may differ in the last bit, so compare distances instead of picks.
         assert len(got) == 41 * 3 and all(-1 != r.match_id for r in got)
@@ -227,3 +227,52 @@ def test_refresh_recomputes_missing_and_failed_only(spark, table, tmp_path):
     refresh.save_by_key(done, path)
     refresh.save_by_key(compute(refresh.to_recompute(wanted, done)), path)
     assert {r.class_name: (r.status, r.n) for r in refresh.load_results(spark, path).collect()} == got
+
+
+@pytest.mark.parametrize("metric", similarity.METRICS)
+def test_similarity_is_the_same_to_the_last_bit_both_ways(table, metric):
+    rng = np.random.default_rng(3)
+    rows = [(i, "incident", rng.normal(0, 1, 33).tolist()) for i in range(150)]
+    vectors = table("id long, type string, embedding array<double>", [*rows, (900, "incident", rows[0][2])])
+    both = [
+        sorted(map(tuple, similarity.similar_incidents(vectors, vectors, k=4, metric=metric, **how).collect()))
+        for how in ({}, {"broadcast_rows": 0, "block_values": 33 * 20})
+    ]
+    assert both[0] == both[1]
+
+
+def test_query_without_vector_is_kept(table):
+    vectors = table("id long, type string, embedding array<double>", [(1, "incident", [1.0]), (2, "incident", None)])
+    for how in ({}, {"broadcast_rows": 0}):
+        got = sorted(map(tuple, similarity.similar_incidents(vectors, vectors, k=1, **how).collect()))
+        assert got == [(1, 1, 1, 0.0), (2, None, None, None)]
+    assert similarity.similar_incidents(vectors, vectors, k=1, keep_unmatched=False).count() == 1
+
+
+def test_upsert_refuses_a_key_written_twice_without_order(table):
+    old = table("id string, n int", [("a", 1)])
+    with pytest.raises(ValueError):
+        refresh.upsert(old, table("id string, n int", [("b", 1), ("b", 2)]))
+
+
+def test_results_of_many_keys_share_few_folders(spark, table, tmp_path):
+    path = str(tmp_path / "many")
+    rows = table("class_name string, n int", [(f"k{i}", i) for i in range(200)])
+    refresh.save_by_key(rows, path, buckets=4)
+    refresh.save_by_key(rows.where("n < 50").selectExpr("class_name", "n + 1000 AS n"), path, buckets=4)
+    got = {r.class_name: r.n for r in refresh.load_results(spark, path).collect()}
+    assert got == {f"k{i}": i + 1000 if i < 50 else i for i in range(200)}
+    assert len(list((tmp_path / "many").glob("_bucket=*"))) == 4
+
+
+def test_class_without_values_and_text_labels_stay(table):
+    rows = table("Label string, v double, c int", [("x", 1.0, 1), ("x", 3.0, 2), ("y", None, 5)])
+    got = {r.Label: (r.p50, r.codes) for r in profile.class_diversity(rows, "v", "c").collect()}
+    assert got == {"x": (2.0, 2), "y": (None, 1)}
+
+
+def test_representative_row_is_one_per_group_on_ties(table):
+    rows = table("Label int, seq long, v string", [(0, 5, "b"), (0, 5, "a"), (0, 5, "c"), (1, 1, "z")])
+    assert sorted(map(tuple, order.representative_rows(rows).collect())) == [(0, 5, "a"), (1, 1, "z")]
+    with pytest.raises(ValueError):
+        order.representative_rows(rows, seq="v")
