@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from perigee.plans.triage import (
     JSON_OPTIONS, assemble, flatten_incidents, incidents_as_json, parse_incidents, triage, triage_or_quarantine, with_precedent,
     write_incidents,
 )
-from perigee.session import materialize, scratch_path
+from perigee.session import materialize, scratch_path, scratch_root
 from perigee.sources import dims, proxy, telemetry
 from perigee.sources.artifacts import load_manifest, load_model, load_stats, manifest, save_model, save_table, stats_map
 from perigee.streaming import live
@@ -528,7 +529,8 @@ def _classifier(spark: SparkSession, sf_dir: str) -> PipelineModel:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _SAVED_MODELS:
         raw, _ = proxy.splits(proxy.telemetry(spark, sf_dir))
-        path = scratch_path(spark, "classifier")
+        # Kept for the whole application: not among the scratch folders that a query's end removes.
+        path = f"{scratch_root(spark)}/classifier-{uuid.uuid4().hex}"
         save_model(models.train_classifier(raw, FEATURES), path)
         _SAVED_MODELS[at] = path
     return load_model(_SAVED_MODELS[at])

@@ -82,3 +82,17 @@ def test_scratch_is_the_named_shared_folder(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     df = materialize(spark.range(5).select(F.rand().alias("x"), F.array("id").alias("a")), "t")
     assert df.collect() == df.collect() and scratch_root(spark) + "/t-" in df.inputFiles()[0]
+
+
+def test_part_files_are_read_in_the_order_of_their_numbers(spark, tmp_path):
+    for number in (100000, 10001, 9, 99999):
+        (tmp_path / f"part-{number}.csv").write_text(f"a,Label\n{number},0\n")
+    rows = telemetry.read_ordered_csv(spark, str(tmp_path), telemetry.telemetry_schema(["a"]))
+    assert [r.a for r in rows.orderBy("seq").collect()] == [9, 10001, 99999, 100000]
+
+
+def test_data_sets_written_in_parts_are_found_by_their_folder(spark, tmp_path):
+    spark.range(3).repartition(2).write.option("header", True).csv(str(tmp_path / "x" / "noised_dataset.csv"))
+    (tmp_path / "consolidated.csv").write_text("a\n1\n")
+    found = {r["role"]: r["path"] for r in telemetry.discover(spark, str(tmp_path)).collect()}
+    assert found["noised"].endswith("/x/noised_dataset.csv") and found["raw"].endswith("/consolidated.csv")
