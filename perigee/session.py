@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ARROW_ROWS, SPARK_ARROW_ROWS, TEXT_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 # Scratch folders by application, until they are cleaned up.
 _HANDED_OUT: dict[str, list[str]] = {}
 
@@ -53,6 +54,16 @@ def ship_package(spark: SparkSession) -> None:
     context._perigee_shipped = True
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and bounds the rows of an Arrow batch unless the session has its own bound.
+
+    Spark's default of 10,000 rows is meant for narrow rows; of whole texts that many fill a worker.
+    """
+    ship_package(spark)
+    if spark.conf.get(ARROW_ROWS) == SPARK_ARROW_ROWS:
+        spark.conf.set(ARROW_ROWS, TEXT_ARROW_ROWS)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
