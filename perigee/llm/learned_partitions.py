@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from perigee.session import materialize
 
-SAMPLE_ROWS = 8192
-PART_ROWS = 1024
+SAMPLE_ROWS = 4096
+PART_ROWS = 4096
 MOST_PARTS = 256
 RECALL = 0.95
 BLOCK_ROWS = 8192
@@ -40,8 +40,8 @@ QUERY_CHUNK = 256
 def _nearest(vectors: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k nearest others of each row."""
     out = []
-    for at in range(0, len(vectors), 512):
-        scores = vectors[at : at + 512] @ vectors.T
+    for at in range(0, len(vectors), 128):
+        scores = vectors[at : at + 128] @ vectors.T
         scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
         out.append(np.argpartition(-scores, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
