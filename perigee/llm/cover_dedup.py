@@ -81,10 +81,6 @@ def _windows(batch: pa.RecordBatch):
         yield hashes(chosen, chosen + WINDOW), text[chosen] + at, pos[chosen]
 
 
-def _digest(data: bytes, starts: list, ends: list, kept: np.ndarray) -> str:
-    return hashlib.sha256(b" ".join(data[starts[i] : ends[i]] for i in kept.tolist())).hexdigest()
-
-
 def _whole(column: pa.Array) -> pa.Array:
     words, digests = [], []
     for t in column:

@@ -12,18 +12,19 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from perigee.llm import arrays as ar
 
 # An entry competes, competes but is reported already, or is only passed on to its row.
 OPEN, KNOWN, SETTLED = 0, 1, 2
-PACKED = "bucket int, hash binary, ord binary, row binary, pos binary, state binary"
+# Entries in the order of (row, pos): each row once with its number of entries, positions as steps.
+PACKED = "bucket int, hash binary, state binary, row binary, ord binary, n binary, step binary"
 Places = Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def buckets_of(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many as there are shuffle partitions: set these so that a bucket's entries fit a task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def runs(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -59,24 +60,43 @@ def _settle_later(hash_, ord_, row, pos, state):
     return order[~same], order[edges[:-1]], state[order[edges[:-1]]]
 
 
-def _pack(bucket, columns):
-    order = np.argsort(bucket, kind="stable")
-    edges = runs(bucket[order])
-    parts = {name: [] for name in ("bucket", "hash", "ord", "row", "pos", "state")}
+def _packed(bucket: np.ndarray, hash_, ord_, row, pos, state) -> pa.RecordBatch:
+    order = np.lexsort((pos, row, bucket))
+    bucket, hash_, ord_, row, pos, state = (c[order] for c in (bucket, hash_, ord_, row, pos, state))
+    codec = pa.Codec("zstd", 1)
+    parts = [[] for _ in range(7)]
+    edges = runs(bucket)
     for a, b in zip(edges[:-1], edges[1:]):
-        parts["bucket"].append(int(bucket[order[a]]))
-        for name, values in zip(list(parts)[1:], columns):
-            parts[name].append(values[order[a:b]].tobytes())
-    kinds = [pa.int32()] + [pa.binary()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(parts.values(), kinds)], list(parts))
-
-
-def _unpack(table: pa.Table):
-    kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint8)
-    return [
-        np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        for name, kind in zip(("hash", "ord", "row", "pos", "state"), kinds)
-    ]
+        per_row = runs(row[a:b])
+        step = np.diff(pos[a:b], prepend=0)
+        step[per_row[:-1]] = pos[a:b][per_row[:-1]]
+        found = (
+            int(bucket[a]), hash_[a:b].tobytes(), state[a:b].tobytes(), row[a:b][per_row[:-1]].tobytes(),
+            ord_[a:b][per_row[:-1]].tobytes(), np.diff(per_row).astype(np.int32).tobytes(),
+            codec.compress(step.astype(np.int32).tobytes(), asbytes=True),
+        )
+        for part, value in zip(parts, found):
+            part.append(value)
+    names = ["bucket", "hash", "state", "row", "ord", "n", "step"]
+    return pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int32()), *(pa.array(p, pa.binary()) for p in parts[1:])], names)
+
+
+def _unpacked(table: pa.Table):
+    """(hash, ord, row, pos, state) of all entries of a bucket."""
+    codec = pa.Codec("zstd", 1)
+    out = [[] for _ in range(5)]
+    for hash_, state, row, ord_, n, step in zip(*(table[c].to_pylist() for c in ("hash", "state", "row", "ord", "n", "step"))):
+        n = np.frombuffer(n, np.int32)
+        hash_ = np.frombuffer(hash_, np.uint64)
+        walked = np.cumsum(np.frombuffer(codec.decompress(step, 4 * len(hash_), asbytes=True), np.int32), dtype=np.int64)
+        first = np.cumsum(n) - n
+        before = np.where(first > 0, walked[first - 1], 0)
+        for part, values in zip(out, (
+            hash_, np.repeat(np.frombuffer(ord_, np.int64), n), np.repeat(np.frombuffer(row, np.int64), n),
+            walked - np.repeat(before, n), np.frombuffer(state, np.uint8),
+        )):
+            part.append(values)
+    return [np.concatenate(part) for part in out]
 
 
 def _by_row(row, pos):
@@ -116,20 +136,23 @@ def repeats(df: DataFrame, places: Places, later: bool = False) -> DataFrame:
             ]
             spread = np.concatenate([hash_[rest], ar.mix(row[report].view(np.uint64))])
             bucket = (spread >> np.uint64(32)) % np.uint64(n)
-            # Within a bucket places stay in the order of their rows, which packs well.
-            home = np.argsort(columns[2], kind="stable")
-            yield _pack(bucket[home].astype(np.uint32), [c[home] for c in columns])
+            yield _packed(bucket.astype(np.int32), *columns)
 
     def unpack(table: pa.Table) -> pa.Table:
-        hash_, ord_, row, pos, state = _unpack(table)
+        hash_, ord_, row, pos, state = _unpacked(table)
         settled = state == SETTLED
         rest = ~settled
         report, _, _ = settle(hash_[rest], ord_[rest], row[rest], pos[rest], state[rest])
-        rows, flat, counts = _by_row(
-            np.concatenate([row[settled], row[rest][report]]), np.concatenate([pos[settled], pos[rest][report]])
-        )
+        row, pos = np.concatenate([row[settled], row[rest][report]]), np.concatenate([pos[settled], pos[rest][report]])
+        # Reports travel packed as well, to the bucket of their row.
+        home = ((ar.mix(row.view(np.uint64)) >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+        none = np.zeros(len(row), np.uint64)
+        return pa.Table.from_batches([_packed(home, none, none.view(np.int64), row, pos, none.astype(np.uint8))])
+
+    def gather(table: pa.Table) -> pa.Table:
+        _, _, row, pos, _ = _unpacked(table)
+        rows, flat, counts = _by_row(row, pos)
         return pa.table({"row": rows, "pos": ar.list_array(flat, counts, pa.int64())})
 
-    packed = df.mapInArrow(pack, PACKED)
-    found = packed.groupBy("bucket").applyInArrow(unpack, "row long, pos array<long>")
-    return found.groupBy("row").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    reports = df.mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(unpack, PACKED)
+    return reports.groupBy("bucket").applyInArrow(gather, "row long, pos array<long>")
