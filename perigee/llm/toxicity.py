@@ -29,6 +29,7 @@ TABLE_BITS = 20
 MAX_PER_CLASS = 2000
 THRESHOLD = 0.3
 KEPT_FEATURES = 1 << 13
+COUNT_PIECE = 1 << 14
 SMOOTHING = 1.0
 PENALTY = 1e-6
 STEPS = 600
@@ -105,6 +106,33 @@ def _strongest(counts: pa.Table, n: tuple[int, int]) -> tuple[np.ndarray, np.nda
     return gram[order], ratio[order]
 
 
+def _counts(batches):
+    """Of the grams of one task: in how many toxic and clean texts each occurs, in pieces of COUNT_PIECE grams."""
+    seen = np.zeros((2, 1 << TABLE_BITS), np.int32)
+    for batch in batches:
+        grams = batch.column("grams")
+        toxic = np.repeat(batch.column("toxic").to_numpy(), grams.value_lengths().to_numpy(zero_copy_only=False)) == 1
+        flat = grams.flatten().to_numpy(zero_copy_only=False)
+        for c in (0, 1):
+            # A text holds a gram once, but a batch holds many texts.
+            np.add.at(seen[c], flat[toxic == c], 1)
+    pieces = seen.reshape(2, -1, COUNT_PIECE)
+    for k in np.flatnonzero(pieces.any(axis=(0, 2))).tolist():
+        yield pa.RecordBatch.from_pydict({
+            "piece": pa.array([k], pa.int32()), "clean": pa.array([pieces[0, k].tobytes()], pa.binary()),
+            "toxic": pa.array([pieces[1, k].tobytes()], pa.binary()),
+        })
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The grams of one piece that occur, with their counts over all tasks."""
+    clean, toxic = (
+        np.sum([np.frombuffer(b, np.int32) for b in table[name].to_pylist()], axis=0, dtype=np.int64) for name in ("clean", "toxic")
+    )
+    at = np.flatnonzero(clean + toxic)
+    return pa.table({"gram": at + table["piece"][0].as_py() * COUNT_PIECE, "toxic": toxic[at], "clean": clean[at]})
+
+
 def _only(kept: np.ndarray):
     """UDF: the places in ``kept`` of the grams of a text that are there."""
     place = np.full(1 << TABLE_BITS, -1, np.int32)
@@ -161,9 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     if len(size) < 2:
         return Model(*np.zeros((2, 1 << TABLE_BITS), np.float32), float(np.log(counts[1] / counts[0])))
     # One row per gram that occurs, never more than the table has places.
-    found = sample.select("toxic", F.explode("grams").alias("gram")).groupBy("gram").agg(
-        F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")
-    ).toArrow()
+    parts = sample.select("toxic", "grams").mapInArrow(_counts, "piece int, clean binary, toxic binary")
+    found = parts.groupBy("piece").applyInArrow(_summed, "gram long, toxic long, clean long").toArrow()
     kept, ratio = _strongest(found, (size[0], size[1]))
     rows = sample.select("doc_id", "toxic", _only(kept)("grams").alias("places")).toArrow().sort_by([("doc_id", "ascending")])
     places = rows["places"].combine_chunks()

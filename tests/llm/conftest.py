@@ -5,14 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from perigee.session import ship_package  # noqa: E402
+from perigee.session import prepare  # noqa: E402
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, shard int, row string, size string, f double"
 
 
 @pytest.fixture(autouse=True)
 def _shipped(spark):
-    ship_package(spark)
+    prepare(spark)
 
 
 @pytest.fixture
