@@ -221,27 +221,37 @@ def links(prints: DataFrame, leaf_rows: int = LEAF_ROWS, budget: int = BUDGET) -
     return rows.groupBy("turn", "depth", "x", "y").applyInArrow(lambda t: _link_nodes(t, budget), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(doc_id, text_key, f, component_id) for each row of (doc_id, text)."""
+def _by_component(docs: DataFrame, words: int, budget: int, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, f), and (f, least, component) for each fingerprint; a component is one of its fingerprints."""
     rows = materialize(docs.select(
         "doc_id", F.xxhash64("text").alias("text_key"), fingerprint(F.col("text"), words).alias("f")
     ), "simhash")
     classes = materialize(rows.groupBy("f").agg(F.min("doc_id").alias("least")), "simhash-classes")
     joined = materialize(components(links(classes.select("f"), leaf_rows, budget)), "simhash-components")
-    named = classes.join(joined, F.col("f") == F.col("node"), "left").withColumn("component", F.coalesce("component", "f"))
+    return rows, classes.join(joined, F.col("f") == F.col("node"), "left").withColumn("component", F.coalesce("component", "f"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(doc_id, text_key, f, component_id) for each row of (doc_id, text)."""
+    rows, named = _by_component(docs, words, budget, leaf_rows)
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = materialize(named.join(heads, "component").select("f", "component_id"), "simhash-heads")
     return rows.join(by_print, "f").select("doc_id", "text_key", "f", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the one with the smallest id.
+    """Rows of ``docs`` that stay: of each component the one with the smallest id, with or without ids in it."""
+    rows, named = _by_component(docs, words, budget, LEAF_ROWS)
+    return keep_one(docs, rows.join(materialize(named.select("f", "component"), "simhash-heads"), "f"))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that stay of each ``component``, from (doc_id, text_key, component) of all rows: the smallest id.
 
     Of rows that repeat both id and text one stays, whichever Spark meets first.
     """
-    found = near_duplicates(docs, words, budget)
     # Several rows may share the smallest id: the smallest text key decides, repeated rows are told apart below.
-    kept = found.groupBy("component_id").agg(
+    kept = found.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")
     )
     kept = materialize(kept.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_key").alias("keep_key")), "simhash-kept")

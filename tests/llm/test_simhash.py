@@ -81,6 +81,12 @@ def test_rows_without_id_name_no_component(documents):
     assert sorted((r.component_id or 0) for r in rows) == [0, 0, 1]
 
 
+def test_different_texts_without_id_all_stay(documents):
+    texts = ["a b c d", "k l m n", "k l m n", "x y z"]
+    kept = simhash.one_of_each(documents([(None, t) for t in texts] + [(1, "x y z")]))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "a b c d"), (0, "k l m n"), (1, "x y z")]
+
+
 def test_empty_table(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
     assert simhash.one_of_each(documents([])).count() == 0
