@@ -1,0 +1,63 @@
+"""Near copies against comparison of all pairs by their sets of shingles."""
+
+import random
+
+import corpus_pipeline as cp
+import pytest
+from conftest_llm import texts_with_repeats, words
+from test_simhash import groups
+
+from perigee.llm import near_copies, simhash
+
+
+def shingles(text):
+    parts = (text or "").lower().split()
+    return {tuple(parts[i:i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) / len(a | b) >= 0.8
+
+
+def changed(rng, text, n):
+    parts = text.split()
+    for i in rng.sample(range(len(parts)), n):
+        parts[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(parts)
+
+
+def a_table():
+    rng = random.Random(5)
+    base = [words(rng, 300) for _ in range(4)]
+    return texts_with_repeats(31, 40) + [changed(rng, b, n) for b in base for n in (1, 3, 5, 6, 8, 12, 20)] + base
+
+
+@pytest.mark.parametrize("block", [(1024, 1 << 20), (3, 900)])
+def test_agrees_with_all_pairs(documents, block):
+    texts = a_table()
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    assert any(sets[i] != sets[j] for i, j in pairs)
+    found = near_copies.near_copies(documents(list(enumerate(texts))), block_texts=block[0], block_shingles=block[1]).collect()
+    component = {r.doc_id: r.component for r in found}
+    root = groups(len(texts), pairs)
+    first = {}
+    assert all(first.setdefault(component[i], root[i]) == root[i] for i in range(len(texts)))
+    assert len(first) == len(set(root))
+
+
+def test_stage_finds_copies_beyond_two_bits(spark, documents):
+    texts = a_table()
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    docs = documents(list(enumerate(texts)))
+    kept = cp.one_of_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups(len(texts), pairs)))
+    assert kept.count() < simhash.one_of_each(docs).count()
+
+
+def test_stage_keeps_different_texts_without_id(spark, documents):
+    rng = random.Random(2)
+    a, b = words(rng, 60), words(rng, 60)
+    kept = cp.one_of_near_duplicates(spark, documents([(None, a), (None, b), (None, b), (None, None), (None, "x y")]), "")
+    assert sorted(r.text or "" for r in kept.collect()) == sorted([a, b, "", "x y"])
