@@ -41,6 +41,20 @@ def test_layout(page):
     assert render(page) == CASES[page]
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p title=don't>Visible one</p><p>it's here</p>", "Visible one\n\nit's here"),
+    ("<p don't>one</p><p>it's</p>", "one\n\nit's"),
+    ('<p a"b=1>one</p><p>say "x"</p>', 'one\n\nsay "x"'),
+    ('<p title=5">one</p><p>"x"</p>', 'one\n\n"x"'),
+    ("<a title = 'x>y'class=\"a>b\">link</a>", "link"),
+    ("<a href=/x/y/>link</a>", "link"),
+    ("<p a=>one<p hidden =''>no", "one"),
+    ('<p title="x>one', "one"),
+])
+def test_quotes_inside_tags(page, text):
+    assert render(page) == text
+
+
 def test_depth_and_length_are_no_trouble():
     assert render("<b>" * 20_000 + "x") == "x"
     assert render("<table><tr><td>" * 300 + "x").strip() == "x"
