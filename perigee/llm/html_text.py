@@ -4,7 +4,8 @@ A tree builder closes what authors leave open (paragraphs, list items, table cel
 ignores stray end tags and knows elements without content.  The tree is walked once: what is not shown
 is skipped, blocks start on lines of their own with blank lines around paragraphs and headings, list items carry their bullet or
 number and an indent, preformatted text keeps its blanks, and the cells of a table are aligned in
-columns.  Pages are independent, so this is a function of one column without any shuffle.
+columns.  Formulas (MathML) are text; in drawings (SVG) each text element has a line of its own, and definitions, titles,
+descriptions and annotations of both are not shown.  Pages are independent, so this is a function of one column without any shuffle.
 
 Defined results: NULL stays NULL, an empty page has empty text.  Broken or cut markup is text where it is
 no tag; open elements end with the page.  No recursion, so depth is bounded by memory alone.
@@ -30,14 +31,23 @@ BLANKS = re.compile(r"[ \t\n\f\r]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset(
-    "script style head title template noscript noembed noframes iframe object audio video canvas svg math datalist".split()
+    "script style head title template noscript noembed noframes iframe object audio video canvas datalist".split()
 )
 # Lines of space a block asks for before and after itself.
 SPACE = dict.fromkeys(
     "address article aside body center details dialog dd div dt fieldset figcaption figure footer form header hgroup html legend li "
-    "main nav option search section summary select table caption tr".split(), 1
+    "main nav option search section summary select table caption tr #label".split(), 1
 ) | dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre hr".split(), 2)
-CLOSES_P = frozenset(SPACE) - {"body", "html", "legend", "option", "caption", "tr", "select"}
+# Not shown inside svg and math, where elements may close themselves; elements that show HTML there, and those that end it.
+FOREIGN_UNSEEN = frozenset(
+    "annotation annotation-xml clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split()
+)
+HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
+CLOSES_P = frozenset(SPACE) - {"body", "html", "legend", "option", "caption", "tr", "select", "#label"}
 # A start tag ends an open element of the second set, but looks no further up than the third.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -53,7 +63,7 @@ IMPLIED_ENDS = {
     "tfoot": ({"thead", "tbody", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-SCOPE = frozenset("table td th caption button object template html".split())
+SCOPE = frozenset("table td th caption button object template html foreignobject".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -76,9 +86,16 @@ class _Builder:
     def __init__(self):
         self.root = Node("#page", {})
         self.open = [self.root]
+        # Places in ``open`` of svg, math and the elements in them that hold HTML.
+        self.islands = []
 
     def _end_up_to(self, at: int) -> None:
         del self.open[at:]
+        while self.islands and self.islands[-1] >= at:
+            self.islands.pop()
+
+    def _foreign(self) -> bool:
+        return bool(self.islands) and self.open[self.islands[-1]].tag in ("svg", "math")
 
     def _find(self, tags, barrier) -> int:
         """Index of the innermost open element of ``tags`` inside the barrier, or 0."""
@@ -98,7 +115,12 @@ class _Builder:
             top = self.open[-1]
         top.children.append(value)
 
-    def start(self, tag: str, source: str) -> None:
+    def start(self, tag: str, source: str) -> bool:
+        """Opens an element; whether it is closed by its own tag, as in svg and math."""
+        while tag in BREAKS_OUT and self._foreign():
+            self._end_up_to(self.islands[-1])
+        if self._foreign() or tag in ("svg", "math"):
+            return self._start_foreign(tag, source)
         if self.open[-1].tag == "head" and tag not in HEAD_ONLY:
             self._end_up_to(len(self.open) - 1)
         if tag in CLOSES_P and (at := self._find({"p"}, SCOPE)):
@@ -114,6 +136,22 @@ class _Builder:
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+        return False
+
+    def _start_foreign(self, tag: str, source: str) -> bool:
+        if self.open[-1].tag == "head":
+            self._end_up_to(len(self.open) - 1)
+        inside = self._foreign()
+        node = Node("#label" if inside and tag == "text" else tag, _attributes(source))
+        if inside and tag in FOREIGN_UNSEEN:
+            node.attributes["hidden"] = ""
+        self.open[-1].children.append(node)
+        if source.endswith("/") and not any(m.end() == len(source) for m in ATTRIBUTE.finditer(source)):
+            return True
+        if tag in ("svg", "math") or tag in HTML_INSIDE:
+            self.islands.append(len(self.open))
+        self.open.append(node)
+        return False
 
     def end(self, tag: str) -> None:
         if tag == "p" and not self._find({"p"}, SCOPE):
@@ -123,7 +161,7 @@ class _Builder:
             return
         # Cells and rows end at their table; others do not reach out of a cell.
         barrier = {"table"} - {tag} if tag in ("table", "td", "th", "tr", "tbody", "thead", "tfoot", "caption") else SCOPE - {tag}
-        at = self._find({tag}, barrier)
+        at = self._find({"#label", tag} if tag == "text" else {tag}, barrier)
         if at:
             self._end_up_to(at)
 
@@ -146,7 +184,8 @@ def parse(page: str) -> Node:
         if token.group(1):
             builder.end(tag)
             continue
-        builder.start(tag, token.group(3))
+        if builder.start(tag, token.group(3)):
+            continue
         if tag in RAW:
             low = low if low is not None else page.lower()
             for_raw = f"</{tag}"

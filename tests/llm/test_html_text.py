@@ -55,6 +55,23 @@ def test_quotes_inside_tags(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("so <math><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></math> holds", "so x2=4 holds"),
+    ("<math><semantics><mi>x</mi><annotation encoding=t>\\\\x</annotation></semantics></math>y", "xy"),
+    ("a<svg><title>t</title><desc>d<b>e</b></desc><defs><text>no</text></defs><style>p{}</style>"
+     "<path d='M0'/><text x=1>One</text><text>Two <tspan>more</tspan></text></svg>b", "a\nOne\nTwo more\nb"),
+    ("<svg><title/><defs/><style /><metadata a=b /><text>shown</text></svg>after", "shown\nafter"),
+    ("<p>a <svg><text>in</text></svg> b</p>c", "a\nin\nb\n\nc"),
+    ("<svg><foreignObject><p>one<p>two</foreignObject></svg>three", "one\n\ntwo\n\nthree"),
+    ("<svg><defs><p>out", "out"),
+    ("<p>cut <svg><g>", "cut"),
+    ("<desc>d</desc><text>e</text>", "de"),
+    ("<svg hidden><text>no</text></svg>yes", "yes"),
+])
+def test_formulas_and_drawings(page, text):
+    assert render(page) == text
+
+
 def test_depth_and_length_are_no_trouble():
     assert render("<b>" * 20_000 + "x") == "x"
     assert render("<table><tr><td>" * 300 + "x").strip() == "x"
