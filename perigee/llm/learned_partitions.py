@@ -3,7 +3,7 @@
 On a bounded sample the graph of nearest neighbours is cut into balanced partitions; a softmax
 classifier then learns from a vector to which partitions its neighbours belong.  Every row is stored in its most
 probable partition.  A query goes to the most probable ones, as many as reached ``recall`` on the
-sample, and is ranked there by exact inner products.
+sample and more until these hold ``k`` vectors besides itself, and is ranked there by exact inner products.
 
 Equal vectors are one class with its smallest ids, so a vector that a third of all rows share is
 compared once.  A partition is searched in blocks of at most about ``block_rows`` vectors and as
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perigee.llm import arrays as ar
 from perigee.session import materialize
 
 SAMPLE_ROWS = 4096
@@ -106,16 +107,22 @@ class Router:
     def logits(self, vectors: np.ndarray) -> np.ndarray:
         return vectors * self.scale @ self.weights + self.bias
 
-    def route(self, vector: Column) -> Column:
-        """The most probable partitions, best first."""
+    def part(self, vector: Column) -> Column:
+        """The most probable partition."""
+        return self.route(vector, np.full(len(self.bias), 1), 1, 1)[0]
+
+    def route(self, vector: Column, held: np.ndarray, need: int, least: int) -> Column:
+        """The most probable partitions, best first: ``least`` of them, or as many as it takes to hold ``need`` vectors."""
         router = self
 
         def of(column: pa.Array) -> pa.Array:
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
             if not len(x):
                 return pa.array([], pa.list_(pa.int32()))
-            best = np.argsort(-router.logits(x), axis=1, kind="stable")[:, : router.probes].astype(np.int32)
-            return pa.FixedSizeListArray.from_arrays(pa.array(best.ravel()), best.shape[1]).cast(pa.list_(pa.int32()))
+            best = np.argsort(-router.logits(x), axis=1, kind="stable").astype(np.int32)
+            short = np.cumsum(held[best], axis=1) < need
+            many = np.minimum(np.maximum(short.sum(1) + 1, least), best.shape[1])
+            return ar.list_array(best[np.arange(best.shape[1]) < many[:, None]], many, pa.int32())
 
         return F.arrow_udf(of, "array<int>")(vector)
 
@@ -221,11 +228,15 @@ def nearest(
     sampled = flat.flatten().to_numpy().reshape(len(flat), -1)
     router = fit(sampled, max(1, min(MOST_PARTS, n // part_rows, len(sampled) // 32)), recall)
 
-    routed = classes.withColumn("parts", router.route(F.col("x"))).withColumn("part", F.col("parts")[0])
-    stored = materialize(routed.drop("parts"), "vector-parts")
+    stored = materialize(classes.withColumn("part", router.part(F.col("x"))), "vector-parts")
+    # At most MOST_PARTS numbers; a class counts with the ids that it hands on.
+    held = np.zeros(len(router.bias), np.int64)
+    for part, vectors_held in stored.groupBy("part").agg(F.sum(F.size("ids"))).collect():
+        held[part] = vectors_held
     asking = queries.select("cls").distinct()
     asked = materialize(
-        routed.drop("part").join(asking, "cls", "left_semi").select("cls", "x", F.explode("parts").alias("part")), "routed-queries"
+        classes.join(asking, "cls", "left_semi").select(
+            "cls", "x", F.explode(router.route(F.col("x"), held, keep, router.probes)).alias("part")), "routed-queries"
     )
     # Blocks of a partition by count: rows meet queries in a grid of bounded blocks.
     sizes = stored.groupBy("part").agg(F.count("*").alias("n")).withColumn("row_blocks", F.ceil(F.col("n") / block_rows))

@@ -55,6 +55,16 @@ def test_several_partitions_and_blocks(spark):
     assert hit / 600 >= 0.9
 
 
+def test_small_partitions_are_searched_on(spark, monkeypatch):
+    # One probe, and the partitions hold 3, 4 and 90 vectors: a query in a small one goes on until there are 20 others.
+    monkeypatch.setattr(lp, "fit", lambda sampled, parts, recall: lp.Router(np.eye(3), np.zeros(3), 1.0, 1))
+    at = [0] * 3 + [1] * 4 + [2] * 90
+    rows = [(i, [float(a == p) + 0.001 * i * (a != p) for a in range(3)]) for i, p in enumerate(at)]
+    found = lp.nearest(table(spark, rows), F.col("vec_id").isin(0, 5, 50), 20).collect()
+    for q in (0, 5, 50):
+        assert sorted(r["rank"] for r in found if r.query_id == q) == list(range(1, 21))
+
+
 def test_router_is_balanced_and_uses_few_probes_on_clusters():
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 1, (8, 12))
