@@ -3,7 +3,8 @@
 A text is the set of its byte n-grams (lower-cased, hashed).  The log ratio of a gram's share among
 toxic and among clean texts scales it; a logistic regression over the scaled grams is fitted on
 at most ``max_per_class`` labelled texts of each class, those first in a seeded order, and its
-intercept is moved to the label shares of all labelled rows.  The sample's gram sets are written once
+intercept is moved to the label shares of all labelled rows with a text.  Only the ``KEPT_FEATURES`` grams with the best
+supported ratios have a weight.  The sample's gram sets are written once
 and counted by Spark; the driver gets counts of at most ``1 << TABLE_BITS`` grams and, of each text, the grams kept.  The fitted weights are one table of
 ``1 << TABLE_BITS`` numbers, which goes to the tasks; texts are scored where they are read.
 
@@ -171,6 +172,8 @@ def _regress(col: np.ndarray, counts: np.ndarray, toxic: np.ndarray, scale: np.n
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, seed: str = "toxicity-1") -> Model:
     """Learns from (doc_id, text) and (doc_id, toxic); ``labels`` holds only rows that may be learnt from."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    # Labels without a text would use up places of the sample.
+    labels = materialize(labels.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
     counts = dict(labels.groupBy("toxic").count().collect())
     n = sum(counts.values())
     if len(counts) < 2:

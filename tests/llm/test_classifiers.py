@@ -54,6 +54,15 @@ def test_one_class_or_none(spark, documents, marks, share):
     assert all(abs(r.s - share) < 1e-6 for r in rows.select(model.score(F.col("x")).alias("s")).collect())
 
 
+def test_labels_without_a_text_use_up_no_places(spark, documents):
+    docs = documents([(i, "vile words here" if i % 2 else "kind words there") for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_per_class=10)
+    assert np.count_nonzero(model.weights)
+    scores = {r.doc_id: r.s for r in docs.select("doc_id", model.score(spark, F.col("text")).alias("s")).collect()}
+    assert min(scores[i] for i in range(1, 20, 2)) > max(scores[i] for i in range(0, 20, 2))
+
+
 def test_quality_learns_and_scores_every_row(spark, documents):
     docs, labels = labelled(spark, documents, lambda w, rng: rng.choice([" | ".join(w), "&&& ".join(w), " ".join(x for x in w for _ in "abc")]))
     rows = docs.select("doc_id", quality.statistics(F.col("text")).alias("x"))
