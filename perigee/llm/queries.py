@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee.llm import (
-    cover_dedup, decontaminate, html_text, learned_partitions, mixing, quality, sharding, simhash, suffix_levels, toxicity,
+    bpe_stream, cover_dedup, decontaminate, filter_audit, html_text, learned_partitions, mixing, quality, sharding, simhash, suffix_levels,
+    toxicity, variants,
 )
 from perigee.session import materialize
 
@@ -97,9 +98,30 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variants.variants_of(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_stream_bpe(spark, sf_dir, vocabulary: str | None = None):
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    coder = bpe_stream.Coder(spark, vocabulary)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", coder.encode(F.col("text")).alias("ids"))
+    return docs.select("doc_id", "ids", coder.decode(F.col("ids")).alias("decoded")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_learned_partitions, op2_histogram_shards, op3_suffix_levels, op4_cover_anchors, op5_source_mix, op6_decontaminate, op7_toxicity, op8_quality,
-        op9_visible_text, op10_simhash,
+        op9_visible_text, op10_simhash, op11_spelling_variants, op12_filter_audit, op13_stream_bpe,
     )
 }
