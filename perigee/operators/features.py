@@ -95,6 +95,53 @@ def contract_split(
     return joined.withColumn("contract_error", reason).drop("_class")
 
 
+# The fields an incident record is assembled from, and their types.
+INCIDENT_FIELDS = {
+    "class_name": "string", "confidence": "double", "tactic_id": "string", "technique_id": "string", "action": "string",
+    "tool_function": "string", "guardrail_note": "string", "autonomous": "boolean",
+}
+
+
+def incident_errors(df: DataFrame, fields: dict[str, str] | None = None) -> Column:
+    """Names of the fields of an incident input that are absent, NULL or not of their type, joined by commas."""
+    broken = []
+    for name, kind in (INCIDENT_FIELDS if fields is None else fields).items():
+        if name not in df.columns:
+            broken.append(F.lit(name))
+            continue
+        value = F.col(name)
+        typed = value.try_cast(kind)
+        if kind == "double":
+            typed = F.when(~F.isnan(typed), typed)
+        broken.append(F.when(typed.isNull(), F.lit(name)))
+    return F.concat_ws(",", *broken)
+
+
+def incident_contract(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds ``contract_error`` to incident inputs: NULL for one that may be assembled, else the reason.
+
+    Every field has to be there with its type, the confidence between 0 and 1, and the class one of the table ``classes``.
+    The first broken rule is the reason.
+    """
+    errors = incident_errors(df)
+    confidence = F.col("confidence").try_cast("double") if "confidence" in df.columns else F.lit(None).cast("double")
+    known = F.col("class_name") if "class_name" in df.columns else F.lit(None).cast("string")
+    allowed = classes.select(F.col("class_name").alias("_class")).distinct()
+    joined = df.withColumn("_known", known.cast("string")).join(allowed, F.col("_known") == F.col("_class"), "left")
+    reason = (
+        F.when(errors != "", F.concat(F.lit("missing or of another type: "), errors))
+        .when(~confidence.between(0, 1), F.lit("confidence outside 0 to 1"))
+        .when(F.col("_class").isNull(), F.concat(F.lit("unknown class: "), F.col("_known")))
+    )
+    return joined.withColumn("contract_error", reason).drop("_class", "_known")
+
+
+def valid_incidents(checked: DataFrame) -> DataFrame:
+    """Incident inputs without an error, each field in its type."""
+    rows = checked.where(F.col("contract_error").isNull()).drop("contract_error")
+    return rows.withColumns({name: F.col(name).cast(kind) for name, kind in INCIDENT_FIELDS.items()})
+
+
 def valid_rows(checked: DataFrame, features: Sequence[str]) -> DataFrame:
     rows = checked.where(F.col("contract_error").isNull()).drop("contract_error")
     return rows.withColumns({name: F.col(name).cast("double") for name in features})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
-from perigee.session import materialize
+from perigee.session import materialize, pointers, write_pointer
 
 KEY_BUCKETS = 64
 
@@ -93,12 +93,15 @@ def load_results(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 
 def save_version(df: DataFrame, root: str, version: int) -> None:
-    """A whole new version beside the old ones: readers never meet a half-written table."""
+    """A whole new version beside the old ones, then a pointer to it: readers never meet a half-written table."""
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    write_pointer(df.sparkSession, root, version)
 
 
 def load_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The given version, or the greatest one."""
+    """The given version, or the greatest one that is complete, an empty table included."""
     if version is None:
-        version = spark.read.parquet(root).agg(F.max("version")).first()[0]
+        version = max(pointers(spark, root), default=None)
+        if version is None:
+            raise ValueError(f"nothing complete below {root} yet")
     return spark.read.parquet(f"{root}/version={version}")

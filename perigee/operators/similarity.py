@@ -76,6 +76,12 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _finite(vector: str) -> Column:
+    """Whether a vector is there and holds finite numbers only."""
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(whole & (F.size(vector) > 0), F.lit(False))
+
+
 def _prepared(df: DataFrame, id_column: str, vector: str, name: str) -> DataFrame:
     return df.select(F.col(id_column).alias(name), F.col(vector).cast("array<double>").alias("v"))
 
@@ -96,17 +102,21 @@ def similar_incidents(
 ) -> DataFrame:
     """``(query_id, rank, match_id, distance)``: the k nearest documents of each query.
 
-    A query without a vector comes out once with NULLs, unless ``keep_unmatched`` is off.
+    Only whole vectors meet: those with the commonest length among the documents (the longer one of a tie), without NULL or non-finite
+    values.  Other documents are never found; a query without such a vector comes out once with NULLs, unless ``keep_unmatched`` is off.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     base = knowledge.where(F.col("type") == doc_type) if doc_type is not None else knowledge
-    base = _prepared(base, base_id, base_vector, "b").where("v IS NOT NULL")
+    base = _prepared(base, base_id, base_vector, "b").where(_finite("v"))
     asked = _prepared(queries, query_id, query_vector, "q")
-    size = base.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("v")).alias("width")).first()
-    width = size["width"] or 0
-    fits = size["rows"] <= broadcast_rows and size["rows"] * width <= BROADCAST_VALUES
-    with_vector = asked.where("v IS NOT NULL")
+    # One row at most, whatever lengths there are.
+    size = base.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("width")).limit(1).collect()
+    width, rows = (size[0]["width"], size[0]["rows"]) if size else (0, 0)
+    fits = rows <= broadcast_rows and rows * width <= BROADCAST_VALUES
+    base = base.where(F.size("v") == width)
+    whole = _finite("v") & (F.size("v") == width)
+    with_vector = asked.where(whole)
     if fits:
         found = _by_broadcast(with_vector, base, k, metric)
     else:
@@ -114,7 +124,7 @@ def similar_incidents(
     found = found.select(F.col("q").alias(query_id), "rank", F.col("b").alias("match_id"), "distance")
     if not keep_unmatched:
         return found
-    unmatched = asked.where("v IS NULL").select(F.col("q").alias(query_id))
+    unmatched = asked.where(~F.coalesce(whole, F.lit(False)) if rows else F.col("v").isNull()).select(F.col("q").alias(query_id))
     return found.unionByName(unmatched, allowMissingColumns=True)
 
 

@@ -17,7 +17,7 @@ from perigee.functions.numeric import argmax, mean_squared_error, percent_text,
 from perigee.operators import evaluate as ev
 from perigee.operators import features as fx
 from perigee.operators import gate as gt
-from perigee.operators import lookup, models, order, profile, refresh, sequences, similarity
+from perigee.operators import boosting, lookup, models, order, profile, refresh, sequences, similarity
 from perigee.plans import training
 from perigee.plans.triage import (
     JSON_OPTIONS, assemble, flatten_incidents, incidents_as_json, parse_incidents, triage, triage_or_quarantine, with_precedent,
@@ -26,7 +26,7 @@ from perigee.plans.triage import (
 from perigee.session import materialize, scratch_path, scratch_root
 from perigee.sources import dims, proxy, telemetry
 from perigee.sources.artifacts import load_manifest, load_model, load_stats, manifest, save_model, save_table, stats_map
-from perigee.streaming import live
+from perigee.streaming import event_time, keyed, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES = proxy.FEATURES
@@ -521,17 +521,17 @@ def replay_sequential(spark, sf_dir):
 # --- models ---------------------------------------------------------------------
 
 
-_SAVED_MODELS: dict[tuple[str, str], str] = {}
+_SAVED_MODELS: dict[tuple[str, str, str], str] = {}
 
 
-def _classifier(spark: SparkSession, sf_dir: str) -> PipelineModel:
+def _classifier(spark: SparkSession, sf_dir: str, train=models.train_classifier) -> PipelineModel:
     """The classifier of the raw split: trained and saved once per application, loaded by every user."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    at = (spark.sparkContext.applicationId, sf_dir, train.__name__)
     if at not in _SAVED_MODELS:
         raw, _ = proxy.splits(proxy.telemetry(spark, sf_dir))
         # Kept for the whole application: not among the scratch folders that a query's end removes.
         path = f"{scratch_root(spark)}/classifier-{uuid.uuid4().hex}"
-        save_model(models.train_classifier(raw, FEATURES), path)
+        save_model(train(raw, FEATURES), path)
         _SAVED_MODELS[at] = path
     return load_model(_SAVED_MODELS[at])
 
@@ -570,6 +570,57 @@ def model_predictions(spark, sf_dir):
     )
 
 
+def boosted_score(spark, sf_dir):
+    """Boosted trees trained on raw, scored on noised."""
+    _, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    return models.score(noised, _classifier(spark, sf_dir, boosting.train_boosted), dims.classes(spark)).select(
+        "seq", "Label", "predicted_label", "class_name", "confidence"
+    )
+
+
+def boosted_predictions(spark, sf_dir):
+    """What holds for boosted predictions: each row scored once, a known class, a possible confidence, and the band it falls into."""
+    scored = boosted_score(spark, sf_dir)
+    decided = lookup.with_mitigation(scored, dims.policy_bands(spark))
+    return decided.select(
+        "seq", "Label", F.col("predicted_label").between(0, 4).alias("known"),
+        F.col("confidence").between(0.2, 1.0).alias("possible"),
+        (F.col("action").isNotNull() & F.col("tool_function").isNotNull()).alias("decided"),
+    )
+
+
+def boosted_comparison(spark, sf_dir):
+    """Accuracy and macro F1 on the noised split, of the forest and of the boosted trees."""
+    forest = train_score(spark, sf_dir).select("seq", "Label", F.col("predicted_label").alias("forest"))
+    boosted = boosted_score(spark, sf_dir).select("seq", F.col("predicted_label").alias("boosted"))
+    return ev.compare_models(materialize(forest.join(boosted, "seq"), "compared"), ["forest", "boosted"], "Label")
+
+
+def metrics_agree(spark, sf_dir):
+    """The metrics of both models on the noised split, computed by operators and by plain SQL over the written predictions."""
+    forest = train_score(spark, sf_dir).select("seq", "Label", F.col("predicted_label").alias("forest"))
+    boosted = boosted_score(spark, sf_dir).select("seq", F.col("predicted_label").alias("boosted"))
+    written = materialize(forest.join(boosted, "seq"), "predictions")
+    found = ev.compare_models(written, ["forest", "boosted"], "Label").select("model", "accuracy", "macro_f1")
+    by_sql = spark.sql(
+        """WITH p AS (SELECT 'forest' AS model, Label, forest AS pred FROM {written} UNION ALL SELECT 'boosted', Label, boosted FROM {written}),
+        classes AS (SELECT model, Label AS c FROM p UNION SELECT model, pred FROM p),
+        f1 AS (SELECT classes.model, c, 2 * count_if(Label = c AND pred = c) / (count_if(Label = c) + count_if(pred = c)) AS f1
+            FROM classes JOIN p ON p.model = classes.model GROUP BY classes.model, c)
+        SELECT p.model, count(*) AS rows, avg(CASE WHEN Label = pred THEN 1D ELSE 0D END) AS accuracy, first(m.f1) AS macro_f1
+        FROM p JOIN (SELECT model, avg(f1) AS f1 FROM f1 GROUP BY model) m ON m.model = p.model GROUP BY p.model""", written=written,
+    )
+    joined = found.alias("a").join(by_sql.alias("b"), "model")
+    near = [F.abs(F.col(f"a.{name}") - F.col(f"b.{name}")) < 1e-9 for name in ("accuracy", "macro_f1")]
+    return joined.select("model", "rows", near[0].alias("accuracy_agrees"), near[1].alias("macro_f1_agrees"))
+
+
+def sequence_predictions(spark, sf_dir):
+    """What holds for any sequence model: one known class for each sequence that has a next row, in its order."""
+    scored = sequence_model(spark, sf_dir)
+    return scored.select("seq", "Label", F.col("sequence_pred").between(0, 4).alias("known"))
+
+
 def anomaly_two_features(spark, sf_dir):
     """Reconstruction error over two features and one axis, which has a closed form."""
     raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
@@ -782,12 +833,15 @@ def noised_features(spark, sf_dir):
 
 
 def table_versions(spark, sf_dir):
-    """A table saved twice as versions: the greatest one is read."""
+    """A table saved as versions: the greatest one is read, also if it is empty; one whose writing did not end is not."""
     path = scratch_path(spark, "versions")
     mix = profile.label_mix(proxy.telemetry(spark, sf_dir))
     refresh.save_version(mix, path, 1)
-    refresh.save_version(mix.where("Label <> 4"), path, 2)
-    return refresh.load_version(spark, path)
+    refresh.save_version(mix.where("Label > 99"), path, 2)
+    empty = refresh.load_version(spark, path)
+    refresh.save_version(mix.where("Label <> 4"), path, 3)
+    mix.write.parquet(f"{path}/version=4")
+    return refresh.load_version(spark, path).unionAll(empty)
 
 
 def results_by_key(spark, sf_dir):
@@ -800,6 +854,125 @@ def results_by_key(spark, sf_dir):
     return refresh.load_results(spark, path)
 
 
+# --- event time, keyed state, malformed input ----------------------------------------
+
+
+def _wall_clock(moment: str):
+    return F.date_format(F.col(moment).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+
+
+def _deliveries(spark: SparkSession, parts: list[DataFrame], name: str) -> DataFrame:
+    """Events as a stream that gets each part in a batch of its own, in their order."""
+    path = scratch_path(spark, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return proxy.as_telemetry(live.read_stream(spark, path, parts[0].schema, files_per_batch=1))
+
+
+def _append(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(spark, name)
+    _finish(live.write_stream(rows, f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
+def _traffic(rows: DataFrame) -> DataFrame:
+    features = event_time.window_features(rows, key="CmdCode", message="MsgId", size="6 hours", slide="3 hours")
+    names = [name for name in features.columns if name.endswith("InWindow")]
+    # All intervals of a window together are whole microseconds, which rounding cannot split differently in two engines.
+    intervals = F.round(F.col("SlidingWindowMeanIntervalSec") * (F.col("MessageCountInWindow") - 1), 6).alias("IntervalsSec")
+    return rounded(features.select(
+        _wall_clock("window_start").alias("window_start"), _wall_clock("window_end").alias("window_end"), "CmdCode", *names, intervals
+    ), "FlowLengthInWindow", "AverageMessageLengthInWindow", "MessageRateInWindow", "StdDevMessageLengthInWindow", places=4)
+
+
+def traffic_windows(spark, sf_dir):
+    """Traffic features in sliding windows of a table."""
+    return _traffic(event_time.in_time(proxy.telemetry(spark, sf_dir)))
+
+
+def stream_traffic_windows(spark, sf_dir):
+    """The same on a stream that delivers everything twice: windows that the watermark has closed, each once."""
+    events = proxy.read(spark, sf_dir, "events")
+    rows = event_time.in_time(_deliveries(spark, [events, events], "twice"))
+    return _append(spark, _traffic(rows), "stream-traffic")
+
+
+def stream_sessions(spark, sf_dir):
+    """Bursts of a user's events on a stream."""
+    rows = event_time.in_time(_event_stream(spark, sf_dir))
+    found = event_time.sessions(rows, key="MsgId", gap="30 minutes")
+    return _append(spark, rounded(found.select(
+        _wall_clock("session_start").alias("session_start"), _wall_clock("session_end").alias("session_end"), "MsgId", "n", "total"
+    ), "total", places=4), "stream-sessions")
+
+
+def stream_accounts(spark, sf_dir):
+    """The later half of all events twice, then the earlier half, then all again: rows are used, late or repeated, none is lost."""
+    events = proxy.read(spark, sf_dir, "events")
+    middle = events.agg(F.max("event_id")).first()[0] // 2
+    later = events.where(F.col("event_id") > middle)
+    parts = [later, later, events.where(F.col("event_id") <= middle), events]
+    rows = event_time.in_time(_deliveries(spark, parts, "late"), delay="10 days")
+    path = scratch_path(spark, "stream-accounts")
+    query = live.write_stream(rows.select("seq"), f"{path}/rows", f"{path}/checkpoint")
+    _finish(query)
+    found = event_time.accounts(query)
+    kept = spark.read.schema("seq long").parquet(f"{path}/rows")
+    return kept.agg(F.count("*").alias("kept"), F.count_distinct("seq").alias("different")).select(
+        F.lit(found.seen).cast("long").alias("seen"), F.lit(found.late + found.repeated).cast("long").alias("turned_away"),
+        (F.lit(found.used) == F.col("kept")).alias("agrees"), "kept", "different",
+    )
+
+
+def stream_triage_once(spark, sf_dir):
+    """Incidents of a stream that delivers every row twice: each incident once."""
+    events = proxy.read(spark, sf_dir, "events")
+    stats = _stats(proxy.telemetry(spark, sf_dir))
+    rows = event_time.in_time(_deliveries(spark, [events, events], "again")).withColumnRenamed("pred", "predicted_label")
+    return _append(spark, flatten_incidents(triage(rows, stats, FEATURES, z_threshold=PROXY_Z)), "stream-once")
+
+
+def stream_last_n_by_key(spark, sf_dir):
+    """The newest three events of each code, held in keyed state over several batches."""
+    events = proxy.read(spark, sf_dir, "events")
+    stream = _deliveries(spark, [events.where(F.col("event_id") % 3 == i) for i in range(3)], "by-key")
+    path = scratch_path(spark, "stream-by-key")
+    _finish(keyed.start_latest(stream, "CmdCode", ["seq", "MsgId", "Label"], 3, f"{path}/rows", f"{path}/checkpoint"))
+    return keyed.newest(spark, f"{path}/rows", "CmdCode").select("CmdCode", "seq", "MsgId", "Label")
+
+
+def csv_quarantine(spark, sf_dir):
+    """Telemetry lines of which some are cut short and some hold a word for a number: each is good, or set apart with its text."""
+    rows = proxy.telemetry(spark, sf_dir)
+    schema = telemetry.telemetry_schema(["MsgId", "CmdCode"], with_seq=True)
+    whole = F.concat_ws(",", "seq", F.col("MsgId").cast("long"), F.col("CmdCode").cast("long"), "Label")
+    line = F.when(F.col("seq") % 13 == 4, F.concat_ws(",", "seq", F.col("MsgId").cast("long"))).when(
+        F.col("seq") % 19 == 6, F.concat_ws(",", "seq", F.lit("n/a"), F.col("CmdCode").cast("long"), "Label")
+    ).otherwise(whole)
+    path = scratch_path(spark, "lines")
+    rows.select(line.alias("seq,MsgId,CmdCode,Label")).write.option("header", True).option("sep", "\u0001").csv(path)
+    checked = telemetry.read_csv_checked(spark, path, schema)
+    good = telemetry.good_rows(checked).select(F.col("seq").cast("string").alias("line"), "MsgId", "CmdCode", "Label", F.lit(None).cast("string").alias("reason"))
+    bad = telemetry.malformed_rows(checked).select(F.col("raw_line").alias("line"), F.col("malformed_reason").alias("reason"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+def incident_inputs(spark, sf_dir):
+    """Inputs of the incident record under their contract: some lack a field, carry a word for a number or name no class."""
+    with_class = lookup.with_class_name(proxy.telemetry(spark, sf_dir), dims.classes(spark), "pred")
+    decided = lookup.with_mitigation(with_class, dims.policy_bands(spark))
+    seq = F.col("seq")
+    given = decided.select(
+        "seq", F.when(seq % 23 == 2, F.lit("Solar Flare")).otherwise(F.col("class_name")).alias("class_name"),
+        F.when(seq % 17 == 3, F.lit("high")).when(seq % 31 == 4, F.lit("1.5")).otherwise(F.col("confidence").cast("string")).alias("confidence"),
+        F.lit("T").alias("tactic_id"), F.lit("t").alias("technique_id"), "action", "tool_function", "guardrail_note",
+        F.when(seq % 29 != 5, F.col("autonomous")).alias("autonomous"),
+    )
+    checked = fx.incident_contract(given, dims.classes(spark))
+    ready = fx.valid_incidents(checked).select("seq", F.col("confidence").alias("typed_confidence"))
+    return checked.join(ready, "seq", "left").select("seq", "contract_error", "typed_confidence")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -817,6 +990,8 @@ QUERIES: dict[str, Query] = {
         stream_counters, stream_last_n, stream_label_mix, stream_metric_history,
         importance_sum, model_predictions, anomaly_two_features, triage_quarantine, quarantine_counts, stream_quarantine,
         incident_precedent, similar_by_blocks, wide_baseline, wide_gate, discovered_files, manifest_files, noised_features,
-        table_versions, results_by_key,
+        table_versions, results_by_key, boosted_score, boosted_predictions, boosted_comparison, metrics_agree, sequence_predictions,
+        traffic_windows, stream_traffic_windows, stream_sessions, stream_accounts, stream_triage_once, stream_last_n_by_key, csv_quarantine,
+        incident_inputs,
     ]
 }

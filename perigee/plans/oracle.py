@@ -392,3 +392,36 @@ ORACLE["table_versions"] = _with(PROXY) + "SELECT Label, count(*) AS n FROM prox
 ORACLE["results_by_key"] = _with(PROXY) + """SELECT Label, MsgId, max(confidence) AS confidence,
   CASE WHEN Label = 1 THEN 'FLAGGED_FOR_REVIEW' WHEN max(confidence) > 0.9 THEN 'AUTONOMOUS' ELSE 'ERROR' END AS status
 FROM proxy WHERE Label <> 4 GROUP BY 1, 2"""
+
+ORACLE["table_versions"] = _with(PROXY) + "SELECT Label, count(*) AS n FROM proxy WHERE Label <> 4 GROUP BY Label"
+ORACLE["boosted_predictions"] = _with(PROXY) + "SELECT seq, Label, true AS known, true AS possible, true AS decided FROM proxy"
+ORACLE["metrics_agree"] = _with(PROXY) + "SELECT unnest(['forest', 'boosted']) AS model, count(*) AS rows, true AS accuracy_agrees, true AS macro_f1_agrees FROM proxy"
+ORACLE["sequence_predictions"] = _with(PROXY, _NUMBERED) + "SELECT idx AS seq, Label, true AS known FROM numbered WHERE idx >= 10"
+_CLOSED = "date_trunc('milliseconds', (SELECT max(ts) FROM proxy)) - INTERVAL 5 MINUTE"
+_TRAFFIC = """SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(start + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, CmdCode,
+  round(sum(MsgLength), 4) AS FlowLengthInWindow, count(*) AS MessageCountInWindow, count(DISTINCT MsgId) AS UniqueMessageIDsInWindow,
+  round(avg(MsgLength), 4) AS AverageMessageLengthInWindow, round(count(*) / 21600.0, 4) AS MessageRateInWindow,
+  round(stddev_pop(MsgLength), 4) AS StdDevMessageLengthInWindow,
+  CASE WHEN count(*) > 1 THEN round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) END AS IntervalsSec
+FROM (SELECT *, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') - unnest([0, 3]) * INTERVAL 1 HOUR AS start FROM proxy) w"""
+ORACLE["traffic_windows"] = _with(PROXY) + _TRAFFIC + " GROUP BY start, CmdCode"
+ORACLE["stream_traffic_windows"] = _with(PROXY) + _TRAFFIC + f" WHERE start + INTERVAL 6 HOUR <= {_CLOSED} GROUP BY start, CmdCode"
+ORACLE["stream_sessions"] = _with(
+    PROXY,
+    "marked AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY MsgId ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM proxy)",
+    "bursts AS (SELECT *, sum(opens) OVER (PARTITION BY MsgId ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM marked)",
+) + f"""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, MsgId,
+  count(*) AS n, round(sum(MsgLength), 4) AS total FROM bursts GROUP BY MsgId, burst HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}"""
+ORACLE["stream_accounts"] = _with(PROXY, "later AS (SELECT count(*) AS n FROM proxy WHERE seq > (SELECT max(seq) // 2 FROM proxy))") + """
+SELECT 2 * count(*) + any_value(later.n) AS seen, 2 * count(*) AS turned_away, true AS agrees, any_value(later.n) AS kept, any_value(later.n) AS different FROM proxy, later"""
+ORACLE["stream_triage_once"] = INCIDENT
+ORACLE["stream_last_n_by_key"] = _with(PROXY) + """SELECT CmdCode, seq, MsgId, Label FROM (
+  SELECT *, row_number() OVER (PARTITION BY CmdCode ORDER BY seq DESC) AS place FROM proxy) w WHERE place <= 3"""
+ORACLE["csv_quarantine"] = _with(PROXY) + """SELECT CASE WHEN seq % 13 = 4 THEN seq || ',' || CAST(MsgId AS BIGINT)
+  WHEN seq % 19 = 6 THEN seq || ',n/a,' || CAST(CmdCode AS BIGINT) || ',' || Label ELSE CAST(seq AS VARCHAR) END AS line,
+  CASE WHEN bad IS NULL THEN MsgId END AS MsgId, CASE WHEN bad IS NULL THEN CmdCode END AS CmdCode, CASE WHEN bad IS NULL THEN Label END AS Label, bad AS reason
+FROM (SELECT *, CASE WHEN seq % 13 = 4 THEN '2 fields instead of 4' WHEN seq % 19 = 6 THEN 'a field is not of its type' END AS bad FROM proxy) b"""
+ORACLE["incident_inputs"] = _with(PROXY) + """SELECT seq, error AS contract_error, CASE WHEN error IS NULL THEN confidence END AS typed_confidence FROM (
+  SELECT seq, confidence, CASE WHEN seq % 17 = 3 AND seq % 29 = 5 THEN 'missing or of another type: confidence,autonomous'
+    WHEN seq % 17 = 3 THEN 'missing or of another type: confidence' WHEN seq % 29 = 5 THEN 'missing or of another type: autonomous'
+    WHEN seq % 31 = 4 THEN 'confidence outside 0 to 1' WHEN seq % 23 = 2 THEN 'unknown class: Solar Flare' END AS error FROM proxy) e"""

@@ -115,6 +115,21 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def pointers(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the complete versions below ``root``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/done")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return [int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()]
+
+
+def write_pointer(spark: SparkSession, root: str, version: int) -> None:
+    """Marks a version as complete; the folder of pointers holds empty files named by version."""
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/done/{version}")
+    pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(pointer, True).close()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 

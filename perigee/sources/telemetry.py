@@ -40,6 +40,47 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return rows
 
 
+CORRUPT = "_corrupt_record"
+REASON = "malformed_reason"
+
+
+def check_lines(lines: DataFrame, schema: T.StructType, separator: str = ",") -> DataFrame:
+    """CSV lines (column ``value``) parsed by a declared schema; one that does not fit keeps its raw text and a reason.
+
+    ``good_rows`` and ``malformed_rows`` split the result; every line but headers and empty ones is in one of them.  A header is a line
+    that names the columns of the schema in their order, so any other header comes out as malformed.  Fields do not span lines.
+    """
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.fields)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "sep": separator}
+    rows = lines.where((F.col("value") != separator.join(schema.names)) & (F.trim("value") != ""))
+    parsed = rows.select(F.from_csv("value", ddl, options).alias("row")).select("row.*")
+    fields = F.size(F.split(F.col(CORRUPT), f"\\Q{separator}\\E"))
+    reason = F.when(fields != len(schema), F.format_string("%d fields instead of %d", fields, F.lit(len(schema)))).otherwise(
+        F.lit("a field is not of its type")
+    )
+    return parsed.withColumn(REASON, F.when(F.col(CORRUPT).isNotNull(), reason))
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",") -> DataFrame:
+    """The lines of CSV files under ``check_lines``."""
+    return check_lines(spark.read.text(path), schema, separator)
+
+
+def stream_csv_checked(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",", files_per_batch: int = 100) -> DataFrame:
+    """The same for files that arrive in a folder."""
+    return check_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path), schema, separator)
+
+
+def good_rows(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col(REASON).isNull()).drop(CORRUPT, REASON)
+
+
+def malformed_rows(checked: DataFrame) -> DataFrame:
+    """(raw_line, malformed_reason) of the lines for the quarantine."""
+    return checked.where(F.col(REASON).isNotNull()).select(F.col(CORRUPT).alias("raw_line"), REASON)
+
+
 def file_role(name: Column | str) -> Column:
     """``raw``, ``noised`` or NULL, by the file's name."""
     name = F.lower(F.col(name) if isinstance(name, str) else name)

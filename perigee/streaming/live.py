@@ -13,7 +13,7 @@ from perigee import fixed_values as fv
 from perigee.operators.gate import Stats, gate
 from perigee.operators.order import last_rows, metric_history
 from perigee.operators.profile import label_mix
-from perigee.session import remove_folder
+from perigee.session import pointers, remove_folder, write_pointer
 
 
 def read_stream(
@@ -62,26 +62,14 @@ class Versions:
 
     def last(self, spark: SparkSession, before: int | None = None) -> int | None:
         """The last complete version, or the last one before the given number."""
-        done = self._pointers(spark)
-        done = [v for v in done if before is None or v < before]
-        return max(done, default=None)
-
-    def _pointers(self, spark: SparkSession) -> list[int]:
-        context = spark.sparkContext
-        folder = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
-        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return []
-        return [int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()]
+        return max((v for v in pointers(spark, self.path) if before is None or v < before), default=None)
 
     def save(self, tables: dict[str, DataFrame], version: int) -> None:
         spark = next(iter(tables.values())).sparkSession
         for name, rows in tables.items():
             rows.coalesce(1).write.mode("overwrite").parquet(self.folder(name, version))
-        context = spark.sparkContext
-        pointer = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done/{version}")
-        pointer.getFileSystem(context._jsc.hadoopConfiguration()).create(pointer, True).close()
-        for old in [v for v in self._pointers(spark) if v <= version - self.kept]:
+        write_pointer(spark, self.path, version)
+        for old in [v for v in pointers(spark, self.path) if v <= version - self.kept]:
             remove_folder(spark, f"{self.path}/done/{old}")
             for name in tables:
                 remove_folder(spark, self.folder(name, old))

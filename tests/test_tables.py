@@ -276,3 +276,48 @@ def test_representative_row_is_one_per_group_on_ties(table):
     assert sorted(map(tuple, order.representative_rows(rows).collect())) == [(0, 5, "a"), (1, 1, "z")]
     with pytest.raises(ValueError):
         order.representative_rows(rows, seq="v")
+
+
+@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
+def test_similarity_with_ragged_vectors(table, broadcast_rows):
+    nan, inf = float("nan"), float("inf")
+    knowledge = table("id int, type string, embedding array<double>", [
+        (1, "incident", [0.0, 0.0]), (2, "incident", [3.0, 4.0]), (3, "incident", [1.0]), (4, "incident", [1.0, None]),
+        (5, "incident", [nan, 1.0]), (6, "incident", [inf, 1.0]), (7, "incident", []), (8, "incident", None),
+    ])
+    queries = table("id int, embedding array<double>", [(1, [0.0, 1.0]), (2, [1.0]), (3, [1.0, None]), (4, [nan, 0.0]), (5, None), (6, [])])
+    found = similarity.similar_incidents(queries, knowledge, broadcast_rows=broadcast_rows, block_values=4).collect()
+    assert sorted((r.id, r["rank"] or 0, r.match_id, r.distance) for r in found if r["rank"]) == [(1, 1, 1, 1.0), (1, 2, 2, 18.0)]
+    assert sorted(r.id for r in found if not r["rank"]) == [2, 3, 4, 5, 6]
+
+
+def test_versions_end_with_their_pointer(spark, table, tmp_path):
+    path = str(tmp_path / "v")
+    with pytest.raises(ValueError, match="nothing complete"):
+        refresh.load_version(spark, path)
+    refresh.save_version(table("a int", [(1,), (2,)]), path, 1)
+    refresh.save_version(table("a int", []), path, 2)
+    assert refresh.load_version(spark, path).count() == 0 and refresh.load_version(spark, path, 1).count() == 2
+    table("a int", [(3,)]).write.parquet(f"{path}/version=3")
+    assert refresh.load_version(spark, path).count() == 0
+
+
+def test_incident_contract(spark, table):
+    from perigee.operators import features as fx
+    from perigee.sources import dims
+
+    schema = "id int, class_name string, confidence string, tactic_id string, technique_id string, action string, tool_function string, guardrail_note string, autonomous string"
+    good = ("Normal", "0.5", "N/A", "NORMAL", "log_only", "f", "", "true")
+    rows = [good, (None, *good[1:]), ("Normal", "high", *good[2:]), ("Normal", "NaN", *good[2:]), ("Normal", "1.01", *good[2:]), ("Normal", "-0.1", *good[2:]),
+            ("Flare", *good[1:]), (*good[:7], "perhaps"), ("Flare", "2", None, *good[3:])]
+    checked = fx.incident_contract(table(schema, [(i, *r) for i, r in enumerate(rows)]), dims.classes(spark))
+    found = {r.id: r.contract_error for r in checked.collect()}
+    typed = "missing or of another type: "
+    assert found == {
+        0: None, 1: typed + "class_name", 2: typed + "confidence", 3: typed + "confidence", 4: "confidence outside 0 to 1",
+        5: "confidence outside 0 to 1", 6: "unknown class: Flare", 7: typed + "autonomous", 8: typed + "tactic_id",
+    }
+    ready = fx.valid_incidents(checked)
+    assert dict(ready.dtypes)["confidence"] == "double" and dict(ready.dtypes)["autonomous"] == "boolean" and ready.count() == 1
+    absent = fx.incident_contract(table("id int", [(1,)]), dims.classes(spark)).first().contract_error
+    assert absent == typed + ",".join(fx.INCIDENT_FIELDS)
