@@ -570,10 +570,15 @@ def model_predictions(spark, sf_dir):
     )
 
 
+def _boosted(raw: DataFrame, names: list[str]) -> PipelineModel:
+    """Fewer rounds than the default: each is a few small jobs per class."""
+    return boosting.train_boosted(raw, names, rounds=6, depth=4)
+
+
 def boosted_score(spark, sf_dir):
     """Boosted trees trained on raw, scored on noised."""
     _, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
-    return models.score(noised, _classifier(spark, sf_dir, boosting.train_boosted), dims.classes(spark)).select(
+    return models.score(noised, _classifier(spark, sf_dir, _boosted), dims.classes(spark)).select(
         "seq", "Label", "predicted_label", "class_name", "confidence"
     )
 
