@@ -40,9 +40,9 @@ from perigee.llm import arrays as ar
 
 CHUNK = 1 << 16
 SHORT = 32
-KEPT_PIECES = 1 << 18
+KEPT_PIECES = 1 << 17
 FEW_BYTES = 48
-NO_RULE = 1 << 62
+NO_RULE, NO_TOKEN = 1 << 62, -1
 MOST_FILE_BYTES = 64 << 20
 
 # The pattern of pieces, and the letters and numbers that came after Unicode 16, which the
@@ -105,8 +105,8 @@ class Tokenizer:
         for text, i in self.added.items():
             self.bytes[i] = bytes(LETTERS[c] for c in text) if all(c in LETTERS for c in text) else text.encode()
         self.of_byte = [ids[bytes([b])] for b in range(256)]
-        # The rule of two neighbours by its place in the list, and the token that each rule makes.
-        self.merges: dict[tuple[int, int], int] = {}
+        # By left token and right token the place of their rule in the list, and the token that each rule makes.
+        self.rules: list[dict[int, int]] = [{} for _ in range(max(ids.values()) + 1)]
         self.made: list[int] = []
         merges = (pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"])
         self.longest = 1
@@ -118,7 +118,7 @@ class Tokenizer:
         self.pieces = _Pieces(self)
 
     def _rules(self, merges: list[tuple[bytes, bytes]], ids: dict[bytes, int]) -> int:
-        """Fills ``merges`` and returns the sufficient lookahead in bytes."""
+        """Fills ``rules`` and ``made`` and returns the sufficient lookahead in bytes."""
         begins: dict[bytes, bytes | None] = {bytes([b]): None for b in range(256)}
         reach: dict[bytes, int] = {}
         most = 0
@@ -131,7 +131,7 @@ class Tokenizer:
             reach[a] = max(reach.get(a, 0), chain + len(a))
             most = max(most, reach[a])
             begins.setdefault(a + b, a)
-            self.merges.setdefault((ids[a], ids[b]), rank)
+            self.rules[ids[a]].setdefault(ids[b], rank)
             self.made.append(ids[a + b])
             self.longest = max(self.longest, len(a + b))
         return most
@@ -142,52 +142,53 @@ class Tokenizer:
         return self._merge_few(token) if len(token) <= FEW_BYTES else self._merge_many(token)
 
     def _merge_few(self, token: list[int]) -> list[int]:
-        rule = self.merges.get
-        ranks = [rule(pair, NO_RULE) for pair in zip(token, token[1:])]
+        rules = self.rules
+        ranks = [rules[a].get(b, NO_RULE) for a, b in zip(token, token[1:])]
         while ranks and (first := min(ranks)) < NO_RULE:
             i = ranks.index(first)
-            token[i : i + 2] = [self.made[first]]
-            del ranks[i]
+            new = token[i] = self.made[first]
+            del token[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rule((token[i], token[i + 1]), NO_RULE)
+                ranks[i] = rules[new].get(token[i + 1], NO_RULE)
             if i:
-                ranks[i - 1] = rule((token[i - 1], token[i]), NO_RULE)
+                ranks[i - 1] = rules[token[i - 1]].get(new, NO_RULE)
         return token
 
     def _merge_many(self, token: list[int]) -> list[int]:
         """The same with a heap of places and links between neighbours."""
-        n, rule = len(token), self.merges.get
+        n, rules = len(token), self.rules
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, i) for i, pair in enumerate(zip(token, token[1:])) if (rank := rule(pair)) is not None]
+        heap = [(rank, i) for i, (a, b) in enumerate(zip(token, token[1:])) if (rank := rules[a].get(b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if token[i] < 0 or j >= n or rule((token[i], token[j])) != rank:
+            if token[i] < 0 or j >= n or rules[token[i]].get(token[j]) != rank:
                 continue
             token[i], token[j] = self.made[rank], -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
             for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right < n and (rank := rule((token[left], token[right]))) is not None:
+                if left >= 0 and right < n and (rank := rules[token[left]].get(token[right])) is not None:
                     heapq.heappush(heap, (rank, left))
         return [t for t in token if t >= 0]
 
 
 class _Pieces(dict):
-    """Tokens by piece; short ones are kept, in a table of bounded size."""
+    """Tokens by piece; short ones are kept, in two tables of bounded size: a full one becomes the older one."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.older = tokenizer, {}
 
     def __missing__(self, piece: str) -> list[int]:
         if len(piece) > SHORT:
             window = _Window(self.tokenizer)
             return window.feed(piece.encode()) + window.close()
         if len(self) >= KEPT_PIECES:
+            self.older = dict(self)
             self.clear()
-        found = self[piece] = self.tokenizer.merge(piece.encode())
+        found = self[piece] = self.older.get(piece) or self.tokenizer.merge(piece.encode())
         return found
 
 
@@ -295,12 +296,12 @@ def encode_text(tokenizer: Tokenizer, text: str, chunk: int = CHUNK) -> list[int
     return out + encoder.finish()
 
 
-def decode_ids(tokenizer: Tokenizer, ids: list[int], chunk: int = CHUNK) -> str:
+def decode_ids(tokenizer: Tokenizer, ids: np.ndarray | list[int], chunk: int = CHUNK) -> str:
     utf8 = codecs.getincrementaldecoder("utf-8")("replace")
     known = tokenizer.bytes
     out = []
     for at in range(0, len(ids), chunk):
-        out.append(utf8.decode(b"".join([known.get(i, b"") for i in ids[at : at + chunk]])))
+        out.append(utf8.decode(b"".join([known.get(i, b"") for i in np.asarray(ids[at : at + chunk]).tolist()])))
     return "".join(out) + utf8.decode(b"", True)
 
 
@@ -337,7 +338,10 @@ class Coder:
         @F.arrow_udf("string")
         def decoded(ids: pa.Array) -> pa.Array:
             tokenizer = _tokenizer(sent.value)
-            return pa.array([decode_ids(tokenizer, one.as_py() or []) for one in ids], pa.string())
+            # A NULL id is one that the vocabulary lacks.
+            flat = ids.flatten().fill_null(NO_TOKEN).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+            return pa.array([decode_ids(tokenizer, flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
 
         self._encoded, self._decoded = encoded, decoded
 
