@@ -351,4 +351,5 @@ class Coder:
 
     def decode(self, ids: Column) -> Column:
         """The text that these ids stand for."""
-        return self._decoded(ids)
+        # An expression of the JVM between two Python functions: chained directly, the inner one would run for each of its uses.
+        return self._decoded(F.coalesce(ids, F.array().cast("array<int>")))
