@@ -7,6 +7,9 @@ number and an indent, preformatted text keeps its blanks, and the cells of a tab
 columns.  Formulas (MathML) are text; in drawings (SVG) each text element has a line of its own, and definitions, titles,
 descriptions and annotations of both are not shown.  Pages are independent, so this is a function of one column without any shuffle.
 
+Of style attributes ``display`` and ``visibility`` count, the last declaration of each and an important one before others: no display cuts off all
+below, while text of invisible elements is left out and that of visible elements in them is not.  Stylesheets of the page are not read.
+
 Defined results: NULL stays NULL, an empty page has empty text.  Broken or cut markup is text where it is
 no tag; open elements end with the page.  No recursion, so depth is bounded by memory alone.
 """
@@ -65,14 +68,15 @@ IMPLIED_ENDS = {
 }
 SCOPE = frozenset("table td th caption button object template html foreignobject".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+IMPORTANT = re.compile(r"\s*!\s*important$")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "unseen")
 
     def __init__(self, tag: str, attributes: dict):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.unseen = tag, attributes, [], False
 
 
 def _attributes(source: str) -> dict:
@@ -201,6 +205,27 @@ def parse(page: str) -> Node:
     return builder.root
 
 
+def _declared(style: str, name: str) -> str:
+    """The value of a property in a style attribute, or an empty text: the last declaration counts, an important one before others."""
+    plain = important = ""
+    for part in STYLE_COMMENT.sub("", style).lower().split(";"):
+        key, _, value = part.partition(":")
+        if key.strip() == name and (value := value.strip()):
+            if IMPORTANT.search(value):
+                important = IMPORTANT.sub("", value)
+            else:
+                plain = value
+    return important or plain
+
+
+def _unseen(node: Node, parent: Node | None) -> bool:
+    """Whether text directly in the node is invisible: as declared, else as in its parent."""
+    declared = _declared(node.attributes["style"], "visibility") if "style" in node.attributes else ""
+    if declared in ("hidden", "collapse"):
+        return True
+    return parent is not None and parent.unseen and declared not in ("visible", "initial")
+
+
 def _shown(node: Node, parent: Node | None) -> bool:
     if node.tag in UNSEEN:
         return False
@@ -211,7 +236,7 @@ def _shown(node: Node, parent: Node | None) -> bool:
         return node.tag != "dialog"
     if "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return False
-    return not ("style" in a and HIDDEN_STYLE.search(a["style"]))
+    return not ("style" in a and _declared(a["style"], "display") == "none")
 
 
 class _Page:
@@ -331,7 +356,7 @@ def render(page: str) -> str:
     while stack:
         item, parent, leaving = stack.pop()
         if isinstance(item, str):
-            if parent.tag == "details" and "open" not in parent.attributes:
+            if parent.unseen or (parent.tag == "details" and "open" not in parent.attributes):
                 continue
             if keep:
                 out.kept(item)
@@ -366,6 +391,7 @@ def render(page: str) -> str:
             continue
         if not _shown(item, parent):
             continue
+        item.unseen = _unseen(item, parent)
         if tag == "br":
             out.line()
             continue
@@ -391,7 +417,7 @@ def render(page: str) -> str:
                 number = _number(item.attributes.get("value"), lists[-1][1])
                 lists[-1][1] = number + 1
                 bullet = f"{number}. "
-            out.mark = out.indent + bullet
+            out.mark = None if item.unseen else out.indent + bullet
             out.indent += "  "
         elif tag == "dd" or tag == "blockquote":
             out.indent += "  "

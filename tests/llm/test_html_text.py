@@ -108,3 +108,25 @@ def test_null_and_empty(spark):
     pages = spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")
     assert [r.t for r in pages.orderBy("page_id").select(visible_text(F.col("html")).alias("t")).collect()] == [None, ""]
     assert pages.limit(0).select(visible_text(F.col("html"))).count() == 0
+
+
+def test_visibility_by_declarations():
+    from perigee.llm.html_text import render
+
+    shown = ["backface-visibility:hidden", "-webkit-backface-visibility: hidden", "display:none;display:block", "display:none;DISPLAY : Inline",
+             "display:block!important;display:none", "/* display:none */color:red", "content-visibility: hidden", "x:display;none", "display", ""]
+    for style in shown:
+        assert render(f'<p>a</p><p style="{style}">b</p>') == "a\n\nb", style
+    for style in ["display:none", "color:red; Display: NONE ;", "display:none ! important; display:block", "display:block;display:none", "visibility:hidden",
+                  "visibility: collapse", "visibility:visible;visibility:hidden"]:
+        assert render(f'<p>a</p><p style="{style}">b</p>') == "a", style
+
+
+def test_visible_children_of_invisible_elements():
+    from perigee.llm.html_text import render
+
+    page = '<div style="visibility:hidden">x<p style="visibility:visible">a<b>b</b></p><p>y<span style="visibility:hidden">z</span></p></div><p>c</p>'
+    assert render(page) == "ab\n\nc"
+    assert render('<div style="display:none"><p style="display:block;visibility:visible">a</p></div>b') == "b"
+    listed = '<ol><li>a</li><li style="visibility:hidden">b</li><li>c</li></ol>'
+    assert [line.strip() for line in render(listed).split("\n") if line.strip()] == ["1. a", "3. c"]
