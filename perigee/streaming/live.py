@@ -62,14 +62,17 @@ class Versions:
 
     def last(self, spark: SparkSession, before: int | None = None) -> int | None:
         """The last complete version, or the last one before the given number."""
-        return max((v for v in pointers(spark, self.path) if before is None or v < before), default=None)
+        return max((v for v in self._pointers(spark) if before is None or v < before), default=None)
+
+    def _pointers(self, spark: SparkSession) -> list[int]:
+        return pointers(spark, self.path)
 
     def save(self, tables: dict[str, DataFrame], version: int) -> None:
         spark = next(iter(tables.values())).sparkSession
         for name, rows in tables.items():
             rows.coalesce(1).write.mode("overwrite").parquet(self.folder(name, version))
         write_pointer(spark, self.path, version)
-        for old in [v for v in pointers(spark, self.path) if v <= version - self.kept]:
+        for old in [v for v in self._pointers(spark) if v <= version - self.kept]:
             remove_folder(spark, f"{self.path}/done/{old}")
             for name in tables:
                 remove_folder(spark, self.folder(name, old))
