@@ -4,6 +4,10 @@ Every stage works on all rows its predecessor kept.  All but the last return the
 ``documents``; the last adds ``shard`` and ``slot``.  The stages have no SQL form (a trained classifier,
 XXH64 fingerprints and seeded md5 order among them): ``ORACLE_SQL`` is None, and tests compare each
 stage with a brute-force version.
+
+Defined results: NULL and empty texts have a score, are near-duplicates of each other and share no window with a
+benchmark item.  Very long texts are worked on whole.  Repeated rows are exact copies: one of them passes the
+near-duplicate stage.  An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import decontaminate, mixing, near_copies, sharding, toxicity
+from perigee.llm import decontaminate, mixing, sharding, simhash, toxicity
 from perigee.session import materialize, prepare
 
 ORACLE_SQL = None
@@ -26,9 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 80 % or more of their five-word shingles the row with the smallest doc_id."""
+    """Of each group of texts linked by fingerprints of three-word shingles within two bits the row with the smallest doc_id."""
     prepare(spark)
-    return near_copies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
