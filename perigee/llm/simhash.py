@@ -240,25 +240,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, l
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the one with the smallest id, with or without ids in it."""
-    rows, named = _by_component(docs, words, budget, LEAF_ROWS)
-    return keep_one(docs, rows.join(materialize(named.select("f", "component"), "simhash-heads"), "f"))
-
-
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay of each ``component``, from (doc_id, text_key, component) of all rows: the smallest id.
+    """Rows of ``docs`` that stay: of each component the one with the smallest id, with or without ids in it.
 
-    Of rows that repeat both id and text one stays, whichever Spark meets first.
+    Of rows that share this id the smallest hash of the text stays, of rows that repeat both the one whose columns come
+    first as JSON text.
     """
-    # Several rows may share the smallest id: the smallest text key decides, repeated rows are told apart below.
-    kept = found.groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")
-    )
-    kept = materialize(kept.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_key").alias("keep_key")), "simhash-kept")
-    same = docs.alias("d").join(
-        kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("keep_id")) & (F.xxhash64("d.text") == F.col("keep_key")), "left_semi"
-    )
-    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
+    rows, named = _by_component(docs, words, budget, LEAF_ROWS)
+    found = rows.join(materialize(named.select("f", "component"), "simhash-heads"), "f")
+    alike = found.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    kept = alike.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key", "n")).alias("k"))
+    kept = materialize(kept.select("k.doc_id", "k.text_key", "k.n"), "simhash-kept")
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        return docs.alias("d").join(
+            chosen.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_key")), "left_semi"
+        )
+
+    repeated = kept.where("n > 1")
     if repeated.isEmpty():
-        return same
-    return same.dropDuplicates(["doc_id", "text"])
+        return rows_of(kept)
+    row = F.struct(*(F.col(f"d.`{c}`") for c in docs.columns))
+    first = rows_of(repeated).select(F.col("d.doc_id").alias("id"), F.xxhash64("d.text").alias("key"), row.alias("row")).groupBy(
+        "id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows_of(kept.where("n = 1")).unionAll(first.select(*(F.col(f"row.`{c}`") for c in docs.columns)))

@@ -3,6 +3,7 @@
 import corpus_pipeline as cp
 from conftest_llm import words
 from pyspark.sql import functions as F
+from test_simhash import groups, print_of
 import random
 
 from perigee.llm import decontaminate
@@ -10,30 +11,11 @@ from perigee.llm import decontaminate
 SF = "/root/testdata/sf0.001"
 
 
-def shingles(text):
-    parts = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    for blank in "\t\n\v\f\r":
-        parts = parts.replace(blank, " ")
-    parts = [w for w in parts.split(" ") if w]
-    return frozenset(tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))) if parts else frozenset()
-
-
 def smallest_of_each_group(rows):
-    """By comparison of all pairs: the smallest doc_id of each group of texts that share 80 % of their five-word shingles."""
-    sets = [(r.doc_id, shingles(r.text)) for r in sorted(rows, key=lambda r: r.doc_id)]
-    root = {doc_id: doc_id for doc_id, _ in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if x == y or len(x & y) >= 0.8 * len(x | y) > 0:
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    return sorted({find(doc_id) for doc_id in root})
+    """By comparison of all pairs: the smallest doc_id of each group of texts within two bits."""
+    prints = [(r.doc_id, print_of(r.text)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i][1] ^ prints[j][1]).bit_count() <= 2]
+    return [prints[i][0] for i in sorted(set(groups(len(prints), pairs)))]
 
 
 def test_stages_keep_their_promises(spark):

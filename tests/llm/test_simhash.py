@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest_llm import texts_with_repeats, words
+from pyspark.sql import functions as F
 
 from perigee.llm import simhash
 from perigee.llm.components import components
@@ -96,3 +97,12 @@ def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (502, 500), (7, 7)]
     found = components(spark.createDataFrame(chain, "a long, b long")).collect()
     assert {r.node: r.component for r in found} == {**{i: 0 for i in range(1, 201)}, 501: 500, 502: 500}
+
+
+def test_of_repeated_rows_the_least_stays(spark):
+    rows = [(1, "a b c", "z", {"k": 2}), (1, "a b c", "y", {"k": 1}), (None, "d e f", "q", None), (None, "d e f", "p", None), (3, "g h i", "x", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row string, n map<string,int>")
+    for order in (table, table.orderBy(F.desc("row"))):
+        kept = simhash.one_of_each(order)
+        assert kept.columns == table.columns
+        assert sorted((r.text, r.row) for r in kept.collect()) == [("a b c", "y"), ("d e f", "p"), ("g h i", "x")]
