@@ -42,7 +42,7 @@ FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
     "op5_source_mix": r"""
 WITH d AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-        md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents
+        md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
 ), s AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
@@ -60,15 +60,13 @@ WITH d AS (
         ELSE least(weight * final.level, CAST(3 * source_size AS DOUBLE)) END AS target FROM levels, final
 ), parts AS (
     SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
-), keys AS (
-    SELECT source, key, sum(size) AS size FROM d GROUP BY source, key
 ), cuts AS (
-    SELECT source, key, CAST(sum(size) OVER (PARTITION BY source ORDER BY key) AS DOUBLE) - CAST(size AS DOUBLE) / 2 AS middle FROM keys
+    SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING) AS DOUBLE)
+        - CAST(size AS DOUBLE) / 2 AS middle FROM d
 )
-SELECT d.doc_id, d.size, p.source_size, p.target,
-    CAST(d.size * (p.whole + CASE WHEN c.middle <= p.target - p.whole * p.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
-    JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source AND d.key = c.key
+SELECT c.doc_id, c.size, p.source_size, p.target,
+    CAST(c.size * (p.whole + CASE WHEN c.middle <= p.target - p.whole * p.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM cuts c JOIN parts p ON c.source IS NOT DISTINCT FROM p.source
 """,
     "op6_decontaminate": r"""
 WITH lowered AS (

@@ -51,11 +51,11 @@ def op4_cover_anchors(spark, sf_dir):
 def op5_source_mix(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     rows = materialize(docs.select(
-        "doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.seeded_key(F.col("doc_id")).alias("key")
+        "doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.seeded_key(F.col("doc_id"), F.col("text")).alias("key"),
+        F.monotonically_increasing_id().alias("id"),
     ), "mix-docs")
-    planned = mixing.plan(rows.select("source", "size", "key"))
-    joined = rows.alias("r").join(planned.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * mixing.epochs(F.col("key"), F.col("whole"), F.col("cut"))).alias("taken"))
+    found = mixing.times_taken(rows, mixing.plan(rows.select("source", "size", "key")))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def op6_decontaminate(spark, sf_dir):

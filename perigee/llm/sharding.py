@@ -4,14 +4,15 @@ Rows are ordered by (hash of the text, doc_id), so equal texts stand together.
 between two shards, exact bytes below candidate keys are counted over all partitions, and the
 candidates are refined between the two that enclose the wanted size until one is within the
 tolerance.  Candidates between hashes come first, so a group of equal texts stays whole where
-the tolerance allows; only a group that must be cut is refined by doc_id.  Then rows are
-exchanged once.
+the tolerance allows; only a group that must be cut is refined by doc_id.  Rows that agree in both and
+are too many for the tolerance are written once with a number of their own as third part of the key, and
+boundaries are searched again.  Then rows are exchanged once.
 
 A shard is dealt in pieces of about ``piece_rows`` rows, each numbered in a task of its own;
 the counts of the pieces turn these numbers into gapless slots.
 
 Defined results: a NULL text has 0 bytes, a NULL checksum and counts ``row_bytes``.  Rows that agree in text and
-doc_id are not told apart and stay in one shard.  An empty table gives an empty result.
+doc_id stay together within the tolerance and are dealt by their written numbers beyond it.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,42 +42,52 @@ def sort_key(text: Column, doc_id: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.coalesce(doc_id.cast("long"), F.lit(LOW))
 
 
-def _below(boundaries: list[tuple[int, int]]):
-    """UDF: the number of boundaries at or below a key."""
-    high = np.array([b[0] for b in boundaries], np.int64)
-    low = np.array([b[1] for b in boundaries], np.int64)
+def _below(boundaries: list[tuple[int, ...]]):
+    """UDF: the number of boundaries at or below a key of as many parts."""
+    levels = np.array(boundaries, np.int64).T
 
     @F.arrow_udf("int")
-    def below(first: pa.Array, second: pa.Array) -> pa.Array:
-        h, d = first.to_numpy(zero_copy_only=False), second.to_numpy(zero_copy_only=False)
-        start, end = np.searchsorted(high, h, "left"), np.searchsorted(high, h, "right")
-        tied = start < end
-        for a, b in set(zip(start[tied].tolist(), end[tied].tolist())):
-            mine = (start == a) & (end == b)
-            start[mine] = a + np.searchsorted(low[a:b], d[mine], "right")
-        return pa.array(start, pa.int32())
+    def below(*parts: pa.Array) -> pa.Array:
+        start, end = np.zeros(len(parts[0]), np.int64), np.full(len(parts[0]), len(boundaries), np.int64)
+        for part, level in zip(parts, levels):
+            values = part.to_numpy(zero_copy_only=False)
+            open_ = np.flatnonzero(start < end)
+            ranges, which = np.unique(np.stack([start[open_], end[open_]], 1), axis=0, return_inverse=True)
+            for k, (a, b) in enumerate(ranges.tolist()):
+                mine = open_[which.ravel() == k]
+                start[mine] = a + np.searchsorted(level[a:b], values[mine], "left")
+                end[mine] = a + np.searchsorted(level[a:b], values[mine], "right")
+        return pa.array(end, pa.int32())
 
     return below
 
 
+def _probes(lo: tuple[int, ...], hi: tuple[int, ...], n: int) -> list[tuple[int, ...]]:
+    """Up to ``n`` keys between two: between their first parts while there are any, then between the next parts of one."""
+    a, b, rest = lo[0], hi[0], len(lo) - 1
+    if b - a > 1:
+        return [(v, *[LOW] * rest) for v in _between(a, b, n)]
+    if not rest:
+        return []
+    if b > a and hi[1:] > (LOW,) * rest:
+        return [(b, *[LOW] * rest)]
+    upper = hi[1:] if a == b else (HIGH, *[LOW] * (rest - 1))
+    return [(a, *p) for p in _probes(lo[1:], upper, n)]
+
+
 class _Boundary:
     """The search for one boundary: a lower and an upper key with exact bytes and rows below each."""
 
-    def __init__(self, wanted: float, total: int, rows: int):
+    def __init__(self, wanted: float, total: int, rows: int, parts: int):
         self.wanted = wanted
-        self.lo, self.hi = ((LOW, LOW), 0, 0), ((HIGH, LOW), total, rows)
-        self.found = None
-
-    def probes(self, n: int) -> list[tuple[int, int]]:
-        """Up to ``n`` keys within: between hashes while there are any, then between ids of one hash."""
-        (h0, d0), (h1, d1) = self.lo[0], self.hi[0]
-        if h1 - h0 > 1:
-            return [(h, LOW) for h in _between(h0, h1, n)]
-        if h1 > h0 and d1 > LOW:
-            return [(h1, LOW)]
-        return [(h0, d) for d in _between(d0, d1 if h1 == h0 else HIGH, n)]
-
-    def narrow(self, known: list[tuple[tuple[int, int], int, int]], tolerance: float) -> None:
+        rest = [LOW] * (parts - 1)
+        self.lo, self.hi = ((LOW, *rest), 0, 0), ((HIGH, *rest), total, rows)
+        self.found = self.crowd = None
+
+    def probes(self, n: int) -> list[tuple[int, ...]]:
+        return _probes(self.lo[0], self.hi[0], n)
+
+    def narrow(self, known: list[tuple[tuple[int, ...], int, int]], tolerance: float) -> None:
         for at in known:
             if self.lo[0] < at[0] < self.hi[0]:
                 if at[1] <= self.wanted:
@@ -84,8 +95,11 @@ class _Boundary:
                 else:
                     self.hi = min(self.hi, at)
         nearest = min(self.lo, self.hi, key=lambda at: abs(at[1] - self.wanted))
-        if abs(nearest[1] - self.wanted) <= tolerance or self.hi[2] - self.lo[2] <= 1 or not self.probes(1):
+        near, single = abs(nearest[1] - self.wanted) <= tolerance, self.hi[2] - self.lo[2] <= 1
+        if near or single or not self.probes(1):
             self.found = nearest[0]
+            # Many rows of one key lie across the boundary.
+            self.crowd = None if near or single else self.lo[0]
 
 
 def _between(a: int, b: int, n: int) -> list[int]:
@@ -94,10 +108,14 @@ def _between(a: int, b: int, n: int) -> list[int]:
     return sorted({a + (b - a) * i // (n + 1) for i in range(1, n + 1)} - {a, b})
 
 
-def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[tuple[int, int]]:
-    """Keys at which shards 1, 2, ... begin, from (h, d, size) rows; ``tolerance`` in shares of a shard."""
+def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, probes: int = PROBES) -> tuple[list, set]:
+    """Keys at which shards 1, 2, ... begin, and the keys whose many rows lie across one; ``tolerance`` in shares of a shard.
+
+    ``keys`` has ``size`` and the parts of a key, first parts first.
+    """
+    parts = [c for c in keys.columns if c != "size"]
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    bounds = [_Boundary(total * i / shards, total, rows) for i in range(1, shards)]
+    bounds = [_Boundary(total * i / shards, total, rows, len(parts)) for i in range(1, shards)]
     allowed = tolerance * total / shards
     for b in bounds:
         b.narrow([], allowed)
@@ -105,7 +123,7 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
         asked = sorted({p for b in open_ for p in b.probes(probes)})
         counts = {
             r[0]: (r[1], r[2])
-            for r in keys.groupBy(_below(asked)("h", "d").alias("at")).agg(F.sum("size"), F.count("*")).collect()
+            for r in keys.groupBy(_below(asked)(*parts).alias("at")).agg(F.sum("size"), F.count("*")).collect()
         }
         known, bytes_, n = [], 0, 0
         for i, p in enumerate(asked):
@@ -117,21 +135,40 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
             b.narrow(known[bisect_right(first, b.lo[0]) : bisect_right(first, b.hi[0])], allowed)
     found = [b.found for b in bounds]
     # A boundary above every key cannot be written as a long: nothing lies at or above it.
-    return [p for p in found if p[0] < HIGH]
+    return [p for p in found if p[0] < HIGH], {b.crowd for b in bounds if b.crowd is not None}
+
+
+def _told_apart(docs: DataFrame, keys: DataFrame, crowds: set[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """``docs`` and ``keys`` with a third part ``r`` of the key: a number of its own for each row of the crowds (at most one a boundary)."""
+    crowded = F.lit(False)
+    for h, d in sorted(crowds):
+        crowded = crowded | ((F.col("h") == h) & (F.col("d") == d))
+    own = F.xxhash64(F.monotonically_increasing_id())
+    held = materialize(docs.where(crowded).withColumn("r", own), "shard-crowds")
+    sizes = keys.where(crowded).groupBy("h", "d").agg(F.max("size").alias("size"))
+    apart = held.select("h", "d", "r").join(sizes, ["h", "d"])
+    others = F.lit(0).cast("long")
+    return docs.where(~crowded).withColumn("r", others).unionByName(held), keys.where(~crowded).select(
+        "h", "d", others.alias("r"), "size").unionByName(apart)
 
 
 def shard(docs: DataFrame, keys: DataFrame, shards: int = SHARDS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``; ``docs`` has h and d, ``keys`` (h, d, size) of the same rows, written once."""
-    bounds = splitters(keys, shards)
+    key = ["h", "d"]
+    bounds, crowds = splitters(keys.select(*key, "size"), shards)
+    if crowds:
+        docs, keys = _told_apart(docs, keys, crowds)
+        key = ["h", "d", "r"]
+        bounds, _ = splitters(keys.select(*key, "size"), shards)
     at = _below(bounds) if bounds else None
-    number = (lambda: at("h", "d")) if at else (lambda: F.lit(0))
+    number = (lambda: at(*key)) if at else (lambda: F.lit(0))
     pieces = max(1, -(-keys.count() // (shards * piece_rows)))
-    piece = F.pmod(F.xxhash64("h", "d"), F.lit(pieces)).cast("int")
+    piece = F.pmod(F.xxhash64(*key), F.lit(pieces)).cast("int")
     counts = keys.select(number().alias("shard"), piece.alias("piece")).groupBy("shard", "piece").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "piece", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
     placed = docs.withColumns({"shard": number(), "piece": piece})
-    inside = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("h", "d"))
+    inside = F.row_number().over(Window.partitionBy("shard", "piece").orderBy(*key))
     numbered = placed.withColumn("slot", inside.cast("long") - 1)
     joined = numbered.join(starts, ["shard", "piece"])
     return joined.withColumn("slot", F.col("slot") + F.col("start")).drop("start", "piece")

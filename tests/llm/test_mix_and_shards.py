@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from conftest_llm import words
@@ -40,7 +40,7 @@ def mixed_rows():
 def test_targets_and_taken_words(documents, mixed_rows):
     size, target = mix_expected(mixed_rows)
     docs = documents(mixed_rows)
-    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.seeded_key(F.col("doc_id")).alias("key"))
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.seeded_key(F.col("doc_id"), F.col("text")).alias("key"))
     planned = {r.source: r for r in mixing.plan(rows.select("source", "size", "key")).collect()}
     assert {s: r.source_size for s, r in planned.items()} == dict(size)
     for s, r in planned.items():
@@ -64,9 +64,9 @@ def test_mix_of_an_empty_table(documents):
 
 
 def test_cut_follows_the_seeded_order(documents, mixed_rows):
-    rows = documents(mixed_rows).select("source", mixing.word_count(F.col("text")).alias("size"), mixing.seeded_key(F.col("doc_id")).alias("key"))
+    rows = documents(mixed_rows).select("source", mixing.word_count(F.col("text")).alias("size"), mixing.seeded_key(F.col("doc_id"), F.col("text")).alias("key"))
     for p in mixing.plan(rows).collect():
-        own = sorted((hashlib.md5(f"mix-1:{'' if d is None else d}".encode()).hexdigest(), len((t or "").split()))
+        own = sorted((hashlib.md5(f"mix-1:{'' if d is None else d}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), len((t or "").split()))
                      for d, t, s in mixed_rows if s == p.source)
         rest, before, extra = p.target - p.whole * p.source_size, 0, 0
         for key, n in own:
@@ -112,6 +112,7 @@ def test_bytes_are_near_equal_and_slots_gapless(documents, piece_rows):
 def test_repeated_rows_and_tiny_tables(documents):
     same = placed(documents([(1, "a b c")] * 50), 4)
     assert len(same) == 50 and slots_are_gapless(same)
+    assert sorted(Counter(r.shard for r in same).values()) == [12, 12, 13, 13]
     assert placed(documents([]), 4) == []
     assert len(placed(documents([(1, "a")]), 4)) == 1
 
@@ -121,3 +122,37 @@ def test_shard_documents_keeps_all_columns(documents):
     out = sharding.shard_documents(docs, 3)
     assert out.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
     assert out.count() == 30 and slots_are_gapless(out.collect())
+
+
+def test_rows_equal_in_text_and_id_are_dealt_over_shards(documents):
+    rng = random.Random(12)
+    table = documents([(None, "one text")] * 1000 + [(i, f"other {i} " + words(rng, 3)) for i in range(2000)])
+    for out in (placed(table, 40), sharding.shard_documents(table, 40).withColumn("size", sharding.size_of(F.col("text"))).collect()):
+        assert len(out) == 3000 and slots_are_gapless(out)
+        load = Counter()
+        for r in out:
+            load[r.shard] += r.size
+        mean = sum(load.values()) / 40
+        assert set(load) == set(range(40))
+        assert max(abs(v - mean) for v in load.values()) <= 2 * (sharding.TOLERANCE * mean + 60)
+
+
+def test_rows_without_id_reach_the_target(documents):
+    rng = random.Random(13)
+    # A third of all rows agree in source, id and text; others of that source have no id either.
+    rows = [(None, "a b c d e", "hot")] * 500 + [(None, f"n{i} " + words(rng, 4), "hot") for i in range(400)]
+    rows += [(i, words(rng, 20), s) for i in range(300) for s in ("b", "c")]
+    docs = documents(rows)
+    size, target = mix_expected(rows)
+    once = [sorted((r.source, r.text) for r in mixing.mix(docs).collect()) for _ in range(2)]
+    assert once[0] == once[1]
+    taken = Counter()
+    for source, text in once[0]:
+        taken[source] += len(text.split())
+    for s in size:
+        assert abs(taken[s] - target[s]) <= 10, s
+    only = documents([(None, "a b c d e", "x")] * 301 + [(None, "a b c d e", None)] * 40)
+    size, target = mix_expected([(None, "a b c d e", "x")] * 301 + [(None, "a b c d e", None)] * 40)
+    taken = Counter(r.source for r in mixing.mix(only).collect())
+    for s in size:
+        assert abs(5 * taken[s] - target[s]) <= 2.5, s
