@@ -6,9 +6,10 @@ a window with an item shares that fingerprint.  Fingerprints of the texts meet t
 benchmark, and each meeting is extended by comparing the windows around it: only windows that
 occur in an item count, every one of them is found.
 
-The texts are never shuffled.  The benchmark's windows go to the tasks in blocks of at most
-``block_windows`` rows (counted first); each block meets all texts, so a benchmark of any size
-costs passes, not memory.
+The windows of a benchmark are counted first.  Up to ``shared_windows`` of them are sent to the tasks, and the texts are
+never shuffled.  A larger benchmark stays a table: the distinct fingerprints of the texts are joined with its own, only the
+windows behind a fingerprint that was met are made again, and these are joined with the windows of the items.
+No task or driver holds more of the benchmark than its share.
 
 Defined results: NULL and empty texts and items have no words.  An item with fewer words than the
 window is one window of its own length, found by comparing all grams of that length.  Repeated
@@ -24,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import arrays as ar
+from perigee.session import materialize
 
 # Words: digits and letters after lower-casing A-Z, and everything beyond ASCII.
 ITEM_WORD = ~ar.byte_set(bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80)))
 WINDOW = 10
 GRAM = 5
-BLOCK_WINDOWS = 1_000_000
-HIT_TYPE = "n_words BIGINT, spans ARRAY<INT>, items ARRAY<BIGINT>"
+SHARED_WINDOWS = 1_000_000
+SPANS_TYPE = "n_words BIGINT, spans ARRAY<INT>"
 
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[ar.SpanHash, np.ndarray]:
@@ -76,12 +78,12 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
 
 
 def _pack(rows: pa.Table, window: int) -> dict:
-    """Sorted windows with the ids of their items, per width, and the fingerprints of whole windows."""
+    """Sorted windows with the numbers of their items, per width, the items' ids and the fingerprints of whole windows."""
     width, win, gram = (rows[name].to_numpy() for name in ("width", "win", "gram"))
-    item = rows["item_id"].combine_chunks()
-    known = item.is_valid().to_numpy(zero_copy_only=False)
-    item = item.fill_null(0).to_numpy(zero_copy_only=False)
-    packed = {"grams": np.unique(gram[width == window].view(ar.U64)), "wins": {}}
+    item = rows["item_id"].combine_chunks().dictionary_encode()
+    known = item.indices.is_valid().to_numpy(zero_copy_only=False)
+    names, item = item.dictionary, item.indices.fill_null(0).to_numpy(zero_copy_only=False)
+    packed = {"grams": np.unique(gram[width == window].view(ar.U64)), "wins": {}, "names": names}
     for w in np.unique(width).tolist():
         chosen = width == w
         values, ids, named = win[chosen].view(ar.U64), item[chosen], known[chosen]
@@ -116,8 +118,8 @@ def _hits(hashes: ar.SpanHash, first: np.ndarray, packed: dict, window: int, gra
     return [np.concatenate(part) for part in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
 
 
-def _annotate(packed_value, window: int, gram: int):
-    @F.arrow_udf(HIT_TYPE)
+def _annotate(packed_value, id_type: str, window: int, gram: int):
+    @F.arrow_udf(f"{SPANS_TYPE}, items ARRAY<{id_type}>")
     def annotate(column: pa.Array) -> pa.Array:
         packed = packed_value.value
         words, spans, items = [], [], []
@@ -142,44 +144,124 @@ def _annotate(packed_value, window: int, gram: int):
                     for k in np.unique(index[mine][width[mine] == w]).tolist():
                         ids.append(item[bound[k] : bound[k + 1]][named[bound[k] : bound[k + 1]]])
                 items.append(np.unique(np.concatenate(ids)).tolist())
+        names = packed["names"]
+        numbers = pa.array(items, pa.list_(pa.int64()))
         return pa.StructArray.from_arrays(
             [pa.array(np.concatenate(words) if words else [], pa.int64()), pa.array(spans, pa.list_(pa.int32())),
-             pa.array(items, pa.list_(pa.int64()))], ["n_words", "spans", "items"],
+             pa.ListArray.from_arrays(numbers.offsets, names.take(numbers.flatten()))], ["n_words", "spans", "items"],
         )
 
     return annotate
 
 
-def _merge_spans(column: pa.Array) -> pa.Array:
+def _prints(hashes: ar.SpanHash, first: np.ndarray, width: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start word and fingerprint of all windows of one width in a stretch of texts."""
+    good = np.flatnonzero(ar.fits(first, width))
+    if width < window or not len(good):
+        return good, hashes(good, good + width)
+    return good, _sliding_min(hashes.rolling(gram), window - gram + 1)[good]
+
+
+def _of_each_text(first: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Positions of the starts that lie in each text; starts ascend."""
+    return np.split(np.arange(len(start)), np.searchsorted(start, first[1:-1]))
+
+
+def _fingerprints(text: Column, widths: list[int], window: int, gram: int) -> Column:
+    """The distinct (width, gram) of a text."""
+
+    @F.arrow_udf("array<struct<width: int, gram: bigint>>")
+    def of(column: pa.Array) -> pa.Array:
+        out = []
+        for _, _, data, bounds in ar.stretches(column):
+            hashes, first = _words(data, bounds)
+            texts = [[] for _ in range(len(first) - 1)]
+            for width in widths:
+                start, prints = _prints(hashes, first, width, window, gram)
+                for found, mine in zip(texts, _of_each_text(first, start)):
+                    found += [{"width": width, "gram": g} for g in np.unique(prints[mine].view(np.int64)).tolist()]
+            out += texts
+        return pa.array(out, pa.list_(pa.struct({"width": pa.int32(), "gram": pa.int64()})))
+
+    return of(text)
+
+
+def _windows_at(text: Column, met: Column, window: int, gram: int) -> Column:
+    """(start, width, win) of the windows of a text whose fingerprint is among those ``met``."""
+
+    @F.arrow_udf("array<struct<start: int, width: int, win: bigint>>")
+    def of(column: pa.Array, met: pa.Array) -> pa.Array:
+        out = []
+        for one, wanted in zip(column, met):
+            _, _, data, bounds = next(ar.stretches(pa.array([one.as_py()], pa.string())))
+            hashes, first = _words(data, bounds)
+            pairs = wanted.values
+            widths, grams = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            found = []
+            for width in np.unique(widths).tolist():
+                start, prints = _prints(hashes, first, width, window, gram)
+                start = start[np.isin(prints.view(np.int64), grams[widths == width])]
+                wins = hashes(start, start + width).view(np.int64)
+                found += [{"start": a, "width": width, "win": w} for a, w in zip(start.tolist(), wins.tolist())]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct({"start": pa.int32(), "width": pa.int32(), "win": pa.int64()})))
+
+    return of(text, met)
+
+
+def _merged(column: pa.Array) -> pa.Array:
+    """Flat disjoint spans from structs (start, width) of a text."""
     out = []
-    for flat in column.to_pylist():
-        pairs = np.array(flat or [], np.int64).reshape(-1, 2)
-        out.append(np.stack(ar.union_of_spans(pairs[:, 0], pairs[:, 1]), 1).ravel().tolist())
+    for hits in column:
+        start, width = (hits.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        out.append(np.stack(ar.union_of_spans(start, start + width), 1).ravel().tolist())
     return pa.array(out, pa.list_(pa.int32()))
 
 
+def _count_words(column: pa.Array) -> pa.Array:
+    counts = [np.diff(_words(data, bounds)[1]) for _, _, data, bounds in ar.stretches(column)]
+    return pa.array(np.concatenate(counts) if counts else [], pa.int64())
+
+
+def _hits_by_join(rows: DataFrame, docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key, spans, items) of each distinct text of ``docs`` that shares a window with an item; ``key`` is a hash of the text."""
+    key = F.xxhash64("text").alias("key")
+    widths = sorted(r.width for r in rows.select("width").distinct().collect())
+    prints = docs.where("text IS NOT NULL").select(key, F.explode(_fingerprints(F.col("text"), widths, window, gram)).alias("p"))
+    prints = prints.select("key", "p.*").join(rows.select("width", "gram").distinct(), ["width", "gram"], "left_semi").distinct()
+    met = materialize(prints.groupBy("key").agg(F.collect_list(F.struct("width", "gram")).alias("met")), "windows-met")
+    found = docs.where("text IS NOT NULL").select(key, "text").join(met, "key")
+    found = found.select("key", F.explode(_windows_at(F.col("text"), F.col("met"), window, gram)).alias("w")).select("key", "w.*").distinct()
+    known = rows.select("width", "win").distinct()
+    hits = materialize(found.join(known, ["width", "win"], "left_semi"), "windows-hit")
+    spans = hits.groupBy("key").agg(F.collect_list(F.struct("start", "width")).alias("hits")).select("key", F.arrow_udf(_merged, "array<int>")("hits").alias("spans"))
+    items = hits.select("key", "width", "win").distinct().join(rows.select("width", "win", "item_id"), ["width", "win"])
+    return spans.join(items.groupBy("key").agg(F.collect_set("item_id").alias("items")), "key")
+
+
 def contamination(
-    benchmark: DataFrame, text: Column, window: int = WINDOW, gram: int = GRAM, block_windows: int = BLOCK_WINDOWS
-) -> Column:
-    """Struct of a text: ``n_words``, ``spans`` (start and end word of each hit run in turn), ``items`` (ids)."""
+    benchmark: DataFrame, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shared_windows: int = SHARED_WINDOWS
+) -> DataFrame:
+    """Rows of ``docs`` as one struct ``row`` beside the struct ``found``.
+
+    It holds ``n_words``, ``spans`` (start and end word of each hit run in turn) and ``items`` (ids, of the type that they have).
+    """
     if not 1 <= gram <= window:
         raise ValueError("a gram is at most as long as the window")
     spark = benchmark.sparkSession
-    rows = benchmark_windows(benchmark, window, gram).persist()
-    blocks = max(1, -(-rows.count() // block_windows))
-    parts = []
-    for k in range(blocks):
-        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("win", "item_id"), F.lit(blocks)) == k)
-        packed = spark.sparkContext.broadcast(_pack(block.toArrow(), window))
-        parts.append(_annotate(packed, window, gram)(text))
-    rows.unpersist()
-    if blocks == 1:
-        return parts[0]
-    return F.struct(
-        parts[0]["n_words"].alias("n_words"),
-        F.arrow_udf(_merge_spans, "array<int>")(F.concat(*(p["spans"] for p in parts))).alias("spans"),
-        F.array_distinct(F.concat(*(p["items"] for p in parts))).alias("items"),
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    id_type = benchmark.schema["item_id"].dataType.simpleString()
+    rows = materialize(benchmark_windows(benchmark, window, gram), "benchmark-windows")
+    if rows.count() <= shared_windows:
+        packed = spark.sparkContext.broadcast(_pack(rows.toArrow(), window))
+        return docs.select(row, _annotate(packed, id_type, window, gram)(F.col("text")).alias("found"))
+    hits = materialize(_hits_by_join(rows, docs.select("text"), window, gram), "windows-found")
+    found = F.struct(
+        F.arrow_udf(_count_words, "bigint")("d.row.text").alias("n_words"), F.coalesce("h.spans", F.array().cast("array<int>")).alias("spans"),
+        F.coalesce("h.items", F.array().cast(f"array<{id_type}>")).alias("items"),
     )
+    joined = docs.select(row).alias("d").join(hits.alias("h"), F.xxhash64("d.row.text") == F.col("h.key"), "left")
+    return joined.select("row", found.alias("found"))
 
 
 def words_in(spans: Column) -> Column:

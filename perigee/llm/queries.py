@@ -60,12 +60,12 @@ def op5_source_mix(spark, sf_dir):
 
 def op6_decontaminate(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    found = decontaminate.contamination(_read(spark, sf_dir, "benchmark"), F.col("text"))
-    ids = F.array_sort(F.transform(F.col("c.items"), lambda i: i.cast("string")))
-    return docs.select("doc_id", found.alias("c")).select(
-        "doc_id", "c.n_words", decontaminate.words_in(F.col("c.spans")).alias("n_hit"),
-        F.size("c.items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.size("c.spans") > 0).alias("contaminated"),
+    found = decontaminate.contamination(_read(spark, sf_dir, "benchmark"), docs)
+    ids = F.array_sort(F.transform(F.col("found.items"), lambda i: i.cast("string")))
+    return found.select(
+        "row.doc_id", "found.n_words", decontaminate.words_in(F.col("found.spans")).alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.size("found.spans") > 0).alias("contaminated"),
     )
 
 

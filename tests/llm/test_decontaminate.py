@@ -35,24 +35,29 @@ def expected(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 7])
-def test_agrees_with_search(spark, documents, block):
+@pytest.mark.parametrize("shared", [1_000_000, 7])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_agrees_with_search(spark, documents, shared, kind):
     rng = random.Random(3)
     texts = texts_with_repeats(21)
     items = [(1, texts[-1]), (2, "Ünïcode, SS"), (3, None), (4, ""), (5, "... !"), (6, words(rng, 12)), (1, texts[-1]),
              (7, "w1"), (None, words(rng, 30)), (8, texts[-2][500:700])]
     texts += [f"before {items[5][1].upper()} after", items[8][1], words(rng, 5) + "; ünïcode -- ss, " + words(rng, 5)]
-    table = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.contamination(table, F.col("text"), block_windows=block)
-    rows = documents(list(enumerate(texts))).select("doc_id", found.alias("c")).select(
-        "doc_id", "c.*", decontaminate.words_in(F.col("c.spans")).alias("n_hit")).collect()
+    texts += texts[-3:] * 20
+    if kind == "string":
+        items = [(None if i is None else f"item-{i}", t) for i, t in items]
+    table = spark.createDataFrame(items, f"item_id {kind}, text string")
+    rows = decontaminate.contamination(table, documents(list(enumerate(texts))), shared_windows=shared).select(
+        "row.doc_id", "found.*", decontaminate.words_in(F.col("found.spans")).alias("n_hit")).collect()
+    assert len(rows) == len(texts)
     for r, e in zip(sorted(rows), expected(texts, items)):
         assert (r.n_words, r.n_hit, sorted(r["items"])) == e
 
 
-def test_empty_tables(spark, documents):
+@pytest.mark.parametrize("shared", [1_000_000, 0])
+def test_empty_tables(spark, documents, shared):
     nothing = spark.createDataFrame([], "item_id long, text string")
-    found = decontaminate.contamination(nothing, F.col("text"))
-    assert documents([(1, "a b")]).select(F.size(found["spans"])).first()[0] == 0
+    found = decontaminate.contamination(nothing, documents([(1, "a b"), (2, None)]), shared_windows=shared - 1)
+    assert [r[0] for r in found.select(F.size("found.spans")).collect()] == [0, 0]
     some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    assert documents([]).select(decontaminate.contamination(some, F.col("text"))).count() == 0
+    assert decontaminate.contamination(some, documents([]), shared_windows=shared).count() == 0
