@@ -38,8 +38,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share no window of words with a benchmark item."""
     prepare(spark)
-    found = decontaminate.contamination(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs["text"])
-    return docs.where(F.size(found["spans"]) == 0)
+    found = decontaminate.contamination(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs)
+    return found.where(F.size("found.spans") == 0).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
