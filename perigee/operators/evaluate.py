@@ -13,6 +13,9 @@ from perigee.functions.numeric import abs_z, as_column
 from perigee.operators.gate import Stats
 from perigee.operators.order import exact_percentiles
 
+# Accuracy of a KLL sketch: 16 kB or so, whatever the number of rows.
+SKETCH_K = 2000
+
 
 def confusion(df: DataFrame, label: str = "Label", pred: str = "pred") -> DataFrame:
     """Row counts by (true, predicted): the only pass over data any metric here needs."""
@@ -99,6 +102,31 @@ def percentile_threshold(
     return found[normal][0] if normal in found else math.nan
 
 
+def threshold_sketches(
+    calibration: DataFrame, batch: str, error: str = "error", label: str = "Label", k: int = SKETCH_K, normal: int = fv.NORMAL_LABEL,
+) -> DataFrame:
+    """(batch, sketch): a KLL sketch of the errors of the Normal rows of each batch, to be stored and merged later.
+
+    NULL and NaN errors are left out.  A batch without Normal rows has no row.
+    """
+    value = F.col(error).cast("double")
+    kept = calibration.where((F.col(label) == normal) & value.isNotNull() & ~F.isnan(value))
+    return kept.groupBy(batch).agg(F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"))
+
+
+def merged_threshold(sketches: DataFrame, share: float = fv.CALIBRATION_PERCENTILE, k: int = SKETCH_K) -> DataFrame:
+    """One row (n, threshold) from stored sketches: an error whose rank is near ``share``, without reading a row again.
+
+    The rank is off by about 3 / k of all rows at most (99 %); ``percentile_threshold`` gives the exact value.  No sketches: NULL.
+    """
+    merged = sketches.agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("s"), F.count(F.lit(1)).alias("batches"))
+    some = F.col("batches") > 0
+    return merged.select(
+        F.when(some, F.kll_sketch_get_n_double("s")).alias("n"),
+        F.when(some, F.kll_sketch_get_quantile_double("s", F.lit(float(share)))).alias("threshold"),
+    )
+
+
 def adaptive_threshold(
     calibration: DataFrame, error: str = "error", label: str = "Label",
     sigmas: float = fv.CALIBRATION_SIGMAS, normal: int = fv.NORMAL_LABEL,

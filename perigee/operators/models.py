@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigee import fixed_values as fv
@@ -17,7 +17,8 @@ from perigee.functions.numeric import argmax, round_exact, sum_balanced
 from perigee.operators.features import fit_scaler, scaled_columns
 from perigee.operators.gate import column_stats
 from perigee.operators.lookup import with_class_name
-from perigee.session import fixed_partitions
+from perigee.operators.order import permutation_key, with_dense_index
+from perigee.session import fixed_partitions, materialize
 from perigee.sources.artifacts import stats_map
 from perigee.sources.dims import local_table
 
@@ -73,6 +74,35 @@ def feature_importance(spark: SparkSession, model: PipelineModel, features: Sequ
     )
 
 
+def permuted(df: DataFrame, features: Sequence[str], idx: str = "seq", seed: int = fv.SEED) -> DataFrame:
+    """The rows once as they are (``permuted`` NULL) and once per feature with its values dealt out anew among the rows.
+
+    One seeded permutation of the rows serves all features: a row takes the value of the row that stands at its place in
+    the seeded order of ``idx``, so each value is used once.  ``idx`` is unique.
+    """
+    own = with_dense_index(df, [idx], out="_place")
+    key = permutation_key(idx, seed)
+    donors = with_dense_index(df.select(idx, *[F.col(name).alias(f"_{name}") for name in features]), [key, F.col(idx)], out="_place")
+    both = own.join(donors.drop(idx), "_place")
+    chosen = F.explode(F.array(F.lit(None).cast("string"), *map(F.lit, features))).alias("permuted")
+    copies = both.select("*", chosen)
+    values = {name: F.when(F.col("permuted") == name, F.col(f"_{name}")).otherwise(F.col(name)) for name in features}
+    return copies.withColumns(values).select(*df.columns, "permuted")
+
+
+def permutation_importance(
+    df: DataFrame, model: PipelineModel, features: Sequence[str], label: str = "Label", idx: str = "seq", seed: int = fv.SEED,
+) -> DataFrame:
+    """(feature, accuracy, importance): accuracy with the feature permuted, and what was lost by that; one scoring plan for all."""
+    scored = score(permuted(df.select(idx, *features, label), features, idx, seed), model)
+    hits = scored.groupBy("permuted").agg(F.avg((F.col("predicted_label") == F.col(label)).cast("double")).alias("accuracy"))
+    hits = materialize(hits, "permutation")
+    # One row per feature and one more: a window over all of them is small.
+    base = F.max(F.when(F.col("permuted").isNull(), F.col("accuracy"))).over(Window.partitionBy())
+    return hits.withColumn("importance", base - F.col("accuracy")).where("permuted IS NOT NULL").select(
+        F.col("permuted").alias("feature"), "accuracy", "importance")
+
+
 class AnomalyModel:
     """Linear reconstruction of scaled Normal rows; the error is low for normal-like rows."""
 

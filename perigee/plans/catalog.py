@@ -372,6 +372,18 @@ def threshold_percentile(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(threshold), 6).alias("threshold"))
 
 
+def threshold_merged(spark, sf_dir):
+    """The threshold from sketches of daily batches: rows sketched, and whether its exact rank is within the bound."""
+    rows = _errors(spark, sf_dir).withColumn("batch", F.col("seq") % 7)
+    stored = materialize(ev.threshold_sketches(rows, "batch"), "threshold-sketches")
+    found = ev.merged_threshold(stored).first()
+    normal = rows.where((F.col("Label") == fv.NORMAL_LABEL) & F.col("error").isNotNull())
+    below, upto = (F.avg((c).cast("double")) for c in (F.col("error") < found["threshold"], F.col("error") <= found["threshold"]))
+    slack = 3 / ev.SKETCH_K
+    within = (below <= fv.CALIBRATION_PERCENTILE + slack) & (upto >= fv.CALIBRATION_PERCENTILE - slack)
+    return normal.agg(F.lit(found["n"]).cast("long").alias("sketched"), within.alias("within_bound"))
+
+
 def threshold_adaptive(spark, sf_dir):
     return rounded(ev.adaptive_threshold(_errors(spark, sf_dir)), "threshold")
 
@@ -553,6 +565,21 @@ def importance(spark, sf_dir):
     return models.feature_importance(spark, _classifier(spark, sf_dir), FEATURES)
 
 
+def importance_permuted(spark, sf_dir):
+    """What each feature is worth to the model on rows that it was not trained on."""
+    _, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    return models.permutation_importance(noised, _classifier(spark, sf_dir), FEATURES)
+
+
+def permuted_features(spark, sf_dir):
+    """What any permutation keeps: all rows, and the sum of the permuted feature."""
+    _, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    copies = models.permuted(noised.select("seq", *FEATURES), FEATURES).where("permuted IS NOT NULL")
+    value = F.coalesce(*[F.when(F.col("permuted") == name, F.col(name).cast("double")) for name in FEATURES])
+    found = copies.groupBy(F.col("permuted").alias("feature")).agg(F.count("*").alias("rows"), F.sum(value).alias("total"))
+    return rounded(found, "total", places=3)
+
+
 def importance_sum(spark, sf_dir):
     """What holds for the importances of any forest: one per feature, none negative, 1 in all."""
     return importance(spark, sf_dir).agg(
@@ -997,6 +1024,6 @@ QUERIES: dict[str, Query] = {
         incident_precedent, similar_by_blocks, wide_baseline, wide_gate, discovered_files, manifest_files, noised_features,
         table_versions, results_by_key, boosted_score, boosted_predictions, boosted_comparison, metrics_agree, sequence_predictions,
         traffic_windows, stream_traffic_windows, stream_sessions, stream_accounts, stream_triage_once, stream_last_n_by_key, csv_quarantine,
-        incident_inputs,
+        incident_inputs, threshold_merged, importance_permuted, permuted_features,
     ]
 }

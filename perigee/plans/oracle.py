@@ -421,6 +421,10 @@ ORACLE["csv_quarantine"] = _with(PROXY) + """SELECT CASE WHEN seq % 13 = 4 THEN
   WHEN seq % 19 = 6 THEN seq || ',n/a,' || CAST(CmdCode AS BIGINT) || ',' || Label ELSE CAST(seq AS VARCHAR) END AS line,
   CASE WHEN bad IS NULL THEN MsgId END AS MsgId, CASE WHEN bad IS NULL THEN CmdCode END AS CmdCode, CASE WHEN bad IS NULL THEN Label END AS Label, bad AS reason
 FROM (SELECT *, CASE WHEN seq % 13 = 4 THEN '2 fields instead of 4' WHEN seq % 19 = 6 THEN 'a field is not of its type' END AS bad FROM proxy) b"""
+ORACLE["threshold_merged"] = _with(PROXY, _ERRORS) + "SELECT count(*) AS sketched, true AS within_bound FROM errors WHERE Label = 0"
+ORACLE["permuted_features"] = _with(PROXY, _SPLITS) + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, count(*) AS rows, round(CAST(sum({f}) AS DOUBLE), 3) AS total FROM noised" for f in FEATURES
+)
 ORACLE["incident_inputs"] = _with(PROXY) + """SELECT seq, error AS contract_error, CASE WHEN error IS NULL THEN confidence END AS typed_confidence FROM (
   SELECT seq, confidence, CASE WHEN seq % 17 = 3 AND seq % 29 = 5 THEN 'missing or of another type: confidence,autonomous'
     WHEN seq % 17 = 3 THEN 'missing or of another type: confidence' WHEN seq % 29 = 5 THEN 'missing or of another type: autonomous'

@@ -124,3 +124,39 @@ def test_anomaly_fit_keeps_rows_with_a_missing_feature(raw):
     axes = np.linalg.svd(filled - filled.mean(axis=0), full_matrices=False)[2][:2]
     got = np.array(model.components)
     assert np.allclose(np.abs((got * axes).sum(axis=1)), 1.0, atol=1e-8)
+
+
+def test_permuted_values_are_dealt_once_each(raw):
+    rows = models.permuted(raw.drop("Label"), NAMES).collect()
+    plain = sorted((r.seq, r.a, r.b, r.c) for r in rows if r.permuted is None)
+    assert plain == sorted((r.seq, r.a, r.b, r.c) for r in raw.collect())
+    for at, name in enumerate(NAMES, 1):
+        copy = sorted((r.seq, r.a, r.b, r.c) for r in rows if r.permuted == name)
+        assert sorted(r[at] for r in copy) == sorted(r[at] for r in plain)
+        assert [r[:at] + r[at + 1:] for r in copy] == [r[:at] + r[at + 1:] for r in plain]
+        assert sum(x != y for x, y in zip(copy, plain)) > 500
+
+
+def test_permutation_importance_of_a_noise_column(raw):
+    with_noise = raw.withColumn("noise", F.rand(3)).persist()
+    names = [*NAMES, "noise"]
+    model = models.train_classifier(with_noise, names, trees=10)
+    found = {r.feature: r for r in models.permutation_importance(with_noise, model, names).collect()}
+    assert set(found) == set(names)
+    assert abs(found["noise"].importance) < 0.05 < max(found[n].importance for n in NAMES)
+    permuted = models.score(models.permuted(with_noise, names), model)
+    permuted.createOrReplaceTempView("permuted_scores")
+    hits = "SELECT avg(CAST(Label = predicted_label AS DOUBLE)) FROM permuted_scores WHERE permuted = 'a'"
+    assert found["a"].accuracy == pytest.approx(raw.sparkSession.sql(hits).first()[0])
+
+
+def test_merged_sketches_keep_the_rank(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.exponential(size=40_000), np.full(20_000, 0.5)])
+    rows = spark.createDataFrame([(int(i % 9), float(v), 0) for i, v in enumerate(values)] + [(1, None, 0), (2, float("nan"), 0), (3, 99.0, 1)],
+                                 "batch int, error double, Label int")
+    sketches = ev.threshold_sketches(rows, "batch")
+    got = ev.merged_threshold(sketches, 0.95).first()
+    assert sketches.count() == 9 and got.n == 60_000
+    assert (values < got.threshold).mean() <= 0.95 + 3 / ev.SKETCH_K and (values <= got.threshold).mean() >= 0.95 - 3 / ev.SKETCH_K
+    assert ev.merged_threshold(sketches.limit(0)).first().threshold is None
