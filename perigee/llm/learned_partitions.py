@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample the graph of nearest neighbours is cut into balanced partitions; a softmax
+On a sample of 4,096 rows, or 32 a partition if that is more (8,192 at most), the graph of nearest neighbours is cut into balanced partitions; a softmax
 classifier then learns from a vector to which partitions its neighbours belong.  Every row is stored in its most
 probable partition.  A query goes to the most probable ones, as many as reached ``recall`` on the
 sample and more until these hold ``k`` vectors besides itself, and is ranked there by exact inner products.
@@ -28,7 +28,10 @@ from perigee.session import materialize
 
 SAMPLE_ROWS = 4096
 PART_ROWS = 4096
+LEAST_PARTS = 8
 MOST_PARTS = 256
+# Rows of the sample for each partition, and vectors that a small table has for each.
+SAMPLE_PER_PART = 32
 RECALL = 0.95
 BLOCK_ROWS = 8192
 NEIGHBOURS = 20
@@ -208,6 +211,11 @@ def _search(table: pa.Table, keep: int) -> pa.Table:
     return pa.table(dict(zip(("cls", "vec_id", "score"), columns)))
 
 
+def partitions_for(n: int, part_rows: int = PART_ROWS) -> int:
+    """One partition for ``part_rows`` of ``n`` vectors, at least LEAST_PARTS where each gets SAMPLE_PER_PART, at most MOST_PARTS."""
+    return max(1, min(MOST_PARTS, max(n // part_rows, min(LEAST_PARTS, n // SAMPLE_PER_PART))))
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, vec_id: str = "vec_id", embedding: str = "embedding",
     sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS, recall: float = RECALL,
@@ -221,12 +229,14 @@ def nearest(
     queries = materialize(rows.where(is_query).join(classes, "x").select(F.col("vec_id").alias("query_id"), "cls"), "queries")
 
     n = classes.count()
+    parts = partitions_for(n, part_rows)
+    sample_rows = max(sample_rows, SAMPLE_PER_PART * parts)
     sample = classes.select("cls", "x").orderBy(F.xxhash64("cls"), "cls").limit(sample_rows).toArrow()
     if not n:
         return queries.select("query_id", F.lit(0).alias("rank"), F.col("cls").alias("vec_id"), F.lit(0.0).alias("score"))
     flat = sample["x"].combine_chunks()
     sampled = flat.flatten().to_numpy().reshape(len(flat), -1)
-    router = fit(sampled, max(1, min(MOST_PARTS, n // part_rows, len(sampled) // 32)), recall)
+    router = fit(sampled, parts, recall)
 
     stored = materialize(classes.withColumn("part", router.part(F.col("x"))), "vector-parts")
     # At most MOST_PARTS numbers; a class counts with the ids that it hands on.

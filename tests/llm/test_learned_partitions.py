@@ -21,7 +21,14 @@ def brute(ids, vectors, query, k):
     return [(i, -s) for s, i in order]
 
 
-def test_recall_on_the_given_table(spark):
+def test_the_number_of_partitions_follows_the_data():
+    assert [lp.partitions_for(n) for n in (0, 1, 63, 64, 500, 2000, 51_282, 10**6, 10**9)] == [1, 1, 1, 2, 8, 8, 12, 244, 256]
+
+
+def test_recall_on_the_given_table(spark, monkeypatch):
+    fitted = []
+    fit = lp.fit
+    monkeypatch.setattr(lp, "fit", lambda *given: fitted.append(fit(*given)) or fitted[-1])
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     ids, vectors = zip(*rows)
     found = {}
@@ -35,7 +42,8 @@ def test_recall_on_the_given_table(spark):
             assert [g[0] for g in got] == list(range(1, 21))
             hit += len({w[0] for w in want} & {g[1] for g in got})
             total += 20
-    assert hit / total >= 0.9
+    print("probes", fitted[0].probes, "of", len(fitted[0].bias), "recall", hit / total)
+    assert hit / total >= 0.9 and len(fitted[0].bias) == 8
 
 
 def test_several_partitions_and_blocks(spark):
