@@ -86,6 +86,13 @@ def _prepared(df: DataFrame, id_column: str, vector: str, name: str) -> DataFram
     return df.select(F.col(id_column).alias(name), F.col(vector).cast("array<double>").alias("v"))
 
 
+def commonest_width(base: DataFrame) -> tuple[int, int]:
+    """Length of the most vectors (the longer one of a tie) and their number."""
+    # One row at most, whatever lengths there are.
+    size = base.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("width")).limit(1).collect()
+    return (size[0]["width"], size[0]["rows"]) if size else (0, 0)
+
+
 def similar_incidents(
     queries: DataFrame,
     knowledge: DataFrame,
@@ -110,9 +117,7 @@ def similar_incidents(
     base = knowledge.where(F.col("type") == doc_type) if doc_type is not None else knowledge
     base = _prepared(base, base_id, base_vector, "b").where(_finite("v"))
     asked = _prepared(queries, query_id, query_vector, "q")
-    # One row at most, whatever lengths there are.
-    size = base.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("width")).limit(1).collect()
-    width, rows = (size[0]["width"], size[0]["rows"]) if size else (0, 0)
+    width, rows = commonest_width(base)
     fits = rows <= broadcast_rows and rows * width <= BROADCAST_VALUES
     base = base.where(F.size("v") == width)
     whole = _finite("v") & (F.size("v") == width)
@@ -150,9 +155,10 @@ def _by_broadcast(asked: DataFrame, base: DataFrame, k: int, metric: str) -> Dat
     return asked.mapInArrow(nearest, schema)
 
 
-def _numbered(count: int) -> Column:
+def _numbered(count: int | Column) -> Column:
     """One row per number below ``count``."""
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    count = F.lit(count) if isinstance(count, int) else count
+    return F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long")))
 
 
 def _by_blocks(asked: DataFrame, base: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:

@@ -17,7 +17,7 @@ from perigee.functions.numeric import argmax, mean_squared_error, percent_text,
 from perigee.operators import evaluate as ev
 from perigee.operators import features as fx
 from perigee.operators import gate as gt
-from perigee.operators import boosting, lookup, models, order, profile, refresh, sequences, similarity
+from perigee.operators import boosting, lookup, models, order, profile, refresh, sequences, similarity, similarity_index
 from perigee.plans import training
 from perigee.plans.triage import (
     JSON_OPTIONS, assemble, flatten_incidents, incidents_as_json, parse_incidents, triage, triage_or_quarantine, with_precedent,
@@ -816,6 +816,31 @@ def similar_by_blocks(spark, sf_dir):
     return rounded(found, "distance")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and what the index finds for each of them among the incidents."""
+    vectors = proxy.read(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("label") >= 5, "incident").otherwise("class_mapping").alias("type")
+    )
+    index = similarity_index.build_index(vectors, base_id="vec_id")
+    return vectors, similarity_index.search_index(index, vectors, query_id="vec_id")
+
+
+def similar_by_index(spark, sf_dir):
+    """As ``similar_incidents``, by the index: nearly all of its rows, with exact distances."""
+    return rounded(_indexed(spark, sf_dir)[1], "distance")
+
+
+def index_recall(spark, sf_dir):
+    """What holds for any index: rows for every query, and nine tenths of what the exact search finds, or more."""
+    vectors, found = _indexed(spark, sf_dir)
+    found = materialize(found, "by-index")
+    exact = similarity.similar_incidents(vectors, vectors, query_id="vec_id", base_id="vec_id", keep_unmatched=False)
+    recall = similarity_index.measured_recall(found, exact, "vec_id")
+    return found.agg(
+        F.countDistinct("vec_id").alias("queries"), F.count(F.lit(1)).alias("rows"), F.lit(recall >= 0.9).alias("recall_reached")
+    )
+
+
 def wide_baseline(spark, sf_dir):
     """Baseline of all 22 features over order lines."""
     return rounded(gt.baseline_stats(proxy.wide(spark, sf_dir), fv.FEATURES), "mean", "std")
@@ -1025,5 +1050,6 @@ QUERIES: dict[str, Query] = {
         table_versions, results_by_key, boosted_score, boosted_predictions, boosted_comparison, metrics_agree, sequence_predictions,
         traffic_windows, stream_traffic_windows, stream_sessions, stream_accounts, stream_triage_once, stream_last_n_by_key, csv_quarantine,
         incident_inputs, threshold_merged, importance_permuted, permuted_features,
+        similar_by_index, index_recall,
     ]
 }

@@ -429,3 +429,5 @@ ORACLE["incident_inputs"] = _with(PROXY) + """SELECT seq, error AS contract_erro
   SELECT seq, confidence, CASE WHEN seq % 17 = 3 AND seq % 29 = 5 THEN 'missing or of another type: confidence,autonomous'
     WHEN seq % 17 = 3 THEN 'missing or of another type: confidence' WHEN seq % 29 = 5 THEN 'missing or of another type: autonomous'
     WHEN seq % 31 = 4 THEN 'confidence outside 0 to 1' WHEN seq % 23 = 2 THEN 'unknown class: Solar Flare' END AS error FROM proxy) e"""
+ORACLE["index_recall"] = """SELECT count(*) AS queries, sum(least(2, (SELECT count(*) FROM embeddings WHERE label >= 5)))::BIGINT AS rows,
+  true AS recall_reached FROM embeddings"""
