@@ -17,7 +17,7 @@ from perigee.functions.numeric import argmax, mean_squared_error, percent_text,
 from perigee.operators import evaluate as ev
 from perigee.operators import features as fx
 from perigee.operators import gate as gt
-from perigee.operators import boosting, lookup, models, order, profile, refresh, sequences, similarity, similarity_index
+from perigee.operators import autoencoder, boosting, lookup, models, order, profile, refresh, sequences, similarity, similarity_index
 from perigee.plans import training
 from perigee.plans.triage import (
     JSON_OPTIONS, assemble, flatten_incidents, incidents_as_json, parse_incidents, triage, triage_or_quarantine, with_precedent,
@@ -666,6 +666,18 @@ def anomaly_score(spark, sf_dir):
     return models.train_anomaly(raw, FEATURES, components=2).error(noised).select("seq", "Label", "error")
 
 
+def autoencoder_errors(spark, sf_dir):
+    """What holds for the non-linear model: an error for each row, and on Normal rows no more of it than the linear model leaves."""
+    raw, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    model = autoencoder.train_autoencoder(raw, FEATURES, components=2, rounds=30)
+    both = materialize(model.error(model.linear.error(raw, "linear")).select("Label", "linear", "error"), "both-errors")
+    scored = materialize(model.error(noised).select("seq", "error"), "noised-errors")
+    normal = both.where(F.col("Label") == fv.NORMAL_LABEL).agg((F.avg("error") <= F.avg("linear") * (1 + 1e-9)).alias("no_worse")).first()
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("error") >= 0, 1)).alias("errors"), F.lit(normal["no_worse"]).alias("no_worse")
+    )
+
+
 def _ordered_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both splits with ``seq`` made dense, as sequences need it."""
     rows = proxy.telemetry(spark, sf_dir).select("seq", *FEATURES, "Label")
@@ -1050,6 +1062,6 @@ QUERIES: dict[str, Query] = {
         table_versions, results_by_key, boosted_score, boosted_predictions, boosted_comparison, metrics_agree, sequence_predictions,
         traffic_windows, stream_traffic_windows, stream_sessions, stream_accounts, stream_triage_once, stream_last_n_by_key, csv_quarantine,
         incident_inputs, threshold_merged, importance_permuted, permuted_features,
-        similar_by_index, index_recall,
+        similar_by_index, index_recall, autoencoder_errors,
     ]
 }

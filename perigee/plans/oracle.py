@@ -431,3 +431,4 @@ ORACLE["incident_inputs"] = _with(PROXY) + """SELECT seq, error AS contract_erro
     WHEN seq % 31 = 4 THEN 'confidence outside 0 to 1' WHEN seq % 23 = 2 THEN 'unknown class: Solar Flare' END AS error FROM proxy) e"""
 ORACLE["index_recall"] = """SELECT count(*) AS queries, sum(least(2, (SELECT count(*) FROM embeddings WHERE label >= 5)))::BIGINT AS rows,
   true AS recall_reached FROM embeddings"""
+ORACLE["autoencoder_errors"] = _with(PROXY, _SPLITS) + "SELECT count(*) AS rows, count(*) AS errors, true AS no_worse FROM noised"
