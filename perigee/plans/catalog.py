@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from perigee import fixed_values as fv
 from perigee.functions import incident as rec
 from perigee.functions import sql as sql_functions
+from perigee.functions import sql_tools
 from perigee.functions.numeric import argmax, mean_squared_error, percent_text, round_exact, thousands_text
 from perigee.operators import evaluate as ev
 from perigee.operators import features as fx
@@ -828,6 +829,44 @@ def similar_by_blocks(spark, sf_dir):
     return rounded(found, "distance")
 
 
+def record_sql(spark, sf_dir):
+    """From the gate to the incident record in one SQL statement."""
+    rows = _classified(spark, sf_dir)
+    stats = _stats(proxy.telemetry(spark, sf_dir))
+    sql_functions.register(spark, stats, FEATURES, PROXY_Z)
+    sql_tools.register_record(spark, stats, FEATURES)
+    rows.createOrReplaceTempView("perigee_rows")
+    names = ", ".join(FEATURES)
+    return spark.sql(
+        "SELECT seq, r.incident_id, r.classification.class_name, r.classification.confidence, r.classification.severity, r.sparta_context.tactic_id, "
+        "r.sparta_context.technique_id, r.mitigation.recommended_action, r.mitigation.autonomous_execution, r.mitigation.guardrail_fired, "
+        "r.false_positive_risk.fp_risk_score, r.false_positive_risk.risk_note, element_at(r.shap_drivers, 1).feature_name AS top_feature "
+        f"FROM (SELECT seq, assemble_record(seq, ts, predicted_label, class_name, confidence, {names}) AS r "
+        f"FROM perigee_rows WHERE check_escalation({names}))"
+    )
+
+
+def classify_sql(spark, sf_dir):
+    """The forest as an SQL function: label and confidence of every row, and whether they are those of the scoring plan."""
+    _, noised = proxy.splits(proxy.telemetry(spark, sf_dir))
+    model = _classifier(spark, sf_dir)
+    sql_tools.register_classifier(spark, model, FEATURES)
+    models.score(noised, model).createOrReplaceTempView("perigee_scored")
+    return spark.sql(
+        "SELECT seq, Label, c.predicted_label = predicted_label AS same_label, c.confidence = confidence AS same_confidence "
+        f"FROM (SELECT *, classify({', '.join(FEATURES)}) AS c FROM perigee_scored)"
+    )
+
+
+def search_sql(spark, sf_dir):
+    """The incidents nearest to the first vector, by an SQL table function over all vectors."""
+    vectors = proxy.read(spark, sf_dir, "embeddings")
+    sql_tools.register_search(spark, vectors.where("label >= 5"), base_id="vec_id", doc_type=None, k=20)
+    asked = vectors.orderBy("vec_id").select(F.col("embedding").cast("array<double>").alias("v")).first()["v"]
+    found = spark.sql(f"SELECT * FROM search_incidents(array({', '.join(f'{x!r}D' for x in asked)}))")
+    return rounded(found, "distance")
+
+
 def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All vectors, and what the index finds for each of them among the incidents."""
     vectors = proxy.read(spark, sf_dir, "embeddings").select(
@@ -1062,6 +1101,6 @@ QUERIES: dict[str, Query] = {
         table_versions, results_by_key, boosted_score, boosted_predictions, boosted_comparison, metrics_agree, sequence_predictions,
         traffic_windows, stream_traffic_windows, stream_sessions, stream_accounts, stream_triage_once, stream_last_n_by_key, csv_quarantine,
         incident_inputs, threshold_merged, importance_permuted, permuted_features,
-        similar_by_index, index_recall, autoencoder_errors,
+        similar_by_index, index_recall, autoencoder_errors, record_sql, classify_sql, search_sql,
     ]
 }

@@ -432,3 +432,9 @@ ORACLE["incident_inputs"] = _with(PROXY) + """SELECT seq, error AS contract_erro
 ORACLE["index_recall"] = """SELECT count(*) AS queries, sum(least(2, (SELECT count(*) FROM embeddings WHERE label >= 5)))::BIGINT AS rows,
   true AS recall_reached FROM embeddings"""
 ORACLE["autoencoder_errors"] = _with(PROXY, _SPLITS) + "SELECT count(*) AS rows, count(*) AS errors, true AS no_worse FROM noised"
+ORACLE["record_sql"] = f"""SELECT seq, incident_id, class_name, confidence, severity, tactic_id, technique_id, recommended_action, autonomous_execution,
+  guardrail_fired, fp_risk_score, risk_note, top_feature FROM ({ORACLE["incident_record"]}) r"""
+ORACLE["classify_sql"] = _with(PROXY, _SPLITS) + "SELECT seq, Label, true AS same_label, true AS same_confidence FROM noised"
+ORACLE["search_sql"] = """SELECT CAST(row_number() OVER (ORDER BY d, match_id) AS INTEGER) AS rank, match_id, round(d, 6) AS distance FROM (
+  SELECT b.vec_id AS match_id, pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2) AS d
+  FROM embeddings b, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q WHERE b.label >= 5 ORDER BY d, match_id LIMIT 20) n"""
