@@ -20,6 +20,11 @@ def _remainder(doc_id: str, by: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(by))
 
 
+def _held_out(by: int, remainder: int):
+    """Whether labels of the row are kept from training; rows without an id have none and count as not held out."""
+    return F.coalesce(_remainder("doc_id", by) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_learned_partitions(spark, sf_dir):
     return learned_partitions.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -73,7 +78,7 @@ def op7_toxicity(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").where(_remainder("doc_id", 4) != 2)
     score = toxicity.fit(docs, labels).score(spark, F.col("text"))
-    return docs.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score")).withColumn(
+    return docs.select("doc_id", _held_out(4, 2), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int")
     )
 
@@ -83,7 +88,7 @@ def op8_quality(spark, sf_dir):
     rows = materialize(docs.select("doc_id", quality.statistics(F.col("text")).alias("x")), "statistics")
     labels = _read(spark, sf_dir, "labels").where(_remainder("doc_id", 5) != 0)
     model = quality.fit(rows.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id"))
-    return rows.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), model.score(F.col("x")).alias("score")).withColumn(
+    return rows.select("doc_id", _held_out(5, 0), model.score(F.col("x")).alias("score")).withColumn(
         "predicted", (F.col("score") >= quality.THRESHOLD).cast("int")
     )
 
