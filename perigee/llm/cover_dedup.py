@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import arrays as ar
-from perigee.llm.repeats import repeats
+from perigee.llm.repeats import BUCKET_BYTES, buckets_of, repeats
 from perigee.session import materialize
 
 WINDOW = 20
@@ -31,6 +31,8 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 GRAM = WINDOW - PERIOD + 1
 LAST = (1 << 63) - 1
+# Two words take three bytes at least.
+WORD_BUCKET_BYTES = 2 * BUCKET_BYTES
 
 
 def _stretches(batch: pa.RecordBatch):
@@ -110,14 +112,17 @@ def _cut(column: pa.Array, windows: pa.Array) -> pa.Array:
     )
 
 
-def removed_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept_sha256) for each row of (doc_id, text); spans are start and end words in turn."""
+def removed_words(docs: DataFrame, bucket_bytes: int = WORD_BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, kept_sha256) for each row of (doc_id, text); spans are start and end words in turn.
+
+    ``bucket_bytes`` is the text behind a bucket of hashes.
+    """
     base = docs.select(
         "doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("ord")
     )
-    anchors = repeats(base.select("row", "text"), _anchors).select("row", F.col("pos").alias("anchors"))
+    anchors = repeats(base.select("row", "text"), _anchors, buckets_of(docs, bucket_bytes)).select("row", F.col("pos").alias("anchors"))
     held = materialize(base.join(anchors, "row").select("row", "ord", "text", "anchors"), "cover-held")
-    windows = repeats(held, _windows, later=True).select("row", F.col("pos").alias("windows"))
+    windows = repeats(held, _windows, buckets_of(held, bucket_bytes), later=True).select("row", F.col("pos").alias("windows"))
     cut = held.select("row", "text").join(windows, "row").select("row", F.arrow_udf(
         _cut, "n_removed BIGINT, sha256 STRING, spans ARRAY<BIGINT>")("text", "windows").alias("c"))
     cut = cut.dropDuplicates(["row"])

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from perigee.llm import arrays as ar
 
@@ -19,12 +20,18 @@ from perigee.llm import arrays as ar
 OPEN, KNOWN, SETTLED = 0, 1, 2
 # Entries in the order of (row, pos): each row once with its number of entries, positions as steps.
 PACKED = "bucket int, hash binary, state binary, row binary, ord binary, n binary, step binary"
+# Text behind a bucket: entries take 33 bytes each, so a task holds some 300 MB where every byte starts one (rare) and far less of words.
+BUCKET_BYTES = 8 << 20
 Places = Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
-def buckets_of(df: DataFrame) -> int:
-    """As many as there are shuffle partitions: set these so that a bucket's entries fit a task."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def buckets_of(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """As many as the bytes of ``text`` need, counted, and at least one for each shuffle partition.
+
+    Hashes spread entries evenly, and there is at most one for each byte: a bucket holds about ``bucket_bytes`` of them or fewer.
+    """
+    total = df.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
 
 
 def runs(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -106,14 +113,14 @@ def _by_row(row, pos):
     return row[edges[:-1]], pos, np.diff(edges)
 
 
-def repeats(df: DataFrame, places: Places, later: bool = False) -> DataFrame:
+def repeats(df: DataFrame, places: Places, buckets: int, later: bool = False) -> DataFrame:
     """(row, pos array): places with repeated hashes; with ``later`` all but the first place of each hash.
 
     ``places`` turns a batch of ``df`` into (hash, row of the batch, pos) arrays.  ``df`` has the key ``row`` and, for the
-    order of places, ``ord``, both long.
+    order of places, ``ord``, both long.  Hashes, and then reports, are dealt into ``buckets``, each loaded by one task.
     """
     settle = _settle_later if later else _settle_all
-    n = buckets_of(df)
+    n = buckets
 
     def pack(batches):
         for batch in batches:

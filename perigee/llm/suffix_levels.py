@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import arrays as ar
-from perigee.llm.repeats import _by_row, buckets_of, repeats, runs
+from perigee.llm.repeats import BUCKET_BYTES, _by_row, buckets_of, repeats, runs
 from perigee.session import materialize
 
 LENGTH = 400
 GRAM = 128
 BLOCK = 32
 BATCHES = 4
+# Of the bytes of a text about one in a hundred is an anchor; blocks and windows are counted apart.
+ANCHOR_STEP = 16
 # What an entry knows, as bits: its gram stands in other reaches too and it speaks for its own; its reach is repeated.
 PART, WHOLE = 1, 2
 ENTRY = ("outer", "inner", "row", "pos", "state")
@@ -159,12 +161,11 @@ def _dealt(numbers: np.ndarray, columns: list, sign: int):
         )
 
 
-def _entries(df: DataFrame, places) -> DataFrame:
+def _entries(df: DataFrame, places, buckets: int) -> DataFrame:
     """Entries of (row, ...) rows, each task's share sorted and thinned; reports carry negative buckets.
 
     ``places`` turns a batch into (outer, inner, row of the batch, pos) arrays.
     """
-    buckets = buckets_of(df)
 
     def pack(batches):
         for batch in batches:
@@ -217,10 +218,13 @@ def _reports(arrays: list[DataFrame]) -> DataFrame:
 
 
 class SuffixLevels:
-    """The family of arrays: ``add`` scans a batch against all levels, then merges equal ones."""
+    """The family of arrays: ``add`` scans a batch against all levels, then merges equal ones.
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram = length, gram
+    All its arrays are cut into the same ``buckets``, each loaded by one task: choose them for all that will be added.
+    """
+
+    def __init__(self, buckets: int, length: int = LENGTH, gram: int = GRAM):
+        self.buckets, self.length, self.gram = buckets, length, gram
         self.levels: dict[int, DataFrame] = {}
         self.scans: list[DataFrame] = []
 
@@ -232,7 +236,7 @@ class SuffixLevels:
     def add(self, docs: DataFrame) -> None:
         """Takes (row, text) of new documents."""
         length, gram = self.length, self.gram
-        new = self._written(_merge_scan(_entries(docs.select("row", "text"), lambda b: _anchor_places(b, length, gram))))
+        new = self._written(_merge_scan(_entries(docs.select("row", "text"), lambda b: _anchor_places(b, length, gram), self.buckets)))
         equal = []
         while len(equal) in self.levels:
             equal.append(self.levels.pop(len(equal)))
@@ -344,16 +348,21 @@ def _cut(batches, length: int, gram: int):
         ], ["row", "n_removed", "spans", "sha256"])
 
 
-def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept_sha256) for each row of (doc_id, text); spans are start and end bytes in turn."""
+def removed_bytes(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept_sha256) for each row of (doc_id, text); spans are start and end bytes in turn.
+
+    ``bucket_bytes`` is the text behind a bucket of windows; anchors and blocks are fewer, so their buckets stand for ``ANCHOR_STEP`` times as much.
+    """
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    levels = SuffixLevels(length, gram)
+    levels = SuffixLevels(buckets_of(docs, ANCHOR_STEP * bucket_bytes), length, gram)
     for k in range(batches):
         levels.add(base.where(F.pmod("row", F.lit(batches)) == k))
     held = materialize(base.join(levels.matches(), "row").select("row", "text", "codes"), "suffix-held")
-    blocks = _reports([_merge_scan(_entries(held, lambda b: _block_places(b, length, gram)))]).withColumnRenamed("codes", "blocks")
+    blocks = _reports([_merge_scan(_entries(held, lambda b: _block_places(b, length, gram), buckets_of(held, ANCHOR_STEP * bucket_bytes)))]).withColumnRenamed("codes", "blocks")
     parted = held.join(blocks, "row", "left")
-    singles = repeats(parted, lambda b: _single_places(b, length, gram)).select("row", F.col("pos").alias("singles"))
+    singles = repeats(parted, lambda b: _single_places(b, length, gram), buckets_of(held, bucket_bytes)).select("row", F.col("pos").alias("singles"))
     cut = parted.join(singles, "row", "left").mapInArrow(
         lambda it: _cut(it, length, gram), "row long, n_removed long, spans array<long>, sha256 string"
     ).dropDuplicates(["row"])

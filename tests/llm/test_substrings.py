@@ -8,7 +8,7 @@ import pytest
 from conftest_llm import texts_with_repeats
 from pyspark.sql import functions as F
 
-from perigee.llm import cover_dedup, suffix_levels
+from perigee.llm import cover_dedup, repeats, suffix_levels
 
 
 def bytes_expected(texts, length):
@@ -54,7 +54,7 @@ def test_empty_tables(documents):
 
 def test_levels_merge_geometrically(documents):
     docs = documents(list(enumerate(texts_with_repeats(5)))).select(F.xxhash64("doc_id").alias("row"), "text")
-    levels = suffix_levels.SuffixLevels(60, 20)
+    levels = suffix_levels.SuffixLevels(3, 60, 20)
     shapes = []
     for k in range(4):
         levels.add(docs.where(F.pmod("row", F.lit(4)) == k))
@@ -96,3 +96,21 @@ def test_cover_brings_any_two_positions_together():
     for i in range(period):
         for j in range(period):
             assert any((i + d) % period in cover and (j + d) % period in cover for d in range(period))
+
+
+def test_buckets_follow_the_bytes_of_the_texts(spark, documents):
+    rows = list(enumerate(texts_with_repeats(13, 60)))
+    docs = documents(rows)
+    total = sum(len((t or "").encode()) for _, t in rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert repeats.buckets_of(docs) == 1
+        assert repeats.buckets_of(docs, 500) == -(-total // 500) > 10
+        assert repeats.buckets_of(documents([]), 500) == repeats.buckets_of(documents([(1, None)]), 500) == 1
+        words = cover_dedup.removed_words(docs, 500).collect()
+        found = suffix_levels.removed_bytes(docs, 60, 20, 3, 100).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in words} == words_expected(rows)
+    expected = bytes_expected([t for _, t in rows], 60)
+    assert [(r.n_bytes, r.n_removed, len(r.spans) // 2, r.kept_sha256) for r in sorted(found, key=lambda r: r.doc_id)] == expected
