@@ -8,7 +8,7 @@ from conftest_llm import words
 from pyspark.sql import functions as F
 
 from perigee.llm import quality, toxicity
-from perigee.llm.queries import op7_toxicity, op8_quality
+from perigee.llm.queries import _held_out, op7_toxicity, op8_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -104,3 +104,9 @@ def test_empty_tables(spark, documents):
     model = toxicity.fit(documents([]), labels)
     assert documents([]).select(model.score(spark, F.col("text"))).count() == 0
     assert documents([]).select(quality.statistics(F.col("text"))).count() == 0
+
+
+def test_rows_without_id_are_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,)], "doc_id long").select("doc_id", _held_out(4, 2))
+    import zlib
+    assert {r.doc_id: r.held_out for r in rows.collect()} == {None: False, **{i: zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 2, 3, 4)}}
