@@ -1,6 +1,7 @@
 """Toxicity and quality on small labelled texts and, held out, on a given table."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -108,5 +109,4 @@ def test_empty_tables(spark, documents):
 
 def test_rows_without_id_are_not_held_out(spark):
     rows = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,)], "doc_id long").select("doc_id", _held_out(4, 2))
-    import zlib
     assert {r.doc_id: r.held_out for r in rows.collect()} == {None: False, **{i: zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 2, 3, 4)}}
