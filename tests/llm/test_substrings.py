@@ -114,3 +114,18 @@ def test_buckets_follow_the_bytes_of_the_texts(spark, documents):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in words} == words_expected(rows)
     expected = bytes_expected([t for _, t in rows], 60)
     assert [(r.n_bytes, r.n_removed, len(r.spans) // 2, r.kept_sha256) for r in sorted(found, key=lambda r: r.doc_id)] == expected
+
+
+def test_first_windows_over_several_tasks(documents):
+    """Rows whose repeats are settled in their own batch keep their place in the order of documents."""
+    draw = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    passages = [list(draw.choice(vocabulary, draw.integers(15, 60))) for _ in range(15)]
+    rows = []
+    for doc_id in draw.choice(np.arange(-500, 3000), 300, replace=False).tolist():
+        words = []
+        for _ in range(draw.integers(0, 9)):
+            words += passages[draw.integers(15)] if draw.random() < 0.5 else list(draw.choice(vocabulary, draw.integers(1, 30)))
+        rows.append((doc_id, " ".join(words)))
+    found = cover_dedup.removed_words(documents(rows).repartition(6)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == words_expected(sorted(rows))
