@@ -2,13 +2,14 @@
 
 The distance is squared L2 by default; inner product and cosine distances may be asked for.  A
 knowledge base below a checked size is sent to every task.  A larger one meets the queries in a
-grid of blocks of bounded size, each searched by one task that hands on its k best.  Both ways
+grid of blocks of bounded size: each side is written once in blocks, every pair of blocks is
+searched, and a task hands on the k best over all its pairs.  Both ways
 rank by one kernel whose sums do not depend on how rows were cut, so they give equal results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perigee import fixed_values as fv
+from perigee.session import materialize
 
 BROADCAST_ROWS = 50_000
 BROADCAST_VALUES = 8_000_000
@@ -24,6 +26,10 @@ BROADCAST_VALUES = 8_000_000
 BLOCK_VALUES = 1_000_000
 METRICS = ("l2sq", "ip", "cosine")
 QUERIES_AT_ONCE = 256
+# Distances held at once: 8 MB of doubles, of which the kernel holds a handful.
+DISTANCES_AT_ONCE = 1_000_000
+# Candidates that a task gathers for a block of queries before it keeps the best.
+CANDIDATES_AT_ONCE = 1_000_000
 
 
 def _exact(queries: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
@@ -56,8 +62,9 @@ def _nearest(queries: np.ndarray, base: np.ndarray, k: int, metric: str) -> tupl
     """
     found = [], [], []
     k = min(k, len(base))
-    for at in range(0, len(queries) if k else 0, QUERIES_AT_ONCE):
-        part = queries[at : at + QUERIES_AT_ONCE]
+    step = max(1, min(QUERIES_AT_ONCE, DISTANCES_AT_ONCE // max(1, len(base))))
+    for at in range(0, len(queries) if k else 0, step):
+        part = queries[at : at + step]
         rough, slack = _rough(part, base, metric)
         bound = np.partition(rough + slack, k - 1, axis=1)[:, k - 1 : k]
         q, b = np.nonzero(rough - slack <= bound)
@@ -161,31 +168,71 @@ def _numbered(count: int | Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long")))
 
 
+def in_blocks(df: DataFrame, name: str, blocks: int, *within: str, by: Column | None = None) -> DataFrame:
+    """``df`` dealt by the hash of ``name``, or by ``by``, into ``blocks`` rows, ``(block, rows)``; written, so that many tasks read it and none shuffles it again.
+
+    ``rows`` holds (within..., name, v) in that order.
+    """
+    pieces = max(1, min(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = df.withColumn("block", F.pmod(F.xxhash64(name) if by is None else by, F.lit(blocks))).repartition(pieces, "block")
+    return materialize(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*within, name, "v"))).alias("rows")), "blocks")
+
+
+def crossed(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every block of questions beside every block of documents: (j, questions, documents), the pairs of a j in a row in each task."""
+    right = documents.select(F.col("rows").alias("documents")).hint("shuffle_replicate_nl")
+    return questions.select(F.col("block").alias("j"), F.col("rows").alias("questions")).crossJoin(right)
+
+
+def best_of_pairs(batches: Iterator[pa.RecordBatch], k: int, near: Callable) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best (q, b, distance) of each question over all pairs of a task; ties to the smaller b, a pair found twice counts once.
+
+    ``near(j, questions, documents)`` gives (question row, document row, distance) of one pair.
+    """
+    held, now, ids = [], None, None
+
+    def best() -> pa.Table:
+        table = pa.concat_tables(held).sort_by([("at", "ascending"), ("distance", "ascending"), ("b", "ascending")])
+        if table.num_rows > 1:
+            here, before = table.slice(1), table.slice(0, table.num_rows - 1)
+            same = [pa.compute.equal(here[name], before[name]).to_numpy() for name in ("at", "b", "distance")]
+            table = table.filter(pa.array(np.append(True, ~np.logical_and.reduce(same))))
+        at = table["at"].to_numpy()
+        return table.filter(pa.array(np.arange(len(at)) - np.searchsorted(at, at) < k))
+
+    def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from pa.table({"q": ids.take(table["at"]), "b": table["b"], "distance": table["distance"]}).to_batches()
+
+    for batch in batches:
+        for j, questions, documents in zip(batch.column("j").to_pylist(), batch.column("questions"), batch.column("documents")):
+            if held and j != now:
+                yield from told(best())
+                held = []
+            questions, documents = questions.values, documents.values
+            now, ids = j, questions.field("q")
+            q, b, distance = near(j, questions, documents)
+            held.append(pa.table({"at": pa.array(q), "b": documents.field("b").take(pa.array(b)), "distance": pa.array(distance)}))
+            if sum(len(part) for part in held) > CANDIDATES_AT_ONCE:
+                held = [best()]
+    if held:
+        yield from told(best())
+
+
+def found_schema(q: T.DataType, b: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("q", q), T.StructField("b", b), T.StructField("distance", T.DoubleType())])
+
+
 def _by_blocks(asked: DataFrame, base: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
-    """Every block of queries meets every block of documents in a task of its own."""
-    rows = max(1, -(-base.count() // block_rows))
-    columns = max(1, -(-asked.count() // block_rows))
-    none = F.lit(None)
-    left = asked.select(
-        _numbered(rows).alias("i"), F.pmod(F.xxhash64("q"), F.lit(columns)).alias("j"), "q",
-        none.cast(base.schema["b"].dataType).alias("b"), "v", F.lit(True).alias("asked"),
-    )
-    right = base.select(
-        F.pmod(F.xxhash64("b"), F.lit(rows)).alias("i"), _numbered(columns).alias("j"),
-        none.cast(asked.schema["q"].dataType).alias("q"), "b", "v", F.lit(False).alias("asked"),
-    )
-
-    def search(table: pa.Table) -> pa.Table:
-        mine = table["asked"]
-        questions = table.filter(mine)
-        documents = table.filter(pa.compute.invert(mine)).sort_by("b")
-        q, b, distance = _nearest(_matrix(questions["v"]), _matrix(documents["v"]), k, metric)
-        return pa.table({"q": questions["q"].take(pa.array(q)), "b": documents["b"].take(pa.array(b)), "distance": pa.array(distance)})
+    """Every block of queries meets every block of documents.
 
-    schema = T.StructType([
-        T.StructField("q", asked.schema["q"].dataType), T.StructField("b", base.schema["b"].dataType),
-        T.StructField("distance", T.DoubleType()),
-    ])
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(search, schema)
+    A task takes some blocks of either side as they were written and hands on ``k`` rows a query, whatever the number of its pairs.
+    """
+    questions = in_blocks(asked, "q", max(1, -(-asked.count() // block_rows)))
+    documents = in_blocks(base, "b", max(1, -(-base.count() // block_rows)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return best_of_pairs(batches, k, lambda j, q, b: _nearest(_matrix(q.field("v")), _matrix(b.field("v")), k, metric))
+
+    found = crossed(questions, documents).mapInArrow(search, found_schema(asked.schema["q"].dataType, base.schema["b"].dataType))
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "b"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("q", "rank", "b", "distance")
