@@ -321,3 +321,23 @@ def test_incident_contract(spark, table):
     assert dict(ready.dtypes)["confidence"] == "double" and dict(ready.dtypes)["autonomous"] == "boolean" and ready.count() == 1
     absent = fx.incident_contract(table("id int", [(1,)]), dims.classes(spark)).first().contract_error
     assert absent == typed + ",".join(fx.INCIDENT_FIELDS)
+
+
+def test_blocks_are_written_once_and_not_dealt_to_their_pairs(table):
+    draw = np.random.default_rng(4)
+    rows = table("id long, type string, embedding array<double>", [(i, "incident", draw.standard_normal(4).tolist()) for i in range(300)])
+    found = similarity.similar_incidents(rows, rows, broadcast_rows=0, block_values=4 * 20, keep_unmatched=False)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroupsInArrow" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, similarity.similar_incidents(rows, rows, keep_unmatched=False).collect()))
+
+
+def test_distances_held_at_once_are_bounded(monkeypatch):
+    draw = np.random.default_rng(4)
+    queries, base = draw.standard_normal((300, 4)), draw.standard_normal((700, 4))
+    expected = similarity._nearest(queries, base, 3, "l2sq")
+    sizes, rough = [], similarity._rough
+    monkeypatch.setattr(similarity, "DISTANCES_AT_ONCE", 5_000)
+    monkeypatch.setattr(similarity, "_rough", lambda q, b, metric: sizes.append(len(q) * len(b)) or rough(q, b, metric))
+    assert all((a == b).all() for a, b in zip(similarity._nearest(queries, base, 3, "l2sq"), expected))
+    assert max(sizes) <= 5_000
