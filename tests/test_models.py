@@ -160,3 +160,13 @@ def test_merged_sketches_keep_the_rank(spark):
     assert sketches.count() == 9 and got.n == 60_000
     assert (values < got.threshold).mean() <= 0.95 + 3 / ev.SKETCH_K and (values <= got.threshold).mean() >= 0.95 - 3 / ev.SKETCH_K
     assert ev.merged_threshold(sketches.limit(0)).first().threshold is None
+
+
+def test_pieces_grow_with_the_rows(table, monkeypatch):
+    rows = table("a double, Label int", [(float(i), i % 2) for i in range(100)])
+    dealt, deal = [], models.fixed_partitions
+    monkeypatch.setattr(models, "fixed_partitions", lambda df, pieces, *order: dealt.append(pieces) or deal(df, pieces, *order))
+    for rows_each in (1_000, 20):
+        monkeypatch.setattr(models, "PIECE_ROWS", rows_each)
+        models.train_classifier(rows, ["a"], trees=2, depth=2, partitions=4)
+    assert dealt == [4, 5]
