@@ -184,16 +184,17 @@ def crossed(questions: DataFrame, documents: DataFrame) -> DataFrame:
     return questions.select(F.col("block").alias("j"), F.col("rows").alias("questions")).crossJoin(right)
 
 
-def best_of_pairs(batches: Iterator[pa.RecordBatch], k: int, near: Callable) -> Iterator[pa.RecordBatch]:
-    """The ``k`` best (q, b, distance) of each question over all pairs of a task; ties to the smaller b, a pair found twice counts once.
+def best_of_pairs(batches: Iterator[pa.RecordBatch], k: int, near: Callable, once: bool = False) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best (q, b, distance) of each question over all pairs of a task; ties to the smaller b.
 
-    ``near(j, questions, documents)`` gives (question row, document row, distance) of one pair.
+    ``near(j, questions, documents)`` gives (question row, document row, distance) of one pair.  With ``once`` a document found
+    twice by a question counts once.
     """
     held, now, ids = [], None, None
 
     def best() -> pa.Table:
         table = pa.concat_tables(held).sort_by([("at", "ascending"), ("distance", "ascending"), ("b", "ascending")])
-        if table.num_rows > 1:
+        if once and table.num_rows > 1:
             here, before = table.slice(1), table.slice(0, table.num_rows - 1)
             same = [pa.compute.equal(here[name], before[name]).to_numpy() for name in ("at", "b", "distance")]
             table = table.filter(pa.array(np.append(True, ~np.logical_and.reduce(same))))

@@ -332,6 +332,14 @@ def test_blocks_are_written_once_and_not_dealt_to_their_pairs(table):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, similarity.similar_incidents(rows, rows, keep_unmatched=False).collect()))
 
 
+def test_repeated_rows_in_blocks_are_found_as_often(table):
+    draw = np.random.default_rng(6)
+    once = [(i, "incident", draw.standard_normal(4).tolist()) for i in range(60)]
+    rows, asked = table("id long, type string, embedding array<double>", once + once[:20]), table("id long, embedding array<double>", [r[::2] for r in once])
+    both = [sorted(map(tuple, similarity.similar_incidents(asked, rows, broadcast_rows=n, block_values=4 * 9).collect())) for n in (0, 1_000)]
+    assert both[0] == both[1]
+
+
 def test_distances_held_at_once_are_bounded(monkeypatch):
     draw = np.random.default_rng(4)
     queries, base = draw.standard_normal((300, 4)), draw.standard_normal((700, 4))
