@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from perigee import fixed_values as fv
 from perigee.operators.similarity import (
-    BLOCK_VALUES, METRICS, _finite, _matrix, _nearest, _numbered, _prepared, commonest_width, similar_incidents,
+    BLOCK_VALUES, METRICS, _finite, _matrix, _nearest, _numbered, _prepared, best_of_pairs, commonest_width, crossed, found_schema, in_blocks,
+    similar_incidents,
 )
 from perigee.session import materialize
 
@@ -30,6 +31,10 @@ MOST_PLANES = 20
 # A query may cross its nearest planes in any combination: 2^10 cells a table at most.
 CROSSED = 10
 RECALL = 0.95
+# Copies of a query over all tables; more visits than these are worked out where the cells are searched.
+MOST_COPIES = 16
+# Queries whose visits a task holds at once: 1,024 cells a query and table at most.
+PASSING_QUERIES = 1_024
 
 
 @dataclass
@@ -168,15 +173,20 @@ def search_index(
 ) -> DataFrame:
     """``(query_id, rank, match_id, distance)`` of the nearest documents found, exact distances, ties to the smaller id.
 
-    Cells meet their queries in blocks of bounded size, however full a cell is.  A query whose cells hold fewer than ``k``
+    Cells meet their queries in blocks of bounded size, however full a cell is, and a query is written ``MOST_COPIES`` times at most.  A query whose cells hold fewer than ``k``
     documents is searched exactly.  Queries without a whole vector are left out; ``query_id`` is unique.
     """
     width = index.directions.shape[2]
     asked = _prepared(queries, query_id, query_vector, "q").where(_finite("v") & (F.size("v") == width))
     asked = materialize(asked, "index-queries")
-    visiting = materialize(_placed(asked, index.directions, index.offsets, index.visits, "q"), "index-visits")
     block = max(1, block_values // max(1, width))
-    found = materialize(_met(index, visiting, k, block), "index-found")
+    # A query is written once for each visit; where visits are many, blocks of queries go past the cells instead.
+    if index.planes and len(index.directions) * index.visits <= MOST_COPIES:
+        visiting = materialize(_placed(asked, index.directions, index.offsets, index.visits, "q"), "index-visits")
+        met = _met(index, visiting, k, block)
+    else:
+        met = _passed(index, asked, k, block)
+    found = materialize(met, "index-found")
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "b"))
     found = found.dropDuplicates(["q", "b"]).withColumn("rank", place).where(F.col("rank") <= k)
     found = materialize(found.select("q", "rank", "b", "distance"), "index-ranked")
@@ -188,13 +198,14 @@ def search_index(
     return whole.select(F.col("q").alias(query_id), "rank", F.col("b").alias("match_id"), "distance")
 
 
+def _full(df: DataFrame, block: int, name: str) -> DataFrame:
+    """One row per cell with more rows than a block, and its number of blocks: few beside the rows."""
+    return df.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias(name)).where(F.col(name) > 1)
+
+
 def _met(index: Index, visiting: DataFrame, k: int, block: int) -> DataFrame:
     """The ``k`` nearest of each query in every block of every cell that it visits."""
-    # One row per cell with more rows than a block, on either side: few beside the rows.
-    def full(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias(name)).where(F.col(name) > 1)
-
-    cells = full(index.rows, "down").join(full(visiting, "across"), ["table", "cell"], "full")
+    cells = _full(index.rows, block, "down").join(_full(visiting, block, "across"), ["table", "cell"], "full")
     cells = materialize(cells.na.fill(1, ["down", "across"]), "index-full-cells")
 
     def sized(df: DataFrame) -> DataFrame:
@@ -227,6 +238,51 @@ def _met(index: Index, visiting: DataFrame, k: int, block: int) -> DataFrame:
     return both.groupBy("table", "cell", "i", "j").applyInArrow(search, schema)
 
 
+def _passed(index: Index, asked: DataFrame, k: int, block: int) -> DataFrame:
+    """The same ``k`` nearest in the cells that a query visits, without a copy of it for each: a task works out the visits of a block of
+    queries and searches the cells of the blocks of documents that go past it."""
+    metric, visits, directions, offsets = index.metric, index.visits, index.directions, index.offsets
+    questions = in_blocks(asked, "q", max(1, -(-asked.count() // min(block, PASSING_QUERIES))))
+    # Cells stay whole unless they are larger than a block.
+    sized = index.rows.join(_full(index.rows, block, "down"), ["table", "cell"], "left").na.fill(1, ["down"])
+    part = F.xxhash64("table", "cell", F.pmod(F.xxhash64("b"), "down"))
+    documents = in_blocks(sized, "b", max(1, -(-index.rows.count() // block)), "table", "cell", by=part)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, object] = {"j": None}
+
+        def visitors(table: int, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Cells that the block of queries visits in a table, sorted, and the query of each."""
+            if table not in known:
+                cells = _visited(_margins(vectors, directions[table], offsets[table]), visits)
+                order = np.argsort(cells, axis=None, kind="stable")
+                known[table] = cells.ravel()[order], (order // cells.shape[1]).astype(np.int32)
+            return known[table]
+
+        def near(j: int, questions: pa.StructArray, documents: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if known["j"] != j:
+                known.clear()
+                known.update(j=j, vectors=_matrix(questions.field("v")))
+            asking, held = known["vectors"], _matrix(documents.field("v"))
+            tables, cells = documents.field("table").to_numpy(), documents.field("cell").to_numpy()
+            # Documents are sorted by (table, cell, b).
+            edges = np.flatnonzero(np.diff(tables, prepend=-1, append=-1) | np.diff(cells, prepend=-1, append=-1))
+            found = [], [], []
+            for a, z in zip(edges[:-1], edges[1:]):
+                visited, by = visitors(int(tables[a]), asking)
+                mine = by[np.searchsorted(visited, cells[a], "left") : np.searchsorted(visited, cells[a], "right")]
+                if len(mine):
+                    q, b, distance = _nearest(asking[mine], held[a:z], k, metric)
+                    for out, values in zip(found, (mine[q].astype(np.int64), b + a, distance)):
+                        out.append(values)
+            kinds = (np.int64, np.int64, np.float64)
+            return tuple(np.concatenate(out) if out else np.zeros(0, kind) for out, kind in zip(found, kinds))
+
+        return best_of_pairs(batches, k, near, once=True)
+
+    return crossed(questions, documents).mapInArrow(search, found_schema(asked.schema["q"].dataType, index.rows.schema["b"].dataType))
+
+
 def measured_recall(found: DataFrame, exact: DataFrame, query_id: str = "id") -> float:
     """Share of the exact result's pairs that were found; 1 where there are none."""
     pairs = exact.select(query_id, "match_id").join(found.select(query_id, "match_id").withColumn("hit", F.lit(1)), [query_id, "match_id"], "left")

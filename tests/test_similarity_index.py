@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from perigee.operators import similarity, similarity_index as si
+from perigee.session import materialize
 
 SCHEMA = "id long, type string, embedding array<double>"
 
@@ -71,3 +72,25 @@ def test_query_with_too_few_documents_in_its_cells_is_searched_exactly(table):
     exact = similarity.similar_incidents(rows.where("id < 5"), rows, k=wide)
     assert found.count() == 5 * wide
     assert si.measured_recall(found, exact) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["clusters", "even"])
+def test_passed_cells_give_what_copied_visits_give(table, kind, monkeypatch):
+    rows = table(SCHEMA, [(i, "incident", [float(x) for x in v]) for i, v in enumerate(_vectors(kind, 900, 6))])
+    index = si.build_index(rows, cell_rows=16)
+    assert index.planes
+    both = []
+    for copies in (0, 1 << 30):
+        monkeypatch.setattr(si, "MOST_COPIES", copies)
+        both.append([sorted(map(tuple, si.search_index(index, rows, block_values=v).collect())) for v in (120, 1_000_000)])
+    assert both[0] == both[1] and both[0][0] == both[0][1]
+
+
+def test_many_visits_are_not_written(table, monkeypatch):
+    rows = table(SCHEMA, [(i, "incident", [float(x) for x in v]) for i, v in enumerate(_vectors("even", 900))])
+    index = si.build_index(rows, cell_rows=16)
+    assert len(index.directions) * index.visits > si.MOST_COPIES
+    written = []
+    monkeypatch.setattr(si, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    assert si.search_index(index, rows).count() == 1800
+    assert "index-visits" not in written
