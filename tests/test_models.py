@@ -170,3 +170,14 @@ def test_pieces_grow_with_the_rows(table, monkeypatch):
         monkeypatch.setattr(models, "PIECE_ROWS", rows_each)
         models.train_classifier(rows, ["a"], trees=2, depth=2, partitions=4)
     assert dealt == [4, 5]
+
+
+def test_rows_are_worked_out_once_for_all_passes_of_the_training(raw, spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(value):
+        seen.add(1)
+        return value
+
+    models.train_classifier(raw.withColumn("a", F.udf(watched, "double")("a")), NAMES, trees=2, depth=2)
+    assert seen.value == 600
