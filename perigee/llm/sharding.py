@@ -4,7 +4,8 @@ Rows are ordered by (hash of the text, doc_id), so equal texts stand together.
 between two shards, exact bytes below candidate keys are counted over all partitions, and the
 candidates are refined between the two that enclose the wanted size until one is within the
 tolerance.  Candidates between hashes come first, so a group of equal texts stays whole where
-the tolerance allows; only a group that must be cut is refined by doc_id.  Rows that agree in both and
+the tolerance allows; only a group that must be cut is refined by doc_id.  Once few rows are left around a
+boundary, their keys are fetched and later candidates counted on them, without another pass.  Rows that agree in both and
 are too many for the tolerance are written once with a number of their own as third part of the key, and
 boundaries are searched again.  Then rows are exchanged once.
 
@@ -17,7 +18,8 @@ doc_id stay together within the tolerance and are dealt by their written numbers
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ ROW_BYTES = 16
 TOLERANCE = 0.005
 PROBES = 64
 PIECE_ROWS = 1000
+# Rows whose keys the driver holds at most, all boundaries together.
+HELD_ROWS = 40_000
 LOW, HIGH = -(1 << 63), 1 << 63
 
 
@@ -83,6 +87,8 @@ class _Boundary:
         rest = [LOW] * (parts - 1)
         self.lo, self.hi = ((LOW, *rest), 0, 0), ((HIGH, *rest), total, rows)
         self.found = self.crowd = None
+        # The keys between both, once they are few.
+        self.held: _Held | None = None
 
     def probes(self, n: int) -> list[tuple[int, ...]]:
         return _probes(self.lo[0], self.hi[0], n)
@@ -108,6 +114,48 @@ def _between(a: int, b: int, n: int) -> list[int]:
     return sorted({a + (b - a) * i // (n + 1) for i in range(1, n + 1)} - {a, b})
 
 
+class _Held:
+    """The keys of a range from ``lo`` on, with exact bytes and rows below each."""
+
+    def __init__(self, lo: tuple[tuple[int, ...], int, int], found: list[tuple[tuple[int, ...], int, int]]):
+        found = sorted(found)
+        self.keys = [key for key, _, _ in found]
+        self.bytes = list(accumulate((size for _, size, _ in found), initial=lo[1]))
+        self.rows = list(accumulate((n for _, _, n in found), initial=lo[2]))
+
+    def below(self, key: tuple[int, ...]) -> tuple[tuple[int, ...], int, int]:
+        at = bisect_left(self.keys, key)
+        return key, self.bytes[at], self.rows[at]
+
+
+def _held(keys: DataFrame, parts: list[str], ranges: set[tuple]) -> dict[tuple[int, ...], _Held]:
+    """The keys of ``ranges``, pairs of the lower and upper end of a boundary, by lower key and in one pass."""
+    # An end above every key cannot be written as a long: what follows the last of these is below it.
+    ends = sorted({at[0] for pair in ranges for at in pair if at[0][0] < HIGH})
+    number = _below(ends)(*parts).alias("at")
+    rows: dict[int, list] = {bisect_right(ends, lo[0]): [] for lo, _ in ranges}
+    chosen = keys.select(number, *parts, "size").where(F.col("at").isin(list(rows)))
+    for row in chosen.groupBy("at", *parts).agg(F.sum("size"), F.count("*")).collect():
+        rows[row[0]].append((tuple(row[1:-2]), row[-2], row[-1]))
+    return {lo[0]: _Held(lo, rows[bisect_right(ends, lo[0])]) for lo, _ in ranges}
+
+
+def _counted(keys: DataFrame, parts: list[str], asked: list[tuple[int, ...]]) -> list[tuple[tuple[int, ...], int, int]]:
+    """Exact bytes and rows below each of ``asked``, in one pass."""
+    if not asked:
+        return []
+    counts = {
+        r[0]: (r[1], r[2])
+        for r in keys.groupBy(_below(asked)(*parts).alias("at")).agg(F.sum("size"), F.count("*")).collect()
+    }
+    known, bytes_, n = [], 0, 0
+    for i, p in enumerate(asked):
+        more = counts.get(i, (0, 0))
+        bytes_, n = bytes_ + more[0], n + more[1]
+        known.append((p, bytes_, n))
+    return known
+
+
 def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, probes: int = PROBES) -> tuple[list, set]:
     """Keys at which shards 1, 2, ... begin, and the keys whose many rows lie across one; ``tolerance`` in shares of a shard.
 
@@ -120,19 +168,24 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     for b in bounds:
         b.narrow([], allowed)
     while open_ := [b for b in bounds if b.found is None]:
-        asked = sorted({p for b in open_ for p in b.probes(probes)})
-        counts = {
-            r[0]: (r[1], r[2])
-            for r in keys.groupBy(_below(asked)(*parts).alias("at")).agg(F.sum("size"), F.count("*")).collect()
-        }
-        known, bytes_, n = [], 0, 0
-        for i, p in enumerate(asked):
-            more = counts.get(i, (0, 0))
-            bytes_, n = bytes_ + more[0], n + more[1]
-            known.append((p, bytes_, n))
-        first = [p for p, _, _ in known]
+        # Boundaries have one range or ranges apart, as each sees all candidates that were counted.
+        few = [b for b in open_ if b.held is None and b.hi[2] - b.lo[2] <= HELD_ROWS // shards]
+        if few:
+            held = _held(keys, parts, {(b.lo, b.hi) for b in few})
+            for b in few:
+                b.held = held[b.lo[0]]
+        known, far = {}, set()
+        for b in open_:
+            for p in b.probes(probes):
+                if b.held is None:
+                    far.add(p)
+                else:
+                    known[p] = b.held.below(p)
+        known.update((at[0], at) for at in _counted(keys, parts, sorted(far)))
+        first = sorted(known)
         for b in open_:
-            b.narrow(known[bisect_right(first, b.lo[0]) : bisect_right(first, b.hi[0])], allowed)
+            own = first[bisect_right(first, b.lo[0]) : bisect_right(first, b.hi[0])]
+            b.narrow([known[p] for p in own], allowed)
     found = [b.found for b in bounds]
     # A boundary above every key cannot be written as a long: nothing lies at or above it.
     return [p for p in found if p[0] < HIGH], {b.crowd for b in bounds if b.crowd is not None}

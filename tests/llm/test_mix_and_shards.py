@@ -156,3 +156,22 @@ def test_rows_without_id_reach_the_target(documents):
     taken = Counter(r.source for r in mixing.mix(only).collect())
     for s in size:
         assert abs(5 * taken[s] - target[s]) <= 2.5, s
+
+
+def test_few_rows_around_a_boundary_are_fetched_once(documents, monkeypatch):
+    rng = random.Random(14)
+    # Rows up to three times, as the mix repeats them, and one text under many ids.
+    rows = [row for i in range(400) for row in [(i, words(rng, rng.randrange(1, 80)))] * rng.randrange(1, 4)] + [(i, "hot") for i in range(900, 1200)]
+    docs = documents(rows)
+    keys = docs.select(*(c.alias(n) for c, n in zip(sharding.sort_key(F.col("text"), F.col("doc_id")), "hd")), sharding.size_of(F.col("text")).alias("size")).persist()
+    passes, below = [], sharding._below
+    monkeypatch.setattr(sharding, "_below", lambda bounds: passes.append(len(bounds)) or below(bounds))
+    found = {}
+    for held in (0, 7 * 100, sharding.HELD_ROWS):
+        monkeypatch.setattr(sharding, "HELD_ROWS", held)
+        del passes[:]
+        found[held] = sharding.splitters(keys, 7)
+        counted = len(passes)
+    # The same boundaries however many keys are held; all of them in a single pass.
+    assert found[0] == found[700] == found[held] and len(found[0][0]) == 6
+    assert counted == 1
