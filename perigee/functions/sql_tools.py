@@ -37,10 +37,11 @@ RECORD = (
 )
 
 
-def forest_arrays(spark: SparkSession, model: PipelineModel) -> list[tuple[np.ndarray, ...]]:
-    """(feature, threshold, left, right, class shares) of the nodes of each tree, as the saved forest states them.
+def forest_arrays(spark: SparkSession, model: PipelineModel) -> list[tuple]:
+    """(feature, threshold, children, class shares, depth) of each tree, as the saved forest states them.
 
-    Feature is -1 at leaves.  Bounded by the model: trees times nodes.
+    ``children`` has the right and the left child of each node in turn; a leaf is its own child, so after ``depth`` steps
+    every row stands at its leaf.  Bounded by the model: trees times nodes.
     """
     path = scratch_path(spark, "forest")
     save_model(model, path)
@@ -53,27 +54,28 @@ def forest_arrays(spark: SparkSession, model: PipelineModel) -> list[tuple[np.nd
         leaf = [row["leftChild"] < 0 for row in rows]
         counts = np.array([row["impurityStats"] for row in rows])
         total = counts.sum(axis=1, keepdims=True)
+        children = [[at, at] if end else [row["rightChild"], row["leftChild"]] for at, (row, end) in enumerate(zip(rows, leaf))]
+        depth, level = 0, [0]
+        while level := [child for at in level if not leaf[at] for child in children[at]]:
+            depth += 1
         out.append((
-            np.array([-1 if end else row["split"]["featureIndex"] for row, end in zip(rows, leaf)]),
+            np.array([0 if end else row["split"]["featureIndex"] for row, end in zip(rows, leaf)]),
             np.array([0.0 if end else row["split"]["leftCategoriesOrThreshold"][0] for row, end in zip(rows, leaf)]),
-            np.array([row["leftChild"] for row in rows]), np.array([row["rightChild"] for row in rows]),
-            np.divide(counts, total, out=np.zeros_like(counts), where=total > 0),
+            np.array(children).ravel(), np.divide(counts, total, out=np.zeros_like(counts), where=total > 0), depth,
         ))
     return out
 
 
-def forest_shares(trees: list[tuple[np.ndarray, ...]], rows: np.ndarray) -> np.ndarray:
+def forest_shares(trees: list[tuple], rows: np.ndarray) -> np.ndarray:
     """Class probabilities of rows: the mean of the shares of the leaves they reach; values that are not numbers go right."""
-    votes = np.zeros((len(rows), trees[0][4].shape[1]))
-    for feature, threshold, left, right, shares in trees:
+    votes = np.zeros((len(rows), trees[0][3].shape[1]))
+    values, start = np.ascontiguousarray(rows).ravel(), np.arange(len(rows)) * rows.shape[1]
+    for feature, threshold, children, shares, depth in trees:
         at = np.zeros(len(rows), np.int64)
-        open_ = np.flatnonzero(feature[at] >= 0)
-        while len(open_):
-            node = at[open_]
-            goes_left = rows[open_, feature[node]] <= threshold[node]
-            at[open_] = np.where(goes_left, left[node], right[node])
-            open_ = open_[feature[at[open_]] >= 0]
-        votes += shares[at]
+        for _ in range(depth):
+            goes_left = values.take(start + feature.take(at)) <= threshold.take(at)
+            at = children.take(2 * at + goes_left)
+        votes += shares.take(at, axis=0)
     return votes / votes.sum(axis=1, keepdims=True)
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,16 @@ def test_search_equals_the_exact_operator(spark, table):
         assert [d for _, _, d in got] == pytest.approx([r.distance for r in exact])
     assert spark.sql("SELECT * FROM search_incidents(CAST(NULL AS ARRAY<DOUBLE>))").count() == 0
     assert spark.sql("SELECT * FROM search_incidents(array(1D, 2D))").count() == 0
+
+
+def test_all_rows_reach_their_leaves_in_as_many_steps_as_a_tree_is_deep(spark, forest):
+    trees = sql_tools.forest_arrays(spark, forest)
+    for (feature, threshold, children, shares, depth), tree in zip(trees, forest.stages[-1].trees, strict=True):
+        assert depth == tree.depth <= 4 and len(children) == 2 * tree.numNodes
+        leaves = [at for at in range(tree.numNodes) if children[2 * at] == at]
+        assert len(leaves) == (tree.numNodes + 1) // 2 and all(children[2 * at + 1] == at for at in leaves)
+    from pyspark.ml.linalg import Vectors
+    rows = [[math.sin(i) * 4, math.cos(3 * i) * 9] for i in range(40)] + [[math.nan, 1.0], [math.inf, -math.inf], [0.0, math.nan]]
+    got = sql_tools.forest_shares(trees, np.array(rows))
+    expected = [forest.stages[-1].predictProbability(Vectors.dense(row)).toArray() for row in rows]
+    assert np.allclose(got, expected, rtol=0, atol=1e-15) and sql_tools.forest_shares(trees, np.empty((0, 2))).shape == got[:0].shape
