@@ -181,3 +181,15 @@ def test_rows_are_worked_out_once_for_all_passes_of_the_training(raw, spark):
 
     models.train_classifier(raw.withColumn("a", F.udf(watched, "double")("a")), NAMES, trees=2, depth=2)
     assert seen.value == 600
+
+
+def test_sequences_are_built_once_for_all_that_the_fit_asks(table, spark):
+    built = table("seq long, steps array<array<double>>, Label int", [(i, [[float(i % 3)], [float(i % 2)]], i % 2) for i in range(60)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(value):
+        seen.add(1)
+        return value
+
+    models.train_sequence_classifier(built.withColumn("Label", F.udf(watched, "int")("Label")), 2, 1, 2, hidden=2, iterations=3, partitions=2)
+    assert seen.value == 60
