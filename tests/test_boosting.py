@@ -86,3 +86,11 @@ def test_missing_classes_labels_and_values(spark):
     model = boosting.train_boosted(df, NAMES, rounds=2, depth=2, partitions=2)
     scored = models.score(df, model).collect()
     assert len(scored) == 200 and {r.predicted_label for r in scored} <= {0, 1}
+
+
+def test_margins_are_kept_while_the_regression_goes_over_them(table, monkeypatch):
+    rows = table("seq long, a double, b double, Label int", some_rows(100))
+    kept, plain = [], boosting.LogisticRegression.fit
+    monkeypatch.setattr(boosting.LogisticRegression, "fit", lambda self, df: kept.append(df.storageLevel.useMemory) or plain(self, df))
+    boosting.train_boosted(rows, NAMES, rounds=1, depth=1, partitions=2)
+    assert kept == [True]
