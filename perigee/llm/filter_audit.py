@@ -1,11 +1,12 @@
 """How filters interact: what each removes, repeats or costs at any place in any order.
 
-A filter is the relation of the rows that fail it, stored as one table of row numbers per filter.  The survivors of a prefix
-are all rows, left-anti joined with the table of each filter in it.  What a filter removes next are its failing rows left-semi
-joined with these survivors; the rest of its failing rows are redundant there.
-A prefix acts as a set, so n filters need 2**n - 1 sets of joins for their n! orders.  All these
-joins meet on the row number: every table is dealt by it once, and the joins of all prefixes run inside that partitioning.
-Only counts by part leave it.
+A filter is the relation of the rows that fail it, stored as one table of row numbers per filter.  What a filter removes after a
+prefix are its failing rows, left-semi joined with all rows and left-anti joined with the table of each filter in the prefix; the
+rest of its failing rows are redundant there.
+A prefix acts as a set, so n filters need 2**n - 1 prefixes for their n! orders.  A failing row meets all of them in one chain of joins: it
+stands there once for each prefix without its filter, and the table of a filter takes away those whose prefix holds the filter.  So the
+plan has a join per filter, not per prefix, and a driver holds little of it.  All joins meet on the row number: every table is
+dealt by it once, and only counts by part leave that partitioning.
 
 Duplicates are a filter as well (``repeated_rows``): rows whose text stands in a row of smaller id.  A text that more than
 one row in a thousand holds meets its rows by broadcast (there are fewer than a thousand of such texts), all others by a shuffled join.
@@ -24,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from perigee.session import materialize, scratch_path
+from perigee.session import materialize, pieces_of, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 HEAVY = 1000
+# Failing rows of a piece, each of which stands there once a prefix.
+PIECES, PIECE_ROWS = 8, 100_000
 LEAST_WORDS = 200
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FAILING = ["filter", "row", "part", "good", "toxic"]
@@ -94,16 +97,13 @@ def joined_counts(rows: DataFrame, failing: DataFrame, filters: list[str]) -> Da
 
     ``rows`` has (row), ``failing`` (filter, row, part, good, toxic), stored by filter.
     """
-    table = {f: failing.where(F.col("filter") == f).select("row") for f in filters}
-    removed = None
-    for n in range(len(filters)):
-        for prefix in itertools.combinations(sorted(filters), n):
-            survivors = rows.select("row")
-            for f in prefix:
-                survivors = survivors.join(table[f], "row", "left_anti")
-            here = failing.join(survivors, "row", "left_semi").select(F.lit("".join(prefix)).alias("prefix"), *FAILING)
-            removed = here if removed is None else removed.unionAll(here)
-    return removed.groupBy("prefix", "filter", "part").agg(
+    prefixes = ["".join(prefix) for n in range(len(filters)) for prefix in itertools.combinations(sorted(filters), n)]
+    dealt = failing.repartition(pieces_of(failing, PIECES, PIECE_ROWS), "row").join(rows.select("row"), "row", "left_semi")
+    here = dealt.select(F.explode(F.array(*map(F.lit, prefixes))).alias("prefix"), *FAILING).where(~F.col("prefix").contains(F.col("filter")))
+    for f in filters:
+        gone = failing.where(F.col("filter") == f).select(F.col("row").alias("gone"))
+        here = here.join(gone, (F.col("row") == F.col("gone")) & F.col("prefix").contains(f), "left_anti")
+    return here.groupBy("prefix", "filter", "part").agg(
         F.count("*").alias("removed"), F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost")
     )
 

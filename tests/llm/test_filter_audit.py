@@ -95,3 +95,23 @@ def test_other_filters(spark):
     assert len(found) == 18
     assert [found["zyx", i].kept for i in (1, 2, 3)] == [48, 32, 16] and found["zyx", 3].redundant == 14
     assert found["xyz", 1].shapley == 2 * 30 + 20 + 24 + 2 * 16 and found["xyz", 2].toxic_lost == 10
+
+
+def test_the_plan_has_a_join_per_filter_not_per_prefix(spark, monkeypatch):
+    monkeypatch.setattr(fa, "PIECE_ROWS", 10)
+    rng = random.Random(8)
+    # Numbers of no row, repeated ones and NULL among the failing rows.
+    wrong = [(rng.choice("vwxyz"), rng.choice([*range(50), None]), rng.choice(["p", "q"]), rng.random() < 0.5, rng.random() < 0.2) for _ in range(180)]
+    rows = spark.range(40).select(F.col("id").alias("row"))
+    failing = fa.by_filter(spark.createDataFrame(wrong, "filter string, row long, part string, good boolean, toxic boolean"))
+    counts = fa.joined_counts(rows, failing, list("vwxyz"))
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 6
+    expected = {}
+    for n in range(5):
+        for prefix in itertools.combinations("vwxyz", n):
+            alive = set(range(40)) - {w[1] for w in wrong if w[0] in prefix}
+            for f, row, part, good, toxic in wrong:
+                if row in alive:
+                    old = expected.get(("".join(prefix), f, part), (0, 0, 0))
+                    expected["".join(prefix), f, part] = (old[0] + 1, old[1] + good, old[2] + toxic)
+    assert {(r.prefix, r.filter, r.part): (r.removed, r.good_lost, r.toxic_lost) for r in counts.collect()} == expected
