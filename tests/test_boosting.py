@@ -94,3 +94,29 @@ def test_margins_are_kept_while_the_regression_goes_over_them(table, monkeypatch
     monkeypatch.setattr(boosting.LogisticRegression, "fit", lambda self, df: kept.append(df.storageLevel.useMemory) or plain(self, df))
     boosting.train_boosted(rows, NAMES, rounds=1, depth=1, partitions=2)
     assert kept == [True]
+
+
+def test_many_rows_are_boosted_for_one_class_after_the_other(table, monkeypatch):
+    rows = table("seq long, a double, b double, Label int", some_rows(100))
+    at_work, most, plain = set(), [], boosting.GBTClassifier.fit
+
+    def fit(self, df):
+        at_work.add(id(self))
+        most.append(len(at_work))
+        try:
+            return plain(self, df)
+        finally:
+            at_work.discard(id(self))
+
+    together = models.score(rows, boosting.train_boosted(rows, NAMES, rounds=2, depth=2, partitions=2))
+    monkeypatch.setattr(boosting, "ROWS_AT_ONCE", 1)
+    monkeypatch.setattr(boosting.GBTClassifier, "fit", fit)
+    in_turn = models.score(rows, boosting.train_boosted(rows, NAMES, rounds=2, depth=2, partitions=2))
+    assert most == [1] * 5
+    assert sorted(in_turn.collect()) == sorted(together.collect())
+
+
+def test_classes_boosted_at_once_follow_the_rows():
+    asked = [0, 1, 400_000, 1_000_000, 2_000_000, 2_000_001, 36_000_000]
+    assert [boosting.boosted_at_once(rows, 5) for rows in asked] == [5, 5, 5, 2, 1, 1, 1]
+    assert boosting.boosted_at_once(10, 3) == 3
